@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, near_dedup, quality
+from . import bpe, decontaminate, fingerprints, license_scan, near_dedup, quality, sharding, token_files, url_filter
 
-MODULES = (bpe, quality, near_dedup, decontaminate)
+MODULES = (url_filter, license_scan, bpe, quality, sharding, near_dedup, token_files, decontaminate, fingerprints)
 
 
 def queries() -> dict:

@@ -88,11 +88,9 @@ class _Search:
         for gap, key in by_gap:
             if gap <= (group_tolerance if key % GROUP == 0 else 0):
                 return key
-        if self.high[0] - self.low[0] > GROUP or self.low[0] % GROUP and self.high[0] % GROUP == 0 and self.low[0] // GROUP != self.high[0] // GROUP - 1:
-            alone = self.high[2] - self.low[2] <= 1
-        else:  # inside one group of copies
-            alone = self.high[2] - self.low[2] <= 1 or by_gap[0][0] <= tolerance
-        return by_gap[0][1] if alone or self.high[0] - self.low[0] <= 1 else None
+        one_group = self.low[0] // GROUP == (self.high[0] - 1) // GROUP
+        last = self.high[2] - self.low[2] <= 1 or self.high[0] - self.low[0] <= 1
+        return by_gap[0][1] if last or one_group and by_gap[0][0] <= tolerance else None
 
     def probes(self, n: int) -> np.ndarray:
         low, high = self.low[0], self.high[0]
