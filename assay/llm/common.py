@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import functions as F
 
 PIECE = 1 << 19
 #: Texts that one Arrow batch hands to numpy at most; the rest of the batch follows.
@@ -61,6 +62,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, tag: str, *extra: Column) -> tuple[DataFrame, Row]:
+    """``materialise``, with the row count ``n`` and further aggregates taken while the rows are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), *extra), tag)
+    return out, Row(**seen.get)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialise`` that no later step reads."""
     path = getattr(df, "_assay_path", None)

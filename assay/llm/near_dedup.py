@@ -11,12 +11,13 @@ Steps, all distributed:
 4. Pairs are checked against the signatures (a loose bound, about five standard errors), then
    confirmed on the full shingle sets.
 5. Components of the confirmed links by alternating large-star and small-star.
-6. Buckets whose members still lie in several components give the pairs between these components
-   that were not examined; they are checked and confirmed alike, so that no link which the
-   banding found is lost.  Pairs inside one component would change nothing.
+6. Buckets whose members still lie in several components are dealt into blocks; every two blocks
+   of a bucket meet in a bounded group, which compares the full sets by matrix products and
+   returns links between components only.  So no link that the banding found is lost, and no row
+   is made per pair of members.
 
-With 30 bands of 4 minima a pair of similarity 0.85 meets with probability 1 - 3e-10, one of 0.8
-with 1 - 2e-7.
+With 24 bands of 4 minima a pair of similarity 0.85 meets with probability 1 - 2e-8, one of 0.8
+with 1 - 3e-6.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing, not
 even with other empty texts; fewer than five words are one shingle; rows that repeat an id are one
@@ -33,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, discard, hash_words, materialise, mix, ngram_hashes, table
+from .common import buffers, discard, hash_words, materialise, measured, mix, ngram_hashes, table
 
 SHINGLE = 5
-BANDS, ROWS = 30, 4
+BANDS, ROWS = 24, 4
 THRESHOLD = 85
+#: Members and shingles of one block of a bucket, about.
+BLOCK_DOCS, BLOCK_SHINGLES = 384, 1_000_000
 #: Ids that may be broadcast to pick candidate texts (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -114,10 +117,10 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: int, hashes: int) -> D
 def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
     ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    wanted = materialise(ids, "near-ids")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted, size = measured(ids, "near-ids")
+    side = F.broadcast(wanted) if size.n <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
-    texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    texts = materialise(texts.dropDuplicates(), "near-texts")
     x, y = texts.toDF("x", "text_x"), texts.toDF("y", "text_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,61 +137,129 @@ def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
     return pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
 
 
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, set) of the texts of some ids, the set as sorted 64-bit shingle hashes."""
+    wanted, size = measured(ids, "near-ids")
+    side = F.broadcast(wanted) if size.n <= BROADCAST_IDS else wanted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in buffers(batch.column(1)):
+                sets = [s.tobytes() for s in shingle_sets(data, offsets, width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+
+
+def linked(sets: list[np.ndarray], owner: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links between different owners (components) among some sets, as a spanning forest of the owners."""
+    sizes = np.array([len(s) for s in sets])
+    every = np.concatenate(sets)
+    who = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, who = every[order], who[order]
+    same = every[1:] == every[:-1]
+    shared = np.r_[False, same] | np.r_[same, False]
+    column = np.cumsum(np.r_[True, ~same])[shared]
+    who = who[shared]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    if len(column):
+        column = np.unique(column, return_inverse=True)[1]
+        edges = np.searchsorted(column, np.arange(0, column[-1] + 4097, 4096))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):  # products of 0-1 matrices, 4096 shingles at a time
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[who[a:b], column[a:b] % 4096] = 1
+            both += has @ has.T
+    hit = 100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+    x, y = np.nonzero(np.triu(hit & (owner[:, None] != owner[None, :]), 1))
+    root: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            v = up
+        return v
+
+    out = []
+    for a, b in set(zip(owner[x].tolist(), owner[y].tolist(), strict=True)):
+        r, q = sorted((top(a), top(b)))
+        if r != q:
+            root[q] = r
+            out.append((a, b))
+    return out
+
+
+def _across(left: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """Links between components that share buckets, from full sets; (x, y) are component ids.
+
+    left: (key, doc_id, c, blocks).  A bucket's members are dealt to so many blocks by hash, and
+    every two blocks meet in one bounded group (at most about twice BLOCK_DOCS members); no pair
+    of members becomes a row.
+    """
+    sets = _sets(docs, left.select("doc_id").distinct(), width)
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))))
+    dealt = left.withColumn("block", block).select("key", "doc_id", "c", "block", other.alias("other"))
+    dealt = dealt.select("key", "doc_id", "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        some = [np.frombuffer(b, np.uint64) for b in group.column("set").to_pylist()]
+        found = linked(some, group.column("c").to_numpy(), threshold)
+        return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "y": pa.array([f[1] for f in found], pa.int64())})
+
+    return dealt.join(sets, "doc_id").select("key", "i", "j", "c", "set").groupBy("key", "i", "j").applyInArrow(run, "x long, y long").distinct()
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(doc_id, component_id) of every end of a link, by alternating large-star and small-star.
 
     links: (x, y), any direction, repeats and loops allowed.  Each round groups neighbours by
     vertex only to take their minimum, which combines on the map side.
     """
-    edges = materialise(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first())
-    now = mark(edges)
+    check = F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"), F.sum(F.col("v") % 1_000_003).alias("v")
+    edges, now = measured(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc", *check)
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = materialise(small, "cc")
-        discard(large)
-        discard(edges)
-        edges, before, now = small, now, mark(small)
+        before, old = now, edges
+        edges, now = measured(small, "cc", *check)
+        discard(old)
         if now == before:
             break
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(edges.select("v", "v").distinct())
+    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     seen = materialise(signatures(docs, width, bands, rows), "near-sigs")
-    classes = seen.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # members of a class have one set, so any member's signature is the class's
+    classes = seen.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = materialise(classes, "near-classes")
-    # the representative's row; a repeated id with several texts keeps one signature of each class
-    reps = materialise(
-        seen.where("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi").select("doc_id", "n_shingles", "sig", "bands").dropDuplicates(["doc_id", "n_shingles", "sig"]), "near-reps"
-    )
-    single = reps.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "sig")).alias("s")).select("doc_id", "s.n_shingles", "s.sig")
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
+    keyed = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("m")).where("low <> high")
     buckets = materialise(keyed.join(ends, "key"), "near-buckets")
     pair = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    first = buckets.select(F.explode(F.array(pair("doc_id", "low"), pair("doc_id", "high"))).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
-    tried = materialise(first, "near-pairs")
-    links = materialise(_confirm(materialise(_likely(tried, single, threshold, bands * rows), "near-likely"), docs, threshold, width), "near-links")
+    tried = buckets.select(F.explode(F.array(pair("doc_id", "low"), pair("doc_id", "high"))).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
+    tried = materialise(tried, "near-pairs")
+    links = materialise(_confirm(materialise(_likely(tried, reps, threshold, bands * rows), "near-likely"), docs, threshold, width), "near-links")
     found = components(links)
 
-    named = buckets.select("key", "doc_id").distinct().join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    open_keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    left = materialise(named.join(open_keys, "key").join(single.select("doc_id", "n_shingles"), "doc_id"), "near-open")
-    a, b = left.toDF("x", "key", "cx", "nx"), left.toDF("y", "key", "cy", "ny")
-    rest = a.join(b, "key").where(f"x < y and cx <> cy and 100 * least(nx, ny) >= {threshold} * greatest(nx, ny)").select("x", "y").distinct()
-    rest = materialise(_likely(rest.join(tried, ["x", "y"], "left_anti"), single, threshold, bands * rows), "near-rest")
-    if not rest.isEmpty():
-        more = _confirm(rest, docs, threshold, width)
-        found = components(links.union(more))
+    # buckets whose members still lie in several components; up to three members have met already
+    named = buckets.where("m > 3").select("key", "doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), blocks.alias("blocks")).where("low <> high").select("key", "blocks")
+    left, some = measured(named.join(mixed, "key").select("key", "doc_id", "c", "blocks"), "near-open")
+    if some.n:
+        more, some = measured(_across(left, docs, threshold, width), "near-more")
+        if some.n:
+            merged = components(more).toDF("c", "root")
+            found = classes.select(F.col("rep").alias("doc_id")).join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
+            found = found.join(merged, "c", "left").select("doc_id", F.coalesce("root", "c").alias("component_id"))
     found = found.withColumnRenamed("doc_id", "rep")
     named = classes.join(found, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
