@@ -200,6 +200,11 @@ def _evidence(page: Page, i: int) -> list[str]:
     return [*_traits(page, i), *(f"word:{w}" for w in words), f"named:{'boiler' if LEXICON & set(words) else 'other' if words else 'none'}"]
 
 
+def _kind(page: Page, i: int) -> str:
+    """The tag, apart for elements with names of their own."""
+    return page.tags[i] + "." if page.words[i] else page.tags[i]
+
+
 class Model(NamedTuple):
     edge: dict[tuple[str, int], float]  # (tag, parent's label): log odds of content
     trait: dict[str, float]  # log P(trait | content) - log P(trait | boilerplate)
@@ -210,7 +215,7 @@ def count(page: Page, labels: list[int], weight: int = 1) -> Counter:
     found: Counter = Counter()
     for i in range(1, len(page.tags)):
         y, up = labels[i], labels[page.parents[i]]
-        found["edge", page.tags[i], up, y] += weight
+        found["edge", _kind(page, i), up, y] += weight
         found["edge", "*", up, y] += weight
         for trait in _evidence(page, i):
             found["trait", trait, 0, y] += weight
@@ -274,7 +279,7 @@ def marginals(page: Page, model: Model) -> list[float]:
     given = []  # P(content | parent's label), for both labels
     up0, up1 = [1.0] * n, [1.0] * n  # evidence below and at each node
     for i in range(n):
-        tag = page.tags[i]
+        tag = _kind(page, i)
         p = [1 / (1 + math.exp(-model.edge.get((tag, y), model.edge.get(("*", y), 0.0)))) for y in (0, 1)]
         given.append(p)
         if i:
@@ -353,6 +358,8 @@ def hand_labelled() -> list[str]:
         f'<main><article class="post"><h1>Title</h1><section><h2>Part</h2>{paragraphs}</section><table><tr><td>A cell</td><td>Another</td></tr></table></article></main>',
         f'<div class="article body"><h2>Title</h2>{paragraphs}<pre>some lines of code</pre><p>End.</p></div>',
         f"<h1>Title</h1>{paragraphs}<p>Short.</p>",
+        f"<div><div><div><h1>Title</h1><div><div>{paragraphs}</div></div><div>A piece of text.</div></div></div></div>",
+        f"<article><div><div><section><div><h2>Part</h2></div><div><div><div>{paragraphs}</div></div></div></section></div></div></article>",
     ]
     pages = []
     for k, content in enumerate(body):
