@@ -10,6 +10,8 @@ from .sampling import key_sample
 
 #: Share of distinct values from which a column looks like a key, and the most values of a list.
 KEY_SHARE, MOST_VALUES = 0.99, 8
+#: Share of a column's rows that must have a parent for a reference to be proposed.
+CONTAINED = 0.9
 
 
 def propose_frame(profile: DataFrame) -> DataFrame:
@@ -28,8 +30,8 @@ def propose_frame(profile: DataFrame) -> DataFrame:
 def propose_candidates(df: DataFrame, table: str, profile: DataFrame, parents: dict[str, DataFrame] | None = None, bucket: int = 4) -> list[Test]:
     """Tests of one table.  Lists of values come from one hash bucket of rows, so that the others can refute them.
 
-    parents: tables and their key columns by name; a column that ends like a parent's single key is
-    proposed as a reference to it.
+    parents: tables by name, their key in the first column; a column that ends like a parent's key
+    and whose values it contains, measured on the same bucket, is proposed as a reference to it.
     """
     out = []
     for column, kind in propose_frame(profile).collect():  # metadata: a few rows per column
@@ -42,6 +44,13 @@ def propose_candidates(df: DataFrame, table: str, profile: DataFrame, parents: d
     for name, parent in (parents or {}).items():
         key = parent.columns[0]
         for column in df.columns:
-            if name != table and column.split("_", 1)[-1] == key.split("_", 1)[-1]:
+            if name != table and column.split("_", 1)[-1] == key.split("_", 1)[-1] and _contained(key_sample(df, df.columns, bucket), column, parent, key) >= CONTAINED:
                 out.append(Test(table, "relationships", column, to=name, field=key))
     return out
+
+
+def _contained(df: DataFrame, column: str, parent: DataFrame, key: str) -> float:
+    """Share of the non-null values of a column that are keys of the parent."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
+    keys = parent.select(F.col(key).alias("_v")).distinct().withColumn("_in", F.lit(1))
+    return rows.join(keys, "_v", "left").agg(F.coalesce(F.avg(F.coalesce("_in", F.lit(0))), F.lit(0.0))).first()[0]
