@@ -8,8 +8,6 @@ texts.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
+
 PIECE = 1 << 19
 #: Texts that one Arrow batch hands to numpy at most; the rest of the batch follows.
 BATCH_TEXTS = 512
@@ -35,23 +35,6 @@ _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = getattr(shared_dir, "made", None)
-    if made is None:
-        made = shared_dir.made = "file://" + tempfile.mkdtemp(prefix="assay-shared-")
-    return made
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: this cuts the lineage."""
     spark = df.sparkSession

@@ -42,7 +42,7 @@ for _range in ((48, 58), (65, 91), (97, 123)):
 _KR = 0xD1342543DE82EF95
 
 
-def _windows(words: np.ndarray, taken: np.ndarray, length: int, prefix: np.ndarray, down: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _windows(words: np.ndarray, length: int, prefix: np.ndarray, down: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Karp-Rabin hashes and starts of the windows without marked words."""
     at = np.flatnonzero(used[length:] == used[: len(used) - length]) if len(words) >= length else np.empty(0, np.int64)
     return (prefix[at + length] - prefix[at]) * down[at], at
@@ -58,7 +58,7 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[i
 
     def meet(length: int) -> list[tuple[int, int]]:
         used = [np.r_[0, np.cumsum(x)] for x in taken]
-        (hi, si), (ht, st) = (_windows(x, m, length, p, down, u) for x, m, p, u in zip((item, text), taken, prefix, used, strict=True))
+        (hi, si), (ht, st) = (_windows(x, length, p, down, u) for x, p, u in zip((item, text), prefix, used, strict=True))
         order = np.argsort(hi, kind="stable")
         at = np.searchsorted(hi[order], ht)
         ok = np.flatnonzero(at < len(hi))
@@ -181,7 +181,7 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int
             for batch in batches:
                 ids = batch.column(0).cast(pa.int64()).to_pylist()
                 out = []
-                for row, k, i, tiles, covered in matches(sent.value, batch.column(1), share):
+                for row, i, tiles, covered in matches(sent.value, batch.column(1), share):
                     item = sent.value.rows[i]
                     out.append((ids[row], item[0], tiles, covered, covered / len(item[1])))
                 columns = list(zip(*out, strict=True)) or [[]] * 5
@@ -191,8 +191,8 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 
-def matches(items: Items, texts: pa.Array, share: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, 0, item, tiles, covered) of every contaminated text of a column."""
+def matches(items: Items, texts: pa.Array, share: float) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, tiles, covered) of every contaminated text of a column."""
     for first, data, offsets in buffers(texts):
         words, starts = hash_words(data, offsets, separator=PUNCTUATION)
         grams = ngram_hashes(words, items.least)
@@ -205,7 +205,7 @@ def matches(items: Items, texts: pa.Array, share: float) -> Iterator[tuple[int,
         for r in np.unique(row):
             a, b = int(starts[r]), int(starts[r + 1])
             for i, tiles, covered in items.judge(words[a:b], grams[a : b - items.least + 1], hits[row == r] - a, share):
-                yield first + int(r), 0, i, tiles, covered
+                yield first + int(r), i, tiles, covered
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, block: int = BLOCK_WORDS) -> DataFrame:

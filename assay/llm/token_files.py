@@ -14,10 +14,10 @@ continuation bitmap says that the id goes on in level 1, at the position that th
 before it) gives, and so on.  The rank directory holds the rank of every 512th bit, so reading an
 id or a range of ids costs a popcount of at most 512 bits per level, and decodes nothing else.
 
-Ids come from the tokenizers library.  Texts whose white space comes in single characters are cut
-before each space (there every match of the byte-level split pattern ends, and the space leads
-the next one); a bounded cache maps such a piece to the ids the library gives for it.  Other texts
-go to the library whole.
+Ids come from the tokenizers library.  Texts whose white space is single spaces and line feeds are cut
+before each space and around each line feed (there every match of the byte-level split pattern
+ends, and a space leads the next one); a bounded cache maps such a word to the ids the library
+gives for it.  Other texts go to the library whole.
 
 Defined cases: null and empty texts have only the end id; rows without doc_id come first; rows
 that repeat an id follow in the order of their texts' hash; every row is written.
@@ -28,22 +28,23 @@ from __future__ import annotations
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from ..sources.scratch import new_path
+from .common import table
 from .ordered import unsigned, with_buckets
 
 END = 0
 SEGMENT = 1 << 18
 RANK_BITS = 512
 #: Entries and characters that a worker's cache of pieces may hold before it starts anew.
-CACHE_PIECES, CACHE_CHARS = 600_000, 24_000_000
+CACHE_PIECES, CACHE_CHARS = 500_000, 12_000_000
 
 
 def _levels(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,9 +130,16 @@ class Segment:
 
 
 class PieceEncoder:
-    """Ids of texts by the tokenizers library, as little-endian u32, with a bounded cache of pieces."""
+    """Ids of texts by the tokenizers library, as little-endian u32, with a bounded cache of words.
 
-    _run = re.compile(r"\s\s")
+    New words go to the library many at a time, a line feed between them: it is a match of the
+    split pattern of its own there, and its id, which no word contains, tells the words' ids apart.
+    A word of letters with punctuation behind it is two matches, so only its letters are new.
+    """
+
+    #: White space other than the space and the line feed.
+    _other = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _behind = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -139,25 +147,77 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}  # pieces that lead a text
-        self.later: dict[str, bytes] = {}  # pieces that follow a space, which is part of them
+        feed = self._ids(["\n"])[0]
+        self.feed, self.feed_id = feed, int.from_bytes(feed, "little") if len(feed) == 4 else None
+        self._start()
+
+    def _start(self) -> None:
+        self.first: dict[str, bytes] = {"": b""}  # words that lead a text or a line
+        self.later: dict[str, bytes] = {"": self._ids([" "])[0]}  # words that follow a space, which is part of them
         self.chars = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words without white space."""
+        if self.feed_id is None:
+            return self._ids([lead + w for w in words])
+        out: list[bytes] = []
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            ids = np.array(self.library.encode_batch_fast(["\n".join([lead + w for w in some])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.feed_id)
+            if len(cuts) != len(some) - 1:
+                out += self._ids([lead + w for w in some])
+                continue
+            raw, at = ids.tobytes(), 0
+            for cut in (4 * cuts).tolist():
+                out.append(raw[at:cut])
+                at = cut + 4
+            out.append(raw[at:])
+        return out
+
+    def _learn(self, cache: dict[str, bytes], new: set[str], lead: str) -> None:
+        parts = {w: w.rstrip(self._behind) for w in new}
+        split = [w for w, c in parts.items() if c != w and c.isalpha()]
+        base = new.difference(split)
+        base.update(parts[w] for w in split)
+        base = list(base.difference(cache))
+        cache.update(zip(base, self._words(base, lead), strict=True))
+        behind = list({w[len(parts[w]) :] for w in split}.difference(self.first))
+        self.first.update(zip(behind, self._words(behind, ""), strict=True))
+        for w in split:
+            cache[w] = cache[parts[w]] + self.first[w[len(parts[w]) :]]
+        self.chars += sum(map(len, new))
+
+    def _simple(self, text: str) -> bool:
+        """Whether all white space is single spaces and line feeds."""
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or self._other.search(text))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.later) > CACHE_PIECES or self.chars > CACHE_CHARS:
-            self.first, self.later, self.chars = {}, {}, 0
-        split = [None if self._run.search(t) else t.split(" ") for t in texts]
-        heads = {s[0] for s in split if s} - self.first.keys()
-        tails = set().union(*(s[1:] for s in split if s)) - self.later.keys()
-        for cache, new, lead in ((self.first, list(heads), ""), (self.later, list(tails), " ")):
-            self.chars += sum(map(len, new))
-            cache.update(zip(new, self._ids([lead + p for p in new]), strict=True))
+            self._start()
+        split = [t.replace("\n", " \n").split(" ") if self._simple(t) else None for t in texts]
+        heads = [s.pop(0) if s else "" for s in split]
+        tails = set().union(*filter(None, split)).difference(self.later)
+        lines = [w for w in tails if w[:1] == "\n"]
+        tails.difference_update(lines)
+        if new := {*heads, *(w[1:] for w in lines)}.difference(self.first):
+            self._learn(self.first, new, "")
+        if tails:
+            self._learn(self.later, tails, " ")
+        for w in lines:
+            self.later[w] = self.feed + self.first[w[1:]]
         whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if s is None]))
         get = self.later.__getitem__
-        return [next(whole) if s is None else self.first[s[0]] + b"".join(map(get, s[1:])) for s in split]
+        return [next(whole) if s is None else self.first[h] + b"".join(map(get, s)) for h, s in zip(heads, split, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """One for each worker process."""
+    return PieceEncoder(path)
 
 
 def default_tokenizer() -> str:
@@ -179,7 +239,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     rows = rows.sortWithinPartitions("_bucket", F.col("doc_id").asc_nulls_first(), "_u").select("doc_id", "text", "_bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer or default_tokenizer())
+        pieces = encoder(tokenizer or default_tokenizer())
         tail = np.array([end], "<u4").tobytes()
         at = {"bucket": None, "part": 0, "first": 0}
         held: list[tuple[int | None, bytes]] = []
@@ -195,9 +255,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["bucket", "part", "first_token", "n_docs", "n_tokens", "body"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                ids, texts, buckets = (batch.column(i).slice(k, 128).to_pylist() for i in range(3))
-                for doc_id, code, bucket in zip(ids, encoder.encode(texts), buckets, strict=True):
+            for k in range(0, batch.num_rows, 256):
+                ids, texts, buckets = (batch.column(i).slice(k, 256).to_pylist() for i in range(3))
+                for doc_id, code, bucket in zip(ids, pieces.encode(texts), buckets, strict=True):
                     if bucket != at["bucket"]:
                         if held:
                             yield close()
