@@ -12,6 +12,7 @@ from ..sources.scratch import materialise, new_path
 from ..sources.tables import PartitionFilter, scan_partition, table
 from ..streaming import streams
 from . import fixtures as fx
+from . import runs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -381,6 +382,42 @@ def propose_candidates(spark, sf_dir):
     return propose.propose_frame(profile.column_stats(table(spark, sf_dir, "customer")))
 
 
+_WRITTEN = [
+    (0, "customer", "c_custkey", "unique", "{}"),
+    (1, "customer", "c_custkey", "unique", "{}"),
+    (2, "customer", "c_nationkey", "accepted_values", '{"values": ["1", "2", "3"]}'),
+    (3, "customer", "c_nationkey", "relationships", '{"to": "ref(\'nation\')", "field": "n_nationkey"}'),
+    (4, "customer", "c_phone", "not_null", "{}"),
+    (5, "customer", "c_name", "pkg.positive", "{}"),
+    (6, "customer", None, "custom_sql", '{"sql": "c_acctbal < 0"}'),
+]
+
+
+@query(
+    """SELECT 'unique' AS test_type, 'always-passes' AS reason, (SELECT count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS failures, 'removed' AS change
+UNION ALL SELECT 'accepted_values', 'kept', (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (1, 2, 3)), 'unchanged'
+UNION ALL SELECT 'relationships', 'always-passes', (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)), 'removed'
+UNION ALL SELECT 'custom_sql', 'kept', (SELECT count(*) FROM customer WHERE c_acctbal < 0), 'unchanged'
+UNION ALL SELECT 'not_null', 'nonexistent-column', NULL, 'skipped' UNION ALL SELECT 'pkg.positive', 'unsupported-test-type', NULL, 'skipped'"""
+)
+def prune_existing(spark, sf_dir):
+    raw = spark.createDataFrame(_WRITTEN, "position int, table_name string, column string, name string, body_json string")
+    run = runs.prune_existing(table(spark, sf_dir, "customer"), raw, {"nation": table(spark, sf_dir, "nation")})
+    judged = run.decisions.join(run.changes, ["table_name", "anchor", "test_type", "args_hash"]).select("test_type", "reason", "failures", "change")
+    return judged.union(run.skipped.select("name", "reason", F.lit(None).cast("long"), F.lit("skipped")))
+
+
+@query(
+    """SELECT 'c_custkey' AS "column", 'unique' AS test_type, 'always-passes' AS reason, 0::BIGINT AS failures FROM (SELECT count(*) FROM customer)
+UNION ALL SELECT c, 'not_null', 'always-passes', 0 FROM (SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS c)
+UNION ALL SELECT 'c_name', 'unique', 'always-passes', 0 UNION ALL SELECT 'c_mktsegment', 'accepted_values', 'always-passes', 0
+UNION ALL SELECT 'c_nationkey', 'relationships', 'always-passes', (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation))"""
+)
+def propose_and_prune(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").withColumn("c_acctbal", F.floor(F.col("c_acctbal") / 100))
+    return runs.propose_and_prune(customer, "customer", {"nation": table(spark, sf_dir, "nation")}).select("column", "test_type", "reason", "failures")
+
+
 # grades and tiers ------------------------------------------------------------------------------
 
 
@@ -477,6 +514,13 @@ def report_entries(spark, sf_dir):
     return report.report_entries(report.tiers(_decided(spark, sf_dir), scores), identity.description_ids(columns), scores)
 
 
+@query(f"WITH {fx.SQL_GRADES} SELECT artifact_id, criterion_id, score, CASE WHEN pos = 0 THEN score ELSE 0.5 END AS reported_score FROM grades WHERE pos = 1 AND score IS NOT NULL AND score <> 0.5")
+def grade_drift(spark, sf_dir):
+    log = fx.grades(spark, sf_dir).where("score IS NOT NULL").withColumn("run_id", F.lit("r"))
+    said = log.withColumn("score", F.when(F.col("pos") == 0, F.col("score")).otherwise(0.5))
+    return grades.grade_drift(log, said).drop("run_id")
+
+
 # costs and logs --------------------------------------------------------------------------------
 
 
@@ -547,6 +591,14 @@ def stream_reason_counts(spark, sf_dir):
     return _drained(spark, streams.reason_counts(_event_log(spark, sf_dir)))
 
 
+@query(
+    f"WITH {_SQL_LOG}, w AS (SELECT date_trunc('day', ts) AS window_start, model_unique_id, count(*) FILTER (reason IN ('purchase', 'signup')) AS kept, count(*) AS total FROM l GROUP BY ALL) "
+    "SELECT * FROM w WHERE kept / total <= 0.35 AND window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM l)"
+)
+def stream_kept_rate(spark, sf_dir):
+    return _drained(spark, streams.kept_rate_by_window(_event_log(spark, sf_dir), threshold=0.35))
+
+
 @query("SELECT record_id FROM (SELECT DISTINCT (event_id % 5000)::VARCHAR AS record_id FROM events)")
 def stream_dedupe(spark, sf_dir):
     return _drained(spark, streams.without_duplicates(_event_log(spark, sf_dir), late="60 days").select("record_id"))
