@@ -8,7 +8,9 @@ bucket.  Rows with a null key get buckets of their own at one end, in proportion
 
 from __future__ import annotations
 
+import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +19,17 @@ from pyspark.sql import functions as F
 OVER = 4
 
 
+def _longs(values: list[int]) -> Column:
+    """An array constant; as JSON, since that is one expression however long the list."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
 def _at_most(splitters: list[int], x: Column) -> Column:
     """How many of the sorted splitters are at most x; looks at 2 sqrt(n) of them."""
     if not splitters:
         return F.lit(0)
     width = math.isqrt(len(splitters) - 1) + 1
-    array = F.array(*map(F.lit, splitters))
-    top = F.array(*map(F.lit, splitters[width - 1 :: width])) if len(splitters) >= width else F.array().cast("array<bigint>")
+    array, top = _longs(splitters), _longs(splitters[width - 1 :: width])
     group = F.size(F.filter(top, lambda s: s <= x))
     return group * width + F.size(F.filter(F.slice(array, group * width + 1, F.lit(width)), lambda s: s <= x))
 
@@ -40,8 +46,7 @@ def with_buckets(df: DataFrame, key: str, tie: str, bucket: str = "_bucket", nul
     nulls = math.ceil(parts * (found["n"] - found["k"]) / found["n"]) if found["n"] else 0
     unit = F.shiftrightunsigned(F.col(tie), 11) / F.lit(float(1 << 53))  # [0, 1), rising with the unsigned hash
     below = _at_most(splitters, F.col(key))
-    repeats = {s: splitters.count(s) for s in set(splitters)} if len(set(splitters)) < len(splitters) else {}
-    for value, times in repeats.items():
+    for value, times in Counter(splitters).items():
         if times > 1:
             first = splitters.index(value) + 1
             below = F.when(F.col(key) == value, F.lit(first) + F.floor(unit * times).cast("int")).otherwise(below)
