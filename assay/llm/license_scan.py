@@ -63,8 +63,8 @@ TEMPLATES = [
 
 
 def words(text: Column) -> Column:
-    """The words of a normalised text."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    """The words of a normalised text; one empty word if it has none."""
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
 def bigrams(w: Column) -> Column:
@@ -72,6 +72,11 @@ def bigrams(w: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def _once(value: Column, name: str) -> Column:
+    """A column that later filters do not compute again: they stay above the generator."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def templates(spark: SparkSession, rows: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     return spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(rows)], "template_id int, license string, template string")
 
@@ -97,7 +102,10 @@ def scan(docs: DataFrame, known: DataFrame, least: float = LEAST, text: str = "t
     units = F.array_distinct(F.concat(F.split(t, "\n"), blocks, F.when(F.instr(t, "\n") > 0, F.array(t)).otherwise(F.array().cast("array<string>"))))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.select("_row", "doc_id", F.posexplode(units).alias("pos", "unit"))
-    rows = rows.withColumn("w", words(F.col("unit"))).where(F.size("w") > low).withColumn("a", bigrams(F.col("w"))).drop("w").where(F.size("a").between(low, high))
+    rows = rows.select("_row", "doc_id", "pos", "unit", _once(words(F.col("unit")), "w"))
+    # a unit has no fewer distinct bigrams than distinct words but one
+    rows = rows.where((F.size("w") > low) & ((F.size("w") <= high + 1) | (F.size(F.array_distinct("w")) <= high + 1)))
+    rows = rows.select("_row", "doc_id", "pos", "unit", _once(bigrams(F.col("w")), "a")).where(F.size("a").between(low, high))
     met = rows.select("_row", "doc_id", "pos", "unit", "a", F.explode("a").alias("bigram")).join(side, "bigram").select("_row", "doc_id", "pos", "unit", "a", F.explode("of").alias("t"))
     dice = 2 * F.size(F.array_intersect("a", "t.b")) / (F.size("a") + F.col("t.nb"))
     bound = (F.size("a") >= F.col("t.nb") * (least / (2 - least)) - 1e-9) & (F.size("a") <= F.col("t.nb") * ((2 - least) / least) + 1e-9)
