@@ -114,13 +114,14 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: int, hashes: int) -> D
     return joined.select("x", "y", "sig_x", "sig_y").mapInArrow(run, "x long, y long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, width: int, scratch: list[DataFrame]) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
     ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
     wanted, size = measured(ids, "near-ids")
     side = F.broadcast(wanted) if size.n <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
     texts = materialise(texts.dropDuplicates(), "near-texts")
+    scratch += [wanted, texts]
     x, y = texts.toDF("x", "text_x"), texts.toDF("y", "text_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +138,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
     return pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, width: int, scratch: list[DataFrame]) -> DataFrame:
     """(doc_id, set) of the texts of some ids, the set as sorted 64-bit shingle hashes."""
     wanted, size = measured(ids, "near-ids")
     side = F.broadcast(wanted) if size.n <= BROADCAST_IDS else wanted
+    scratch.append(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,14 +190,14 @@ def linked(sets: list[np.ndarray], owner: np.ndarray, threshold: int) -> list[tu
     return out
 
 
-def _across(left: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+def _across(left: DataFrame, docs: DataFrame, threshold: int, width: int, scratch: list[DataFrame]) -> DataFrame:
     """Links between components that share buckets, from full sets; (x, y) are component ids.
 
     left: (key, doc_id, c, blocks).  A bucket's members are dealt to so many blocks by hash, and
     every two blocks meet in one bounded group (at most about twice BLOCK_DOCS members); no pair
     of members becomes a row.
     """
-    sets = _sets(docs, left.select("doc_id").distinct(), width)
+    sets = _sets(docs, left.select("doc_id").distinct(), width, scratch)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))))
     dealt = left.withColumn("block", block).select("key", "doc_id", "c", "block", other.alias("other"))
@@ -245,8 +247,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     buckets = materialise(keyed.join(ends, "key"), "near-buckets")
     pair = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
     tried = buckets.select(F.explode(F.array(pair("doc_id", "low"), pair("doc_id", "high"))).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
-    tried = materialise(tried, "near-pairs")
-    links = materialise(_confirm(materialise(_likely(tried, reps, threshold, bands * rows), "near-likely"), docs, threshold, width), "near-links")
+    likely = materialise(_likely(tried, reps, threshold, bands * rows), "near-likely")
+    scratch = [buckets, likely]
+    links = materialise(_confirm(likely, docs, threshold, width, scratch), "near-links")
     found = components(links)
 
     # buckets whose members still lie in several components; up to three members have met already
@@ -254,12 +257,16 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), blocks.alias("blocks")).where("low <> high").select("key", "blocks")
     left, some = measured(named.join(mixed, "key").select("key", "doc_id", "c", "blocks"), "near-open")
+    scratch += [links, left]
     if some.n:
-        more, some = measured(_across(left, docs, threshold, width), "near-more")
+        more, some = measured(_across(left, docs, threshold, width, scratch), "near-more")
+        scratch.append(more)
         if some.n:
             merged = components(more).toDF("c", "root")
-            found = classes.select(F.col("rep").alias("doc_id")).join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
+            found = classes.select(F.col("rep").alias("doc_id")).distinct().join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
             found = found.join(merged, "c", "left").select("doc_id", F.coalesce("root", "c").alias("component_id"))
+    for old in scratch:
+        discard(old)
     found = found.withColumnRenamed("doc_id", "rep")
     named = classes.join(found, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
