@@ -28,11 +28,13 @@ from __future__ import annotations
 import os
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +45,10 @@ from .ordered import unsigned, with_buckets
 END = 0
 SEGMENT = 1 << 18
 RANK_BITS = 512
+#: Texts whose distinct words are looked up together.
+BATCH = 512
 #: Entries and characters that a worker's cache of pieces may hold before it starts anew.
-CACHE_PIECES, CACHE_CHARS = 500_000, 12_000_000
+CACHE_PIECES, CACHE_CHARS = 250_000, 5_000_000
 
 
 def _levels(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,15 +134,16 @@ class Segment:
 
 
 class PieceEncoder:
-    """Ids of texts by the tokenizers library, as little-endian u32, with a bounded cache of words.
+    """Ids of texts by the tokenizers library, with a bounded cache of words.
 
-    New words go to the library many at a time, a line feed between them: it is a match of the
+    Texts are split and their words numbered by Arrow, so Python only sees the distinct words of a
+    batch; numpy then lays out the ids of all of them.  New words go to the library many at a time, a line feed between them: it is a match of the
     split pattern of its own there, and its id, which no word contains, tells the words' ids apart.
     A word of letters with punctuation behind it is two matches, so only its letters are new.
     """
 
-    #: White space other than the space and the line feed.
-    _other = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: White space that is not one space or line feed alone.
+    _odd = "[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     _behind = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
     def __init__(self, path: str):
@@ -178,40 +183,57 @@ class PieceEncoder:
             out.append(raw[at:])
         return out
 
-    def _learn(self, cache: dict[str, bytes], new: set[str], lead: str) -> None:
-        parts = {w: w.rstrip(self._behind) for w in new}
-        split = [w for w, c in parts.items() if c != w and c.isalpha()]
-        base = new.difference(split)
-        base.update(parts[w] for w in split)
-        base = list(base.difference(cache))
+    def _learn(self, cache: dict[str, bytes], new: list[str], lead: str) -> None:
+        parts = [w.rstrip(self._behind) for w in new]
+        split = [(w, c, w[len(c) :]) for w, c in zip(new, parts, strict=True) if len(c) < len(w) and c.isalpha()]
+        whole = [w for w, c in zip(new, parts, strict=True) if len(c) == len(w) or not c.isalpha()]
+        base = list({c for _, c, _ in split if c not in cache}.union(whole))
         cache.update(zip(base, self._words(base, lead), strict=True))
-        behind = list({w[len(parts[w]) :] for w in split}.difference(self.first))
+        behind = list({e for _, _, e in split if e not in self.first})
         self.first.update(zip(behind, self._words(behind, ""), strict=True))
-        for w in split:
-            cache[w] = cache[parts[w]] + self.first[w[len(parts[w]) :]]
+        cache.update((w, cache[c] + self.first[e]) for w, c, e in split)
         self.chars += sum(map(len, new))
 
-    def _simple(self, text: str) -> bool:
-        """Whether all white space is single spaces and line feeds."""
-        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or self._other.search(text))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _split(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts whose white space is single spaces and line feeds."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        edge = words.offsets.to_numpy().astype(np.int64)
+        edge = edge - edge[0]
+        numbered = words.flatten().dictionary_encode()
+        number, known = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = edge[:-1]  # every text has a first word, maybe an empty one
+        first = [known[i] for i in number[heads].tolist()]
+        codes = list(map(self.later.get, known))
+        missing = [i for i, c in enumerate(codes) if c is None]
+        new = [known[i] for i in missing]
+        lines = [w for w in new if w[:1] == "\n"]
+        if leads := list({w for w in [*first, *(x[1:] for x in lines)] if w not in self.first}):
+            self._learn(self.first, leads, "")
+        if len(new) > len(lines):
+            self._learn(self.later, [w for w in new if w[:1] != "\n"], " ")
+        self.later.update((w, self.feed + self.first[w[1:]]) for w in lines)
+        for i, w in zip(missing, new, strict=True):
+            codes[i] = self.later[w]
+        codes += map(self.first.__getitem__, first)
+        number[heads] = len(known) + np.arange(len(heads))
+        pool = np.frombuffer(b"".join(codes), "<u4")
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        each = size[number]
+        end = np.cumsum(each)
+        ids = pool[np.repeat((np.cumsum(size) - size)[number] - (end - each), each) + np.arange(end[-1] if len(end) else 0)]
+        at = np.r_[0, end][edge]
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a large_string array without nulls."""
         if len(self.first) + len(self.later) > CACHE_PIECES or self.chars > CACHE_CHARS:
             self._start()
-        split = [t.replace("\n", " \n").split(" ") if self._simple(t) else None for t in texts]
-        heads = [s.pop(0) if s else "" for s in split]
-        tails = set().union(*filter(None, split)).difference(self.later)
-        lines = [w for w in tails if w[:1] == "\n"]
-        tails.difference_update(lines)
-        if new := {*heads, *(w[1:] for w in lines)}.difference(self.first):
-            self._learn(self.first, new, "")
-        if tails:
-            self._learn(self.later, tails, " ")
-        for w in lines:
-            self.later[w] = self.feed + self.first[w[1:]]
-        whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if s is None]))
-        get = self.later.__getitem__
-        return [next(whole) if s is None else self.first[h] + b"".join(map(get, s)) for h, s in zip(heads, split, strict=True)]
+        odd = pc.match_substring_regex(texts, self._odd)
+        if not pc.any(odd).as_py():
+            return self._split(texts)
+        split = iter(self._split(texts.filter(pc.invert(odd))))
+        whole = (np.frombuffer(x, "<u4") for x in self._ids(texts.filter(odd).to_pylist()))
+        return [next(whole) if o else next(split) for o in odd.to_pylist()]
 
 
 @lru_cache(maxsize=2)
@@ -240,30 +262,30 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(tokenizer or default_tokenizer())
-        tail = np.array([end], "<u4").tobytes()
+        tail = np.array([end], "<u4")
         at = {"bucket": None, "part": 0, "first": 0}
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[int | None, np.ndarray]] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal held, size
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            row = [at["bucket"], at["part"], at["first"], len(held), len(ids), pack([d for d, _ in held], [len(x) // 4 for _, x in held], ids)]
+            ids = np.concatenate([y for _, x in held for y in (x, tail)])
+            row = [at["bucket"], at["part"], at["first"], len(held), len(ids), pack([d for d, _ in held], [len(x) + 1 for _, x in held], ids)]
             at["part"], at["first"] = at["part"] + 1, at["first"] + len(ids)
             held, size = [], 0
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["bucket", "part", "first_token", "n_docs", "n_tokens", "body"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                ids, texts, buckets = (batch.column(i).slice(k, 256).to_pylist() for i in range(3))
-                for doc_id, code, bucket in zip(ids, pieces.encode(texts), buckets, strict=True):
+            for k in range(0, batch.num_rows, BATCH):
+                ids, texts, buckets = (batch.column(i).slice(k, BATCH) for i in range(3))
+                for doc_id, code, bucket in zip(ids.to_pylist(), pieces.encode(texts.cast(pa.large_string())), buckets.to_pylist(), strict=True):
                     if bucket != at["bucket"]:
                         if held:
                             yield close()
                         at.update(bucket=bucket, part=0, first=0)
-                    held.append((doc_id, code + tail))
-                    size += len(code) // 4 + 1
+                    held.append((doc_id, code))
+                    size += len(code) + 1
                     if size >= segment:
                         yield close()
         if held:
@@ -272,8 +294,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     rows.mapInArrow(run, _SEGMENTS).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of the files: doc_id, start, n_tokens, token ids as little-endian u32 bytes."""
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """Every document of the files: doc_id, start, n_tokens and its ids, as little-endian u32 bytes.
+
+    digest: the unsigned crc32 of these bytes (``ids_crc32``) in their place.
+    """
     files = spark.read.schema(_SEGMENTS).parquet(path)
     sums = sorted(files.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each bucket
     before, starts = 0, []
@@ -288,22 +313,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for start, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seg = Segment(body.as_buffer().to_pybytes())
                 at = seg.offsets.astype(np.int64)
-                ids = [seg.tokens(int(a), int(b)).astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(seg.doc_ids, pa.int64()), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
-
+                ids = (seg.tokens(a, b).astype("<u4") for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+                last = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array([x.tobytes() for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(seg.doc_ids, pa.int64()), pa.array(at[:-1] + start), pa.array(np.diff(at)), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-def with_crc(df: DataFrame) -> DataFrame:
-    """The unsigned crc32 of the id bytes in their place."""
-    return df.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def op8_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and write all documents, then read every document's ids from the files."""
     path = new_path(spark, "tokens")
     write(table(spark, sf_dir, "documents"), path)
-    return with_crc(read(spark, path))
+    return read(spark, path, digest=True)
 
 
 QUERIES = {"op8_addressable_codes": op8_addressable_codes}

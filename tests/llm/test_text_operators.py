@@ -267,11 +267,23 @@ def test_token_files(spark):
 
 
 def test_piece_cache_starts_anew(monkeypatch):
+    import pyarrow as pa
+
     monkeypatch.setattr(token_files, "CACHE_PIECES", 10)
     e = token_files.PieceEncoder(token_files.default_tokenizer())
-    first = e.encode([" ".join(words_of(50))])
-    assert e.encode(["a b"]) and len(e.first) + len(e.later) < 5
-    assert e.encode([" ".join(words_of(50))]) == first
+    column = lambda *texts: pa.array(texts, pa.large_string())
+    first = e.encode(column(" ".join(words_of(50)), ""))
+    assert e.encode(column("a b")) and len(e.first) + len(e.later) < 6
+    assert [x.tolist() for x in e.encode(column(" ".join(words_of(50)), ""))] == [x.tolist() for x in first]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abZ1'.,s \n\t\u00a0\x1dé", max_size=40), min_size=1, max_size=4))
+def test_words_give_the_ids_of_the_whole(texts):
+    import pyarrow as pa
+
+    e = token_files.encoder(token_files.default_tokenizer())
+    assert [x.tolist() for x in e.encode(pa.array(texts, pa.large_string()))] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
 
 
 # 9
