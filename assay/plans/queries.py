@@ -9,7 +9,7 @@ from ..functions.columns import short_hash
 from ..operators import checks, cost, grades, hygiene, identity, profile, propose, redact, report, sampling, verdict
 from ..operators.checks import Test
 from ..sources.scratch import materialise, new_path
-from ..sources.tables import PartitionFilter, scan_partition, table
+from ..sources.tables import PartitionFilter, is_directory, scan_partition, table
 from ..streaming import streams
 from . import fixtures as fx
 from . import runs
@@ -569,8 +569,10 @@ def record_size(spark, sf_dir):
 
 def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a log stream: user groups are tables, types are reasons."""
-    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    # a stream reads directories; the glob is held against file names, so it fits a single file only
+    rows = reader.parquet(path) if is_directory(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return rows.select(
         F.col("ts").cast("timestamp").alias("timestamp"), F.concat(F.lit("model."), (F.col("user_id") % 5).cast("string")).alias("model_unique_id"), F.col("event_type").alias("reason"),
         F.when(F.col("event_type").isin("purchase", "signup"), "kept").otherwise("dropped").alias("decision"), (F.col("event_id") % 5000).cast("string").alias("record_id"), "event_id", "user_id", "value",

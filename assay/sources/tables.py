@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return scan(spark, f"{sf_dir}/{name}.parquet", columns or None)
 
 
+def is_directory(spark: SparkSession, path: str) -> bool:
+    """Whether a table is a directory of part files, in any store that Spark reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
 def partition_condition(by: PartitionFilter) -> Column:
     if by.op not in COMPARISONS:
         raise ValueError(f"operator {by.op!r} is not one of {sorted(COMPARISONS)}")

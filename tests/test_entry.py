@@ -54,3 +54,20 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = failing_rows(df, Test("lineitem", "not_null", "l_tax"), {}).select("l_tax")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in plan and "l_comment" not in plan
     assert "ReadSchema: struct<l_tax:double,l_shipdate" in plan
+
+
+STREAMS = ["stream_reason_counts", "stream_kept_rate", "stream_dedupe", "stream_batch_checks", "stream_pairs", "stream_sessions"]
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_read_a_file_or_a_directory_of_part_files(spark, duck, tmp_path, name):
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "events.parquet").symlink_to(f"{DATA}/events.parquet")
+    spark.read.parquet(f"{DATA}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/parts/events.parquet")
+    want = duck.sql(ORACLES[name])
+    columns = sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    want = sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
+    for form in ("file", "parts"):
+        got = entry.queries()[name](spark, f"{tmp_path}/{form}").collect()
+        assert sorted(tuple(plain(r[c]) for c in columns) for r in got) == want and want
