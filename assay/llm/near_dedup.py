@@ -274,20 +274,21 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each group stays, with all its columns: the row of the smallest id.
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, apart: bool = True) -> DataFrame:
+    """One row of each group of near-duplicates stays, with all its columns: the row of the smallest id.
 
-    Rows without words stay.  Rows that repeat an id and its text stay once; so do rows without an
-    id that repeat a text (they take no part in the links between ids).
+    Rows are judged one by one, by a key of their own: rows that repeat an id are linked by their
+    texts only, and rows without an id are linked like all others.  A row without an id comes last
+    in its group; with ``apart`` the rows without an id of a group keep one row beside the named
+    one, otherwise a group keeps one row in all.  Rows without words stay.
     """
-    ids = near_duplicates(docs, threshold)
-    gone = ids.where("not kept and doc_id is not null").select("doc_id").distinct()
-    twice = materialise(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "near-twice")
-    rest = docs.join(gone, "doc_id", "left_anti")
-    if twice.isEmpty() and docs.where("doc_id is null").isEmpty():
-        return rest.select(docs.columns)
-    once = rest.join(twice, "doc_id", "left_semi").union(rest.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
-    return rest.where("doc_id is not null").join(twice, "doc_id", "left_anti").union(once).select(docs.columns)
+    # written, so that a row has the same key in every later step
+    keyed = materialise(docs.select("*", F.monotonically_increasing_id().alias("_key"), F.xxhash64("text").alias("_hash")), "near-keyed")
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_key"), "component_id")
+    unnamed = F.col("doc_id").isNull()
+    groups = found.join(keyed.select("_key", "_hash", "doc_id"), "_key").groupBy("component_id", unnamed if apart else F.lit(True))
+    kept = groups.agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "_hash", "_key")).alias("m")).select("m._key")
+    return keyed.join(kept, "_key", "left_semi").select(docs.columns)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

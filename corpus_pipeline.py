@@ -24,8 +24,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dedup.deduplicate(docs, threshold=SIMILARITY)
+    """One document of each group of near-duplicates, with an id or without."""
+    return near_dedup.deduplicate(docs, threshold=SIMILARITY, apart=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

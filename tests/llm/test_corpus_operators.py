@@ -161,6 +161,17 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in left.collect()) == sorted([(7, b), (-1, b), (3, "")])
 
 
+def test_deduplicate_drops_rows_and_not_ids(spark):
+    a, b, c, d = (text_of(150, k) for k in range(1, 5))
+    rows = [(5, a), (7, a), (7, b), (None, a), (None, c), (None, edited(c, 1, 1)), (None, edited(c, 1, 2)), (8, d), (8, edited(d, 1, 3)), (None, d), (None, ""), (None, None)]
+    left = [(r["doc_id"], r["text"]) for r in near_dedup.deduplicate(frame(spark, rows).repartition(3), apart=False).collect()]
+    assert sorted(i for i, t in left if i) == [5, 7, 8] and len(left) == 6
+    assert {(5, a), (7, b), (None, ""), (None, None)} < set(left)
+    assert sum(i is None and t in {c, *(t for _, t in rows[4:7])} for i, t in left) == 1
+    named = [(r["doc_id"], r["text"]) for r in near_dedup.deduplicate(frame(spark, rows)).collect()]
+    assert set(left) - {(8, t) for _, t in rows[7:9]} < set(named) and len(named) == 8 and {(None, a), (None, d)} < set(named)
+
+
 def test_long_chain_of_links(spark):
     links = spark.range(400).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
     both = links.union(spark.createDataFrame([(1000, 1001), (1001, 1000), (5, 5)], "x long, y long"))
