@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checks import Test
-from .sampling import key_sample
 
 #: Share of distinct values from which a column looks like a key, and the most values of a list.
 KEY_SHARE, MOST_VALUES = 0.99, 8
@@ -27,30 +26,29 @@ def propose_frame(profile: DataFrame) -> DataFrame:
     return profile.select("column", F.explode(kinds).alias("test_type"))
 
 
-def propose_candidates(df: DataFrame, table: str, profile: DataFrame, parents: dict[str, DataFrame] | None = None, bucket: int = 4) -> list[Test]:
-    """Tests of one table.  Lists of values come from one hash bucket of rows, so that the others can refute them.
+def propose_candidates(df: DataFrame, table: str, profile: DataFrame, parents: dict[str, DataFrame] | None = None) -> list[Test]:
+    """Tests of one table.  Lists of values hold what all rows have.
 
     parents: tables by name, their key in the first column; a column that ends like a parent's key
-    and whose values it contains, measured on the same bucket, is proposed as a reference to it.
+    and whose values it contains, measured on all rows, is proposed as a reference to it.
     """
     out = []
-    for column, kind in propose_frame(profile).collect():  # metadata: a few rows per column
-        if kind == "accepted_values":
-            some = key_sample(df, df.columns, bucket)
-            values = some.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct().orderBy(column).limit(MOST_VALUES + 1).collect()
-            out.append(Test(table, kind, column, tuple(v[0] for v in values)))
-        else:
-            out.append(Test(table, kind, column))
+    kinds = propose_frame(profile).collect()  # metadata: a few rows per column
+    lists = [r["column"] for r in kinds if r["test_type"] == "accepted_values"]
+    found = df.agg(*(F.slice(F.array_sort(F.collect_set(F.col(c).cast("string"))), 1, MOST_VALUES + 1) for c in lists)).first() if lists else ()  # the profile says that they are short
+    values = dict(zip(lists, found, strict=True))
+    for column, kind in kinds:
+        out.append(Test(table, kind, column, tuple(values[column])) if kind == "accepted_values" else Test(table, kind, column))
     for name, parent in (parents or {}).items():
         key = parent.columns[0]
         for column in df.columns:
-            if name != table and column.split("_", 1)[-1] == key.split("_", 1)[-1] and _contained(key_sample(df, df.columns, bucket), column, parent, key) >= CONTAINED:
+            if name != table and column.split("_", 1)[-1] == key.split("_", 1)[-1] and _contained(df, column, parent, key) >= CONTAINED:
                 out.append(Test(table, "relationships", column, to=name, field=key))
     return out
 
 
 def _contained(df: DataFrame, column: str, parent: DataFrame, key: str) -> float:
-    """Share of the non-null values of a column that are keys of the parent."""
-    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
+    """Share of the non-null values of a column that are keys of the parent; each value is looked up once."""
+    rows = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
     keys = parent.select(F.col(key).alias("_v")).distinct().withColumn("_in", F.lit(1))
-    return rows.join(keys, "_v", "left").agg(F.coalesce(F.avg(F.coalesce("_in", F.lit(0))), F.lit(0.0))).first()[0]
+    return rows.join(keys, "_v", "left").agg(F.coalesce(F.sum(F.col("_n") * F.coalesce("_in", F.lit(0))) / F.sum("_n"), F.lit(0.0))).first()[0]

@@ -110,6 +110,16 @@ def test_proposals(spark):
     assert [t.values for t in got if t.values] == [("a", "b")]
 
 
+def test_proposals_look_at_all_rows(spark):
+    for k in range(6):  # equal rows share a hash, so a sample by it has all of them or none
+        good = spark.range(200).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"), (F.col("id") % 10).alias("u_id"), "id")
+        df = good.union(spark.range(100).select(F.lit("c"), F.lit(90 + k), F.lit(-1)))
+        got = propose.propose_candidates(df, "t", profile.column_stats(df), {"u": spark.range(10).toDF("x_id")})
+        assert [t.values for t in got if t.type == "accepted_values"] == [("a", "b", "c")]
+        assert not [t for t in got if t.type == "relationships"]
+        assert propose._contained(df, "u_id", spark.range(10).toDF("x_id"), "x_id") == pytest.approx(2 / 3)
+
+
 GRADES = "table_name string, artifact_id string, criterion_id string, pos int, score double, passed boolean, reasoning string"
 
 
