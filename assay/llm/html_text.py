@@ -12,7 +12,8 @@ Training counts labelled pages: the hand-labelled ones below, and a bounded samp
 or <main> element): what lies in it and in no nav, aside, form, header or footer is content.
 Counting runs on the executors.  Extraction is a map over all rows.
 
-Text: scripts, styles, comments, head and the like give none; character references are decoded;
+Text: scripts, styles, titles, form controls, comments and head give none; formulas, drawings' labels,
+<xmp> and the fallback of <noscript>, <object> and media are text like any other; character references are decoded;
 white space inside a block becomes one space; blocks follow in page order, two line feeds between
 them.  Defined cases: a null or empty page, or one without text, gives ""; text without markup is
 one block; unclosed and crossed tags are closed as HTML's rules for paragraphs, lists and tables
@@ -25,7 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html import unescape
+from html import escape, unescape
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -41,7 +42,9 @@ HAND_WEIGHT = 5
 
 # fixed values: element names by their role in HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math object canvas audio video select".split())
+RAW = frozenset("script style title textarea select".split())
+#: Labels in drawings and notes of formulas: white space sets them apart.
+LABEL = frozenset("text annotation".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul".split()
 )
@@ -144,11 +147,19 @@ def parse(html: str) -> Page:
                 piece.append((stack[-1][1], " "))
             continue
         attributes = found[3] or found[6] or ""
-        if tag in RAW:
-            if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+        if tag in RAW or tag == "xmp":
+            over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            if tag == "xmp" and over:  # its markup is text
+                piece.append((stack[-1][1], " "))
+                say(escape(html[at : over.start()]))
+                piece.append((stack[-1][1], " "))
+            if over or tag in ("script", "style"):  # others that are not closed hide nothing
                 at = over.end() if over else end
             continue
+        if tag not in BLOCK and attributes.rstrip().endswith("/") and any(t in ("svg", "math") for t, _ in [*stack, (tag, 0)]):
+            continue  # drawings and formulas have elements that close themselves
+        if tag in LABEL:
+            piece.append((stack[-1][1], " "))
         if tag in ENDS_P:
             close(frozenset(["p"]), P_SCOPE)
         if tag in CLOSES:

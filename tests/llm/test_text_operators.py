@@ -205,6 +205,28 @@ def test_pages(spark):
     assert html_text.train(df.where(F.col("html").isNull())).edge
 
 
+def test_formulas_drawings_and_fallback_are_text():
+    counts = html_text.Counter()
+    for text in html_text.hand_labelled():
+        p = html_text.parse(text)
+        counts += html_text.count(p, html_text.hand_labels(p))
+    model = html_text.estimate(counts)
+    long = "The words of a paragraph go on until its end, and then the next begins."
+    for inner, want in [
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"),
+        ("<svg viewBox='0 0 1 1'><style>t{}</style><path d='M0'/><text x=1>North</text><text x=2>South</text></svg>", "North South"),
+        ("<xmp><b>bold &amp;</b></xmp>", "<b>bold &amp;</b>"),
+        *((f"<{t}>Shown {t} instead</{t}>", f"Shown {t} instead") for t in ("noscript", "object", "canvas", "audio", "video", "template", "iframe", "noframes")),
+        ("<script>no</script><select><option>no</select><textarea>no</textarea>yes", "yes"),
+    ]:
+        got = html_text.extract_text(f"<article><p>{long}</p><p>A {inner} B</p><p>{long}</p></article>", model)
+        assert " ".join(got.split()) == f"{long} A {want} B {long}"
+    for tag in ("math", "svg", "xmp", "noscript", "object", "video", "iframe", "template", "canvas", "title", "textarea", "select"):
+        got = html_text.extract_text(f"<article><p>{long}</p><p>A <{tag}>B</p><p>{long}</p></article>", model)
+        assert got == f"{long}\n\nA B\n\n{long}"
+    assert html_text.extract_text(f"<article><p>{long}</p><script>x<p>{long}</p></article>", model) == long
+
+
 def test_sum_product_equals_enumeration():
     import itertools
     import math
