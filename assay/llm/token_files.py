@@ -14,10 +14,9 @@ continuation bitmap says that the id goes on in level 1, at the position that th
 before it) gives, and so on.  The rank directory holds the rank of every 512th bit, so reading an
 id or a range of ids costs a popcount of at most 512 bits per level, and decodes nothing else.
 
-Ids come from the tokenizers library.  Texts whose white space is single spaces and line feeds are cut
-before each space and around each line feed (there every match of the byte-level split pattern
-ends, and a space leads the next one); a bounded cache maps such a word to the ids the library
-gives for it.  Other texts go to the library whole.
+Ids come from the tokenizers library.  Texts are cut where every match of the byte-level split
+pattern ends, into words that a space may lead; a bounded memory maps a word to the ids the library
+gives for it.  For a tokenizer with other splitting texts go to the library whole.
 
 Defined cases: null and empty texts have only the end id; rows without doc_id come first; rows
 that repeat an id follow in the order of their texts' hash; every row is written.
@@ -25,12 +24,14 @@ that repeat an id follow in the order of their texts' hash; every row is written
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
-from .common import table
+from .common import mix, table
 from .ordered import unsigned, with_buckets
 
 END = 0
 SEGMENT = 1 << 18
 RANK_BITS = 512
-#: Texts whose distinct words are looked up together.
-BATCH = 512
-#: Entries and characters that a worker's cache of pieces may hold before it starts anew.
-CACHE_PIECES, CACHE_CHARS = 250_000, 5_000_000
+#: Texts that are encoded together, and bytes of them that are cut into words at a time.
+BATCH, WINDOW = 2048, 1 << 22
+#: Words and ids that a worker remembers, and the bytes of a word that it will not keep.
+CACHE_WORDS, CACHE_IDS, LONG_WORD = 1_000_000, 6_000_000, 64
 
 
 def _levels(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -133,18 +134,137 @@ class Segment:
         return out
 
 
-class PieceEncoder:
-    """Ids of texts by the tokenizers library, with a bounded cache of words.
+class Words:
+    """A bounded memory of words and the ids that stand for them, in numpy and Arrow arrays.
 
-    Texts are split and their words numbered by Arrow, so Python only sees the distinct words of a
-    batch; numpy then lays out the ids of all of them.  New words go to the library many at a time, a line feed between them: it is a match of the
-    split pattern of its own there, and its id, which no word contains, tells the words' ids apart.
-    A word of letters with punctuation behind it is two matches, so only its letters are new.
+    Words are found by a 64-bit hash in a sorted array, and the text is compared, so an equal hash
+    misleads nobody.  Above its bounds the half that was asked for least is forgotten, and long words.
     """
 
-    #: White space that is not one space or line feed alone.
-    _odd = "[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    def __init__(self) -> None:
+        self.text = pa.array([], pa.string())
+        self.edge = np.zeros(1, np.int64)  # entry i has the ids pool[edge[i] : edge[i + 1]]
+        self.pool = np.empty(0, np.uint32)
+        self.uses = np.empty(0, np.int32)
+        self._index()
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def _index(self) -> None:
+        h = word_hashes(self.text)
+        self.order = np.argsort(h, kind="stable").astype(np.int32)
+        self.hash = h[self.order]
+
+    def find(self, words: pa.StringArray) -> np.ndarray:
+        """The entry of each word, or -1."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self) or not len(words):
+            return out
+        h = word_hashes(words)
+        rising = np.argsort(h)
+        at = np.searchsorted(self.hash, h[rising])
+        at[at == len(self.hash)] = 0
+        same = self.hash[at] == h[rising]
+        hit, place = rising[same], self.order[at[same]]
+        same = pc.equal(self.text.take(pa.array(place)), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        out[hit[same]] = place[same]
+        self.uses[place[same]] += 1
+        return out
+
+    def add(self, words: pa.StringArray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Append words with ``sizes`` ids each; their entries."""
+        h, n = word_hashes(words), len(self)
+        self.text = pa.concat_arrays([self.text, words])
+        self.edge = np.r_[self.edge, self.edge[-1] + np.cumsum(sizes)]
+        self.pool = np.r_[self.pool, ids]
+        self.uses = np.r_[self.uses, np.ones(len(words), np.int32)]
+        by_hash = np.argsort(h, kind="stable")
+        at = np.searchsorted(self.hash, h[by_hash], "right")
+        self.hash = np.insert(self.hash, at, h[by_hash])
+        self.order = np.insert(self.order, at, (n + by_hash).astype(np.int32))
+        return np.arange(n, len(self))
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some entries one after the other, and where each entry's begin and the last one's end."""
+        lists = pa.LargeListArray.from_arrays(pa.array(self.edge), pa.array(self.pool)).take(pa.array(entries))
+        return lists.flatten().to_numpy(), lists.offsets.to_numpy()
+
+    def trim(self) -> None:
+        """Keep to the bounds."""
+        if len(self) <= CACHE_WORDS and len(self.pool) <= CACHE_IDS:
+            return
+        short = np.flatnonzero(pc.binary_length(self.text).to_numpy() <= LONG_WORD)
+        keep = np.sort(short[np.argsort(-self.uses[short], kind="stable")[: min(CACHE_WORDS, len(self)) // 2]])
+        self.pool, self.edge = (np.array(x) for x in self.ids(keep))
+        self.text, self.uses = self.text.take(pa.array(keep)), self.uses[keep] // 2
+        self._index()
+
+
+_POWER = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of each of some non-empty strings."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    _, where, raw = words.buffers()
+    edge = np.frombuffer(where, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    size = np.diff(edge)
+    place = np.arange(edge[0], edge[-1]) - np.repeat(edge[:-1], size)
+    byte = np.frombuffer(raw, np.uint8)[edge[0] : edge[-1]].astype(np.uint64) + np.uint64(1)
+    return mix(np.add.reduceat(byte * _POWER[place & 63], edge[:-1] - edge[0]) + size.astype(np.uint64))
+
+
+#: White space of the split pattern in ASCII; the control characters 28 to 31 only to be on the safe side.
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_CUT = np.zeros(256, bool)
+_CUT[[9, 10, 11, 12, 13, 32]] = True
+#: First bytes of white space beyond ASCII.
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def word_edges(data: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Where the words of a UTF-8 buffer begin: places that no match of the split pattern spans.
+
+    These are the starts of texts (``marks``), white space behind a character that is none, and a
+    character that is no white space behind a line feed that is alone: a space is part of the match
+    of the word behind it, and such a line feed is a match of its own.
+    """
+    white = _WHITE[data]
+    begin = marks.copy()
+    space = np.flatnonzero(_CUT[data[1:]] & ~white[:-1]) + 1
+    last = data[space - 1]
+    far = np.flatnonzero(last >= 0x80)
+    if len(far):  # the character before may be white space beyond ASCII
+        p = space[far]
+        one, two, three = data[p - 1], data[p - 2], data[np.maximum(p - 3, 0)]
+        general = (three == 0xE2) & (((two == 0x80) & ((one <= 0x8B) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))) | ((two == 0x81) & (one == 0x9F)))
+        odd = general | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three == 0xE1) & ((two == 0x9A) | (two == 0xA0))) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+        space = np.delete(space, far[odd])
+    begin[space] = True
+    feed = np.flatnonzero((data[:-1] == 10) & begin[:-1]) + 1
+    begin[feed[~white[feed] & ~_LEAD[data[feed]]]] = True
+    return np.flatnonzero(begin)
+
+
+class PieceEncoder:
+    """Ids of texts by the tokenizers library, with a bounded memory of words.
+
+    A window of the texts' bytes is cut into words by numpy; Arrow numbers the distinct ones, so
+    the library only sees words that the memory does not hold, some dozens at a time with a line
+    feed between them: there it is a match of the split pattern of its own, and its id, which no
+    word contains, tells the words' ids apart.  A word of Latin letters with punctuation behind it is two
+    matches, so only its letters may be new.  Words with other white space than a leading space,
+    and texts for a tokenizer that does not split like this, go to the library whole.
+    """
+
+    _space = " \n\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000"
+    _plain = f"^ ?[^{_space}]+$"
     _behind = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+    _split = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+[" + re.escape(_behind) + "]+$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -152,88 +272,109 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        feed = self._ids(["\n"])[0]
-        self.feed, self.feed_id = feed, int.from_bytes(feed, "little") if len(feed) == 4 else None
-        self._start()
-
-    def _start(self) -> None:
-        self.first: dict[str, bytes] = {"": b""}  # words that lead a text or a line
-        self.later: dict[str, bytes] = {"": self._ids([" "])[0]}  # words that follow a space, which is part of them
-        self.chars = 0
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of words without white space."""
-        if self.feed_id is None:
-            return self._ids([lead + w for w in words])
-        out: list[bytes] = []
-        for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
-            ids = np.array(self.library.encode_batch_fast(["\n".join([lead + w for w in some])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.feed_id)
-            if len(cuts) != len(some) - 1:
-                out += self._ids([lead + w for w in some])
-                continue
-            raw, at = ids.tobytes(), 0
-            for cut in (4 * cuts).tolist():
-                out.append(raw[at:cut])
-                at = cut + 4
-            out.append(raw[at:])
-        return out
-
-    def _learn(self, cache: dict[str, bytes], new: list[str], lead: str) -> None:
-        parts = [w.rstrip(self._behind) for w in new]
-        split = [(w, c, w[len(c) :]) for w, c in zip(new, parts, strict=True) if len(c) < len(w) and c.isalpha()]
-        whole = [w for w, c in zip(new, parts, strict=True) if len(c) == len(w) or not c.isalpha()]
-        base = list({c for _, c, _ in split if c not in cache}.union(whole))
-        cache.update(zip(base, self._words(base, lead), strict=True))
-        behind = list({e for _, _, e in split if e not in self.first})
-        self.first.update(zip(behind, self._words(behind, ""), strict=True))
-        cache.update((w, cache[c] + self.first[e]) for w, c, e in split)
-        self.chars += sum(map(len, new))
-
-    def _split(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of texts whose white space is single spaces and line feeds."""
-        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        edge = words.offsets.to_numpy().astype(np.int64)
-        edge = edge - edge[0]
-        numbered = words.flatten().dictionary_encode()
-        number, known = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        heads = edge[:-1]  # every text has a first word, maybe an empty one
-        first = [known[i] for i in number[heads].tolist()]
-        codes = list(map(self.later.get, known))
-        missing = [i for i, c in enumerate(codes) if c is None]
-        new = [known[i] for i in missing]
-        lines = [w for w in new if w[:1] == "\n"]
-        if leads := list({w for w in [*first, *(x[1:] for x in lines)] if w not in self.first}):
-            self._learn(self.first, leads, "")
-        if len(new) > len(lines):
-            self._learn(self.later, [w for w in new if w[:1] != "\n"], " ")
-        self.later.update((w, self.feed + self.first[w[1:]]) for w in lines)
-        for i, w in zip(missing, new, strict=True):
-            codes[i] = self.later[w]
-        codes += map(self.first.__getitem__, first)
-        number[heads] = len(known) + np.arange(len(heads))
-        pool = np.frombuffer(b"".join(codes), "<u4")
-        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        each = size[number]
-        end = np.cumsum(each)
-        ids = pool[np.repeat((np.cumsum(size) - size)[number] - (end - each), each) + np.arange(end[-1] if len(end) else 0)]
-        at = np.r_[0, end][edge]
-        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        made = json.loads(self.library.to_str())
+        cut = made["pre_tokenizer"] or {}
+        self.by_words = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not any(made[k] for k in ("normalizer", "post_processor", "truncation", "padding"))
+        feed = self._whole(["\n"])[0]
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.words = Words()
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words without white space inside."""
+        if self.feed is not None:
+            joined = ["\n".join(words[k : k + 32]) for k in range(0, len(words), 32)]
+            ids = np.fromiter(chain.from_iterable(x + [self.feed] for x in self._whole(joined)), np.uint32)
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) == len(words):
+                return np.diff(ends, prepend=-1) - 1, ids[ids != self.feed]
+        found = self._whole(words)
+        return np.array([len(x) for x in found], np.int64), np.fromiter(chain.from_iterable(found), np.uint32)
+
+    def _learn(self, new: pa.StringArray) -> np.ndarray:
+        """Entries of words that the memory does not hold."""
+        place = np.empty(len(new), np.int64)
+        plain = pc.match_substring_regex(new, self._plain).to_numpy(zero_copy_only=False)
+        split = pc.match_substring_regex(new, self._split).to_numpy(zero_copy_only=False)
+        odd, cut, whole = np.flatnonzero(~plain), np.flatnonzero(split), np.flatnonzero(plain & ~split)
+        parts = new.take(pa.array(cut))
+        base = pc.utf8_rtrim(parts, characters=self._behind)
+        tail = _after(parts, base) if len(parts) else base
+        asked = pa.concat_arrays([new.take(pa.array(whole)), base, tail]).dictionary_encode()
+        have = self.words.find(asked.dictionary)
+        gone = np.flatnonzero(have < 0)
+        if len(gone):
+            some = asked.dictionary.take(pa.array(gone))
+            have[gone] = self.words.add(some, *self._ask(some.to_pylist()))
+        got = have[asked.indices.to_numpy()]
+        place[whole] = got[: len(whole)]
+        if len(cut):
+            pairs = np.stack([got[len(whole) : len(whole) + len(cut)], got[len(whole) + len(cut) :]], 1).ravel()
+            ids, edge = self.words.ids(pairs)
+            place[cut] = self.words.add(parts, np.diff(edge[::2]), ids)
+        if len(odd):
+            some = new.take(pa.array(odd))
+            found = self._whole(some.to_pylist())
+            place[odd] = self.words.add(some, np.array([len(x) for x in found], np.int64), np.fromiter(chain.from_iterable(found), np.uint32))
+        return place
+
+    def _window(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words that begin at ``edge[:-1]``, and where each word's begin."""
+        words = pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer((edge - edge[0]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[edge[0] : edge[-1]])))
+        numbered = words.dictionary_encode()
+        self.words.trim()
+        place = self.words.find(numbered.dictionary)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = self._learn(numbered.dictionary.take(pa.array(new)))
+        return self.words.ids(place[numbered.indices.to_numpy()])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a large_string array without nulls."""
-        if len(self.first) + len(self.later) > CACHE_PIECES or self.chars > CACHE_CHARS:
-            self._start()
-        odd = pc.match_substring_regex(texts, self._odd)
-        if not pc.any(odd).as_py():
-            return self._split(texts)
-        split = iter(self._split(texts.filter(pc.invert(odd))))
-        whole = (np.frombuffer(x, "<u4") for x in self._ids(texts.filter(odd).to_pylist()))
-        return [next(whole) if o else next(split) for o in odd.to_pylist()]
+        if not self.by_words:
+            return [np.array(x, np.uint32) for x in self._whole(texts.to_pylist())]
+        _, where, raw = texts.buffers()
+        offsets = np.frombuffer(where, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        at, end, done = 0, len(data), 0
+        parts, starts = [], np.zeros(len(offsets), np.int64)
+        while at < end:
+            size = WINDOW
+            while True:  # up to the last word that begins in the window; longer words widen it
+                stop = min(at + size, end)
+                marks = np.zeros(stop - at, bool)
+                inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)]
+                marks[inside - at] = True
+                marks[0] = True
+                edge = word_edges(data[at:stop], marks)
+                if stop == end or len(edge) > 1:
+                    break
+                size *= 2
+            edge = np.r_[edge, stop - at] if stop == end else edge
+            ids, begin = self._window(data[at:stop], edge)
+            own = slice(np.searchsorted(offsets, at), np.searchsorted(offsets, at + edge[-1]))
+            starts[own] = done + begin[np.searchsorted(edge, offsets[own] - at)]
+            parts.append(ids)
+            done += len(ids)
+            at += int(edge[-1])
+        starts[np.searchsorted(offsets, end) :] = done
+        every = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        return [every[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+
+def _after(words: pa.StringArray, base: pa.StringArray) -> pa.StringArray:
+    """What follows ``base`` in each word."""
+    size, all_sizes = pc.binary_length(base).to_numpy(), pc.binary_length(words).to_numpy()
+    first = np.cumsum(all_sizes) - all_sizes
+    inside = np.arange(all_sizes.sum()) - np.repeat(first, all_sizes) >= np.repeat(size, all_sizes)
+    _, where, raw = words.buffers()
+    begin = int(np.frombuffer(where, np.int32)[words.offset])
+    left = np.frombuffer(raw, np.uint8)[begin : begin + int(all_sizes.sum())][inside]
+    edge = np.r_[0, np.cumsum(all_sizes - size)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(left)))
 
 
 @lru_cache(maxsize=2)
