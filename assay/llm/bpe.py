@@ -4,11 +4,15 @@ Texts go through ``mapInArrow``: no shuffle, one pass, memory bounded by the Arr
 longer than ``cut`` characters is split into pieces first.  A cut lies between a character that is
 no white space and one that is: no match of the split pattern spans such a place (white space only
 leads a match, and the look-ahead of the white-space branch never looks past a following
-non-space), so the pieces give exactly the ids of the whole text.  A run without any such place
-stays whole.
-
-Defined cases: a null or empty text has no ids and decodes to no bytes; special-token strings
-inside a text are ordinary text; rows are never dropped, so repeated rows and null ids stay.
+non-space), so the pieces give exactly the ids of the whole text.  A run of ``cut`` or more white
+space is one match but for its last character (all of it at the end of the text), so it is encoded
+as one piece without the pattern, whose look-ahead gives up on a million of them.  A run of other
+characters without any such place stays whole.
+
+Defined cases: a null or empty text has no ids and decodes to no bytes; very long texts are encoded
+piece by piece, whatever they are made of; special-token strings inside a text are ordinary text;
+there are no ties; rows are never dropped, so repeated rows and null ids stay; an empty table gives
+no rows; columns whose names are those of the result, in any case, are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import others, table
 
 CUT = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+# fixed values: white space as the split pattern's engine knows it
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+_RUN = re.compile(f"[{_WHITE}]{{2,}}")
 
 
 def default_ranks() -> str:
@@ -45,24 +52,40 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def safe_pieces(text: str, cut: int = CUT) -> Iterator[str]:
-    """Split a text where every match of the pattern ends; the pieces join to the text."""
+def _cut(text: str, cut: int) -> Iterator[tuple[str, bool]]:
     at = 0
     while len(text) - at > cut:
         found = _SAFE.search(text, at + cut)
         if not found:
             break
-        yield text[at : found.start()]
+        yield text[at : found.start()], False
         at = found.start()
-    yield text[at:] if at else text
+    if at < len(text):
+        yield text[at:] if at else text, False
+
+
+def safe_pieces(text: str, cut: int = CUT) -> Iterator[tuple[str, bool]]:
+    """Split a text where matches of the pattern end: pieces that join to the text, and whether each is one match."""
+    at = 0
+    if len(text) > cut:
+        for run in _RUN.finditer(text):
+            a, b = run.span()
+            if b - a >= cut:
+                b -= b < len(text)
+                yield from _cut(text[at:a], cut)
+                yield text[a:b], True
+                at = b
+    yield from _cut(text[at:] if at else text, cut)
+
+
+def encode_pieces(enc: tiktoken.Encoding, text: str | None, cut: int = CUT) -> Iterator[list[int]]:
+    """The ids of a text, piece by piece."""
+    for piece, one in safe_pieces(text, cut) if text else ():
+        yield enc._encode_single_piece(piece) if one else enc.encode_ordinary(piece)
 
 
 def encode_text(enc: tiktoken.Encoding, text: str | None, cut: int = CUT) -> list[int]:
-    if not text:
-        return []
-    if len(text) <= cut:
-        return enc.encode_ordinary(text)
-    return [i for piece in safe_pieces(text, cut) for i in enc.encode_ordinary(piece)]
+    return [i for ids in encode_pieces(enc, text, cut) for i in ids]
 
 
 def _per_batch(ranks: str | None, pattern: str | None, column: str, added: list[pa.Field], make: Callable[[tiktoken.Encoding, list], list[list]]):
@@ -70,20 +93,21 @@ def _per_batch(ranks: str | None, pattern: str | None, column: str, added: list[
         import public_tokenizers
 
         enc = encoding(ranks or default_ranks(), pattern or public_tokenizers.PATTERN)
+        new = [f.name for f in added]
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 values = part.column(part.schema.get_field_index(column)).to_pylist()
                 made = make(enc, values)
-                keep = [(n, part.column(i)) for i, n in enumerate(part.schema.names) if n not in {f.name for f in added}]
-                yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(v, f.type) for v, f in zip(made, added, strict=True)], [n for n, _ in keep] + [f.name for f in added])
+                keep = others(part.schema.names, *new)
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [pa.array(v, f.type) for v, f in zip(made, added, strict=True)], keep + new)
 
     return run
 
 
 def _schema(df: DataFrame, added: list[tuple[str, T.DataType]]) -> T.StructType:
-    names = {n for n, _ in added}
-    return T.StructType([f for f in df.schema if f.name not in names] + [T.StructField(n, t) for n, t in added])
+    keep = others(df.columns, *(n for n, _ in added))
+    return T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in added])
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", ranks: str | None = None, pattern: str | None = None, cut: int = CUT) -> DataFrame:
@@ -110,10 +134,7 @@ def _digests(enc: tiktoken.Encoding, texts: list, cut: int) -> list[list]:
     counts, ids_sha, raw_sha = [], [], []
     for text in texts:
         n, said, raw, first = 0, hashlib.sha256(), hashlib.sha256(), True
-        for piece in safe_pieces(text, cut) if text else ():
-            ids = enc.encode_ordinary(piece)
-            if not ids:
-                continue
+        for ids in encode_pieces(enc, text, cut):
             said.update(("" if first else " ").encode() + " ".join(map(names.__getitem__, ids)).encode())
             raw.update(enc.decode_bytes(ids))
             n, first = n + len(ids), False

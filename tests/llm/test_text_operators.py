@@ -127,12 +127,38 @@ def enc():
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab1'.s \n\t\u00a0é", max_size=120), st.integers(1, 9))
 def test_safe_pieces_give_the_ids_of_the_whole(enc, text, cut):
-    assert [i for p in bpe.safe_pieces(text, cut) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
-    assert "".join(bpe.safe_pieces(text, cut)) == text
+    assert bpe.encode_text(enc, text, cut) == enc.encode_ordinary(text)
+    assert "".join(p for p, _ in bpe.safe_pieces(text, cut)) == text
+
+
+@pytest.mark.parametrize("mark", [" ", "\n", "\t", "\u3000", "\r\n"])
+def test_long_runs_of_white_space(enc, mark):
+    for text in (mark * 100_000, "a" + mark * 100_000, mark * 100_000 + "b c", "a" + mark * 100_000 + "\n" + "b" + mark * 70_000 + " c"):
+        assert bpe.encode_text(enc, text) == enc.encode_ordinary(text)
+    huge = "word" + mark * 5_000_000 + "end"
+    ids = bpe.encode_text(enc, huge)
+    assert enc.decode(ids) == huge
+    few = bpe.encode_text(enc, "word" + mark * 100_000 + "end")  # a run is cut into the longest ids, so any length goes on alike
+    assert ids[:1000] == few[:1000] and ids[-3:] == few[-3:]
+
+
+def test_control_characters_are_no_white_space(enc):
+    text = "".join(f"a!\x1c.{i}" for i in range(40_000))
+    assert bpe.encode_text(enc, text, 100) == enc.encode_ordinary(text)
+
+
+def test_a_long_run_passes_the_query_and_the_files(spark, enc):
+    texts = ["a" + " " * 1_200_000 + "b", "\n" * 1_200_000, "x" * 1_000_000]
+    docs = frame(spark, texts)
+    out = {r["doc_id"]: r for r in bpe.round_trip(docs).collect()}
+    assert all(out[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
+    path = token_files.new_path(spark, "runs")
+    token_files.write(docs, path)
+    assert {r["doc_id"]: r["n_tokens"] - 1 for r in token_files.read(spark, path).collect()} == {i: r["n_tokens"] for i, r in out.items()}
 
 
 def test_bpe_round_trip(spark, enc):
-    docs = frame(spark, TEXTS + TEXTS[4:5], [*range(len(TEXTS)), None]).withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "ids_sha256")
+    docs = frame(spark, TEXTS + TEXTS[4:5], [*range(len(TEXTS)), None]).withColumnRenamed("lang", "N_Tokens").withColumnRenamed("source", "ids_SHA256")
     for r in bpe.round_trip(docs, cut=64).collect():
         ids = enc.encode_ordinary(r["text"] or "")
         assert r["n_tokens"] == len(ids)
@@ -288,19 +314,45 @@ def test_token_files(spark):
     assert token_files.read(spark, path + "e").count() == 0
 
 
-def test_piece_cache_starts_anew(monkeypatch):
+def test_word_memory_forgets_and_windows_join(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(token_files, "CACHE_PIECES", 10)
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
+    monkeypatch.setattr(token_files, "WINDOW", 64)
     e = token_files.PieceEncoder(token_files.default_tokenizer())
-    column = lambda *texts: pa.array(texts, pa.large_string())
-    first = e.encode(column(" ".join(words_of(50)), ""))
-    assert e.encode(column("a b")) and len(e.first) + len(e.later) < 6
-    assert [x.tolist() for x in e.encode(column(" ".join(words_of(50)), ""))] == [x.tolist() for x in first]
+    texts = [" ".join(words_of(300, 1)), "", "y" * 300, "a b\nc. d.", " ".join(words_of(300, 2)), "\u3000x \u00a0 \n\n z", ""]
+    for _ in range(2):
+        got = [x.tolist() for x in e.encode(pa.array(texts, pa.large_string()))]
+        assert got == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    e.words.trim()
+    assert len(e.words) <= 40 and max(map(len, e.words.text.to_pylist())) <= token_files.LONG_WORD
+    found = e.words.find(e.words.text)
+    assert found.tolist() == list(range(len(e.words)))
+    assert token_files.Words().find(pa.array(["x"])).tolist() == [-1]
+
+
+def test_equal_word_hashes_mislead_nobody(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "word_hashes", lambda words: np.array([len(w) for w in words.to_pylist()], np.uint64))
+    e = token_files.PieceEncoder(token_files.default_tokenizer())
+    texts = [" ".join(words_of(100, k)) for k in range(3)]
+    for text in texts * 2:
+        assert [x.tolist() for x in e.encode(pa.array([text], pa.large_string()))] == [e.library.encode(text, add_special_tokens=False).ids]
+
+
+def test_tokenizers_that_split_otherwise_get_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+
+    e = token_files.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some  words here", "", "x"]
+    assert not e.by_words
+    assert [x.tolist() for x in e.encode(pa.array(texts, pa.large_string()))] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="abZ1'.,s \n\t\u00a0\x1dé", max_size=40), min_size=1, max_size=4))
+@given(st.lists(st.text(alphabet="abZ1'.,s \n\t\r\u00a0\u2003\u3000\u200b\x1dé", max_size=40), min_size=1, max_size=4))
 def test_words_give_the_ids_of_the_whole(texts):
     import pyarrow as pa
 
