@@ -2,30 +2,37 @@
 
 Every element that forms a block, or carries a class, id or role, is a node with the label content
 or boilerplate.  The label of a node depends on its parent's label and its own tag (the
-parent-child potentials); its class, id and role words, the length of its own text and the share
-of that text in links depend on its label.  Sum-product message passing, up from the leaves and
-down from the root, gives the marginal of every node; text is kept where its node's marginal of
-content reaches one half.
-
-Training counts labelled pages: the hand-labelled ones below, and a bounded sample of the table
-(``sample`` pages, default 400, by hash) that say themselves where their article is (an <article>
-or <main> element): what lies in it and in no nav, aside, form, header or footer is content.
+parent-child potentials); its class, id and role words, the length of its own text, the share of
+that text in links and its place (in, around or beside the page's <article> or <main>) depend on its
+label.  Sum-product message passing, up from the leaves and down from the root, gives the marginal
+of every node; text is kept where its node's marginal of content reaches one half.
+
+Training counts labelled pages.  The hand-labelled ones below make a first model.  A bounded sample
+of the table (``sample`` pages, default 400, by hash) that mark their article (an <article> or
+<main> element) are labelled by it: what lies beside the article, or in a nav, aside, form, header,
+footer, menu or dialog, is boilerplate, what is around it is not, and inside it the first model
+says.  Both are counted together for the model that extracts.  No list of names decides anything.
 Counting runs on the executors.  Extraction is a map over all rows.
 
 Text: scripts, styles, titles, form controls, comments and head give none; formulas, drawings' labels,
 <xmp> and the fallback of <noscript>, <object> and media are text like any other; character references are decoded;
 white space inside a block becomes one space; blocks follow in page order, two line feeds between
-them.  Defined cases: a null or empty page, or one without text, gives ""; text without markup is
-one block; unclosed and crossed tags are closed as HTML's rules for paragraphs, lists and tables
-say, unknown tags are inline; rows are never dropped, columns ``text`` and ``n_chars`` are replaced.
+them.  Parsing is linear in the page, whatever its tags are.
+
+Defined cases: a null or empty page, or one without text, gives ""; very long pages are parsed and
+judged whole; text without markup is one block; unclosed and crossed tags are closed as HTML's rules
+for paragraphs, lists and tables say, unknown tags are inline; a marginal of exactly one half is
+content; rows are never dropped, so rows that repeat and null ids stay; an empty table gives no
+rows, and trains on the hand-labelled pages alone; columns called ``text`` or ``n_chars``, in any
+case, are replaced, others stay.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from html import escape, unescape
 from typing import NamedTuple
 
@@ -34,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import others, table
 
 SAMPLE = 400
 #: How often a hand-labelled page counts.
@@ -64,8 +71,11 @@ CLOSES = {
     "tfoot": (frozenset(["thead", "tbody", "tfoot"]), frozenset(["table"])),
 }
 P_SCOPE = frozenset("td th table caption button".split())
+_P = frozenset(["p"])
+DRAWN = frozenset(["svg", "math"])
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+#: A comment, a declaration, or a tag; quotes count in the value of an attribute only.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -82,17 +92,44 @@ class Page(NamedTuple):
     linked: list[int]
 
 
+class _Stack:
+    """Open elements, with the places of each name and of all blocks, so that nothing is searched for."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int]] = [("#root", 0)]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        self.places[tag].append(len(self.items))
+        if tag in BLOCK:
+            self.blocks.append(len(self.items))
+        self.items.append((tag, node))
+
+    def pop(self) -> str:
+        tag, _ = self.items.pop()
+        self.places[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+        return tag
+
+    def top(self, names: Iterable[str]) -> int:
+        """The innermost open element of some names, or 0."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+
 def parse(html: str) -> Page:
     """One pass over the tags; elements that are no nodes lend their text to the node around them."""
     page = Page(["#root"], [-1], [()], [None], [], [0], [0])
-    stack: list[tuple[str, int]] = [("#root", 0)]
+    stack = _Stack()
     piece: list[tuple[int, str]] = []
     links = 0
     at, end = 0, len(html)
+    never: set[str] = set()  # elements whose end does not come any more
 
     def say(text: str) -> None:
         if text:
-            node = stack[-1][1]
+            node = stack.items[-1][1]
             piece.append((node, text))
             n = len(text) - text.count(" ")
             page.own[node] += n
@@ -107,19 +144,22 @@ def parse(html: str) -> Page:
 
     def pop_to(k: int) -> None:
         nonlocal links
-        for tag, _ in stack[k:]:
+        while len(stack.items) > k:
+            tag = stack.pop()
             links -= tag == "a"
             if tag in BLOCK:
                 flush()
-        del stack[k:]
 
     def close(names: frozenset, stop: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                pop_to(k)
-                return
-            if stack[k][0] in stop:
-                return
+        k = stack.top(names)
+        if k > stack.top(stop):
+            pop_to(k)
+
+    def find(name: str, pattern: str) -> re.Match | None:
+        over = None if name in never else re.compile(pattern, re.I).search(html, at)
+        if not over:
+            never.add(name)
+        return over
 
     while at < end:
         found = _TOKEN.search(html, at)
@@ -128,44 +168,40 @@ def parse(html: str) -> Page:
             break
         say(html[at : found.start()])
         at = found.end()
-        tag = found[2] or found[5]
-        if not tag:
+        if not found[2]:
             continue
-        tag = tag.lower()
-        if found[1] or found[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break
+        tag = found[2].lower()
+        if found[1]:
+            k = stack.top((tag,))
+            if k and (tag in BLOCK or k > (stack.blocks[-1] if stack.blocks else 0)):  # an inline end stays in its block
+                pop_to(k)
             continue
         if tag in VOID:
             if tag in BLOCK:
                 flush()
-            elif tag in ("br", "wbr") and piece and tag == "br":
-                piece.append((stack[-1][1], " "))
+            elif tag == "br" and piece:
+                piece.append((stack.items[-1][1], " "))
             continue
-        attributes = found[3] or found[6] or ""
+        attributes = found[3] or ""
         if tag in RAW or tag == "xmp":
-            over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            over = find(tag, rf"</{tag}(?=[\s/>])[^>]*>?")
             if tag == "xmp" and over:  # its markup is text
-                piece.append((stack[-1][1], " "))
+                piece.append((stack.items[-1][1], " "))
                 say(escape(html[at : over.start()]))
-                piece.append((stack[-1][1], " "))
+                piece.append((stack.items[-1][1], " "))
             if over or tag in ("script", "style"):  # others that are not closed hide nothing
                 at = over.end() if over else end
             continue
-        if tag not in BLOCK and attributes.rstrip().endswith("/") and any(t in ("svg", "math") for t, _ in [*stack, (tag, 0)]):
+        if tag not in BLOCK and attributes.rstrip().endswith("/") and (tag in DRAWN or stack.top(DRAWN)):
             continue  # drawings and formulas have elements that close themselves
         if tag in LABEL:
-            piece.append((stack[-1][1], " "))
+            piece.append((stack.items[-1][1], " "))
         if tag in ENDS_P:
-            close(frozenset(["p"]), P_SCOPE)
+            close(_P, P_SCOPE)
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag == "head":
-            over = re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
+            over = find(tag, r"</head\s*>|<body\b")
             if over:
                 at = over.end() if over[0].startswith("</") else over.start()
                 continue
@@ -175,21 +211,40 @@ def parse(html: str) -> Page:
         if tag in BLOCK or named:
             mark = named.pop("data-y", None)
             page.tags.append(tag)
-            page.parents.append(stack[-1][1])
+            page.parents.append(stack.items[-1][1])
             page.words.append(tuple(sorted({w for v in named.values() for w in _WORD.findall(v.lower())})))
             page.marks.append(mark)
             page.own.append(0)
             page.linked.append(0)
             node = len(page.tags) - 1
         else:
-            node = stack[-1][1]
+            node = stack.items[-1][1]
         links += tag == "a"
-        stack.append((tag, node))
+        stack.push(tag, node)
     pop_to(1)
     flush()
     return page
 
 
+MAIN = frozenset(["article", "main"])
+
+
+def places(page: Page) -> list[str]:
+    """Where each node lies: in, around or beside the page's articles; alone if it has none."""
+    n = len(page.tags)
+    if MAIN.isdisjoint(page.tags):
+        return ["alone"] * n
+    out = ["beside"] * n
+    for i in range(1, n):
+        if page.tags[i] in MAIN or out[page.parents[i]] == "in":
+            out[i] = "in"
+    for i in range(n - 1, 0, -1):
+        k = page.parents[i]
+        if out[i] != "beside" and out[k] == "beside":
+            out[k] = "around"
+    return out
+
+
 def _traits(page: Page, i: int) -> tuple[str, str]:
     """Length of a node's own text and the share of it in links, coarsely."""
     n = page.own[i]
@@ -200,20 +255,16 @@ def _traits(page: Page, i: int) -> tuple[str, str]:
     return f"len:{length}", f"link:{'none' if not share else 'some' if share < 0.5 else 'most'}"
 
 
-#: Words of class, id and role names that pages use for what is no main text (fixed values).
-LEXICON = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets related recommended trending footer header masthead toolbar comment comments commentlist reply replies respond discussion disqus feedback cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin register form search searchbox share sharing social follow pagination pager paging copyright legal disclaimer tags tagcloud author byline meta topbar bottom skip complementary contentinfo dialog".split()
-)
-
+def _evidence(page: Page, i: int, where: list[str]) -> list[str]:
+    """Traits of a node; its place says more than its parent's label only where it differs from the parent's."""
+    words, place = page.words[i], where[i]
+    own = [f"place:{place}"] if place != where[page.parents[i]] else []
+    return [*_traits(page, i), *(f"word:{w}" for w in words), *own]
 
-def _evidence(page: Page, i: int) -> list[str]:
-    words = page.words[i]
-    return [*_traits(page, i), *(f"word:{w}" for w in words), f"named:{'boiler' if LEXICON & set(words) else 'other' if words else 'none'}"]
 
-
-def _kind(page: Page, i: int) -> str:
-    """The tag, apart for elements with names of their own."""
-    return page.tags[i] + "." if page.words[i] else page.tags[i]
+def _kind(page: Page, i: int, where: list[str]) -> str:
+    """The tag, apart for elements with names of their own and for those in an article."""
+    return page.tags[i] + "." * bool(page.words[i]) + "@" * (where[i] == "in")
 
 
 class Model(NamedTuple):
@@ -224,11 +275,12 @@ class Model(NamedTuple):
 def count(page: Page, labels: list[int], weight: int = 1) -> Counter:
     """What training needs of a labelled page."""
     found: Counter = Counter()
+    where = places(page)
     for i in range(1, len(page.tags)):
         y, up = labels[i], labels[page.parents[i]]
-        found["edge", _kind(page, i), up, y] += weight
+        found["edge", _kind(page, i, where), up, y] += weight
         found["edge", "*", up, y] += weight
-        for trait in _evidence(page, i):
+        for trait in _evidence(page, i, where):
             found["trait", trait, 0, y] += weight
     return found
 
@@ -241,28 +293,19 @@ def hand_labels(page: Page) -> list[int]:
     return out
 
 
-_OUTSIDE = frozenset("nav aside form header footer dialog menu".split())
+#: Elements that HTML has for what is no main text (fixed values).
+ASIDE = frozenset("nav aside form header footer dialog menu".split())
 
 
-def self_labels(page: Page) -> list[int] | None:
-    """Labels of a page that marks its article; None if it does not."""
-    if not {"article", "main"} & set(page.tags):
+def self_labels(page: Page, first: Model) -> list[int] | None:
+    """Labels of a page that marks its article, by ``first`` inside it; None if it does not."""
+    where = places(page)
+    if "in" not in where:
         return None
-    out, inside = [1], [False]
+    guess, out = marginals(page, first), [1]
     for i in range(1, len(page.tags)):
-        tag, up = page.tags[i], page.parents[i]
-        inside.append(inside[up] or tag in ("article", "main"))
-        if tag in ("html", "body") or tag in ("article", "main"):
-            out.append(1)
-        else:
-            out.append(int(inside[i] and out[up] == 1 and tag not in _OUTSIDE and not LEXICON & set(page.words[i])))
-    # what encloses an article is no boilerplate
-    for i in range(len(page.tags) - 1, 0, -1):
-        if page.tags[i] in ("article", "main"):
-            k = page.parents[i]
-            while k > 0:
-                out[k] = 1
-                k = page.parents[k]
+        inside = out[page.parents[i]] == 1 and (page.tags[i] in MAIN or page.tags[i] not in ASIDE and guess[i] >= 0.5)
+        out.append(int(where[i] == "around" or where[i] == "in" and (inside or page.tags[i] in MAIN)))
     return out
 
 
@@ -286,15 +329,15 @@ def estimate(counts: Counter) -> Model:
 
 def marginals(page: Page, model: Model) -> list[float]:
     """P(content) of every node by sum-product, up and then down the tree."""
-    n = len(page.tags)
+    n, where = len(page.tags), places(page)
     given = []  # P(content | parent's label), for both labels
     up0, up1 = [1.0] * n, [1.0] * n  # evidence below and at each node
     for i in range(n):
-        tag = _kind(page, i)
+        tag = _kind(page, i, where)
         p = [1 / (1 + math.exp(-model.edge.get((tag, y), model.edge.get(("*", y), 0.0)))) for y in (0, 1)]
         given.append(p)
         if i:
-            odds = max(-30.0, min(30.0, sum(model.trait.get(t, 0.0) for t in _evidence(page, i))))
+            odds = max(-30.0, min(30.0, sum(model.trait.get(t, 0.0) for t in _evidence(page, i, where))))
             up1[i], up0[i] = 1 / (1 + math.exp(-odds)), 1 / (1 + math.exp(odds))
     to0, to1 = [1.0] * n, [1.0] * n  # message of each node to its parent
     for i in range(n - 1, 0, -1):
@@ -334,6 +377,15 @@ def _sentence(n: int) -> str:
     return "The words of a paragraph go on until its end, and then the next begins. " * n
 
 
+#: Names that the labelled pages below give to elements that are no main text, and to parts of the text (fixed values).
+BESIDE = (
+    "ads", "adv", "advertisement", "advertising", "sponsor", "promo", "promotion", "navbar", "nav", "navigation", "menu", "menubar", "breadcrumbs", "sidebar", "widget", "widgets", "recommended", "trending", "masthead", "toolbar",
+    "commentlist", "comment", "reply", "replies", "respond", "discussion", "feedback", "cookies", "cookie", "consent", "gdpr", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "login",
+    "signin", "register", "form", "search", "searchbox", "sharing", "follow", "pagination", "pager", "copyright", "legal", "disclaimer", "footer", "header", "topbar", "bottom", "skip", "complementary", "contentinfo",
+)
+PARTS = ("intro", "lead", "note", "side note", "quote", "figure", "summary", "chapter", "part", "box", "example", "code", "tags", "text", "entry", "body", "story", "post")
+
+
 def hand_labelled() -> list[str]:
     """Small pages of common make, with data-y marks: 0 boilerplate, 1 content; they hold for what is inside."""
     links = "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(5))
@@ -362,6 +414,9 @@ def hand_labelled() -> list[str]:
         f'<div class="related" data-y="0"><h4>Read on</h4><ul>{links}</ul></div>',
         '<div class="breadcrumb" data-y="0"><a href="/">Home</a> <a href="/a">News</a></div>',
     ]
+    for k, name in enumerate(BESIDE):  # as a class or an id, of a few makes
+        inner = (f"<p>{_sentence(1)}</p>", f"<ul>{links}</ul>", "Some words of it.", f"<h3>Title</h3><p>{_sentence(1)}</p><p>More</p>")[k % 4]
+        boiler.append(f'<{("div", "section")[k % 2]} {("class", "id")[k // 2 % 2]}="{name}" data-y="0">{inner}</{("div", "section")[k % 2]}>')
     body = [
         f"<article><h1>What the page is about</h1>{paragraphs}<h2>A part of it</h2>{paragraphs}</article>",
         f"<main><h1>What the page is about</h1>{paragraphs}<ul><li>{_sentence(1)}</li><li>A short point</li></ul></main>",
@@ -372,9 +427,14 @@ def hand_labelled() -> list[str]:
         f"<div><div><div><h1>Title</h1><div><div>{paragraphs}</div></div><div>A piece of text.</div></div></div></div>",
         f"<article><div><div><section><div><h2>Part</h2></div><div><div><div>{paragraphs}</div></div></div></section></div></div></article>",
     ]
+    for k, name in enumerate(PARTS):
+        part = (f"<p>{_sentence(1)}</p>", f"{_sentence(1)}", f"<h3>Part</h3><p>{_sentence(2)}</p>", "Short.")[k % 4]
+        tag = ("div", "section", "blockquote")[k % 3]
+        whole = f'<h1>Title</h1>{paragraphs}<{tag} {("class", "id")[k % 2]}="{name}">{part}</{tag}>{paragraphs}<div class="{PARTS[k - 1]}">{part}</div>'
+        body += [f"<article>{whole}</article>", f'<div class="content">{whole}</div>']
     pages = []
     for k, content in enumerate(body):
-        for i in range(0, len(boiler), 4):
+        for i in range(k % 5 * 4, len(boiler), 20):
             some = boiler[i : i + 4]
             before, after = some[: 1 + k % 3], some[1 + k % 3 :]
             pages.append(f"<html><body>{''.join(before)}{content}{''.join(after)}</body></html>")
@@ -383,14 +443,33 @@ def hand_labelled() -> list[str]:
     return pages
 
 
+def hand_counts(pages: Iterable[str]) -> Counter:
+    counts: Counter = Counter()
+    for text in pages:
+        page = parse(text)
+        counts += count(page, hand_labels(page), HAND_WEIGHT)
+    return counts
+
+
+def measure(pages: Iterable[str], model: Model) -> tuple[float, float]:
+    """Precision and recall of the characters that the model keeps of pages with data-y marks."""
+    kept = right = wanted = 0
+    for text in pages:
+        page = parse(text)
+        labels, keep = hand_labels(page), marginals(page, model)
+        for i, n in enumerate(page.own):
+            kept += n * (keep[i] >= 0.5)
+            wanted += n * labels[i]
+            right += n * (keep[i] >= 0.5) * labels[i]
+    return right / max(kept, 1), right / max(wanted, 1)
+
+
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Model:
     """Count the hand-labelled pages, and those of a bounded sample of the table that mark their article."""
     rows = pages.select(F.xxhash64(html).alias("h"), F.col(html).alias("html")).where("html is not null")
     cut = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    counts: Counter = Counter()
-    for text in hand_labelled():
-        page = parse(text)
-        counts += count(page, hand_labels(page), HAND_WEIGHT)
+    counts = hand_counts(hand_labelled())
+    first = estimate(counts)
     if cut is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +477,7 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Model:
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     page = parse(text)
-                    if labels := self_labels(page):
+                    if labels := self_labels(page, first):
                         found += count(page, labels)
             keys = list(found)
             columns = [[k[i] for k in keys] for i in range(4)]
@@ -414,9 +493,9 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Model:
 
 def extract(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
     """Add text and n_chars (code points) to every row."""
-    sent = pages.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in pages.columns if c not in ("text", "n_chars")]
-    schema = T.StructType([f for f in pages.schema if f.name in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    sent = pages.sparkSession.sparkContext.broadcast(model)  # a number for each tag and word of the sample
+    keep = others(pages.columns, "text", "n_chars")
+    schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
