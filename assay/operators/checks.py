@@ -1,15 +1,20 @@
 """Data tests as failing-row queries.
 
 ``not_null``, ``accepted_values`` and boolean rules look at one row at a time: their counts are
-fused into one aggregate over one scan.  ``unique`` groups by the key, ``relationships`` is a left
-anti join against the parent's keys, and rules that read other tables are SQL over views.  Every
-family ends in one row per test; they are united, so all of them run as one Spark job.
+fused into one aggregate over one scan, and so are rules of the form ``SELECT * FROM {{this}} WHERE
+condition``.  ``unique`` groups by the key, ``relationships`` is a left anti join against the parent's
+keys, and rules that read other tables are SQL over the DataFrames.  Every family ends in one row per
+test; they are united, so all of them run as one Spark job.
+
+A test that can not be judged never raises: whatever Spark says of it, while it is analysed or while
+it runs, is the reason why it has no evidence, and the other tests are judged as if it were not there.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+import time
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -53,6 +58,11 @@ class FutureData(NotEvaluable):
 _SELECT = re.compile(r"^\s*(select|with)\b", re.I)
 _THIS = re.compile(r"\{\{\s*this\s*\}\}", re.I)
 _REF = re.compile(r"""\{\{\s*ref\(\s*['"]([^'"]+)['"]\s*\)\s*\}\}""")
+_MARK = re.compile(f"{_THIS.pattern}|{_REF.pattern}", re.I)
+_QUOTED = re.compile(r"""'(?:\\.|''|[^'\\])*'|"(?:\\.|""|[^"\\])*"|`(?:``|[^`])*`""", re.S)
+#: A rule that is only a filter, unless its condition has one of the words that make it more.
+_FILTER = re.compile(rf"^\s*select\s+\*\s+from\s+{_THIS.pattern}\s+where\s+(.+)$", re.I | re.S)
+_MORE = re.compile(r"\b(select|from|group|having|order|sort|cluster|distribute|limit|offset|union|intersect|except|minus|window|qualify|lateral|join|pivot|tablesample)\b|\{\{", re.I)
 
 
 def _column(df: DataFrame, name: str | None) -> Column:
@@ -74,6 +84,31 @@ def typed_values(df: DataFrame, column: str, values: Iterable[str]) -> list[Colu
     return [F.lit(v).cast(kind) for v in values]
 
 
+def check_rule_text(sql: str) -> None:
+    """A rule is one statement without comments and with balanced parentheses; what stands in quotes does not count."""
+    bare = _QUOTED.sub("", sql)
+    if not bare.strip():
+        raise NotEvaluable("the rule is empty")
+    for mark, what in ((";", "more than one statement"), ("--", "a comment"), ("/*", "a comment"), ("*/", "a comment")):
+        if mark in bare:
+            raise NotEvaluable(f"the rule has {what} ({mark})")
+    depth = 0
+    for c in re.findall(r"[()]", bare):
+        depth += 1 if c == "(" else -1
+        if depth < 0:
+            break
+    if depth:
+        raise NotEvaluable("the rule's parentheses are not balanced")
+
+
+def row_condition(df: DataFrame, sql: str) -> Column:
+    """A rule's condition, if it is boolean and looks at one row at a time."""
+    condition = F.expr(sql)
+    df.where(condition)  # analysed: no aggregates, windows or generators, and boolean
+    df.agg(F.count_if(condition))  # and the same each time it is computed
+    return condition
+
+
 def failing_condition(df: DataFrame, test: Test) -> Column | None:
     """What failing rows of a row-local test meet; None for tests of other families."""
     if test.type == "not_null":
@@ -81,16 +116,29 @@ def failing_condition(df: DataFrame, test: Test) -> Column | None:
     if test.type == "accepted_values":
         col = _column(df, test.column)
         return col.isNotNull() & ~col.isin(typed_values(df, test.column, test.values)) if test.values else col.isNotNull()
-    if test.type == "custom_sql" and not _SELECT.match(test.sql or ""):
-        if not (test.sql or "").strip():
-            raise NotEvaluable("the rule is empty")
-        return F.expr(test.sql)
+    if test.type == "custom_sql":
+        sql = test.sql or ""
+        check_rule_text(sql)
+        if not _SELECT.match(sql):
+            return row_condition(df, sql)
+        only = _FILTER.match(sql)
+        if only and not _MORE.search(_QUOTED.sub("", only[1])):
+            try:
+                return row_condition(df, only[1])
+            except (AnalysisException, ParseException):  # what names the table in its condition, for one
+                return None
     return None
 
 
+def _named(name: str | None, tables: dict[str, DataFrame]) -> list[str]:
+    """Tables of that name, with or without what stands before its last dot."""
+    want = (name or "").lower()
+    return [n for n in tables if want in (n.lower(), n.lower().rsplit(".", 1)[-1])]
+
+
 def resolve_target(test: Test, tables: dict[str, DataFrame]) -> DataFrame:
     """The table that ``to`` names; 0 or several candidates mean that its data is still to come."""
-    named = [n for n in tables if n.lower() == (test.to or "").lower() or n.lower().rsplit(".", 1)[-1] == (test.to or "").lower()]
+    named = _named(test.to, tables)
     if len(named) != 1:
         raise FutureData(f"{test.to!r} names {len(named)} known tables")
     return tables[named[0]]
@@ -124,22 +172,30 @@ def failing_rows(df: DataFrame, test: Test, tables: dict[str, DataFrame], full:
 
 
 def bind_rule(df: DataFrame, test: Test, tables: dict[str, DataFrame], full: DataFrame | None = None) -> DataFrame:
-    """The rows of a SELECT rule: {{this}} and {{ref('t')}} become the DataFrames themselves."""
+    """The rows of a SELECT rule: {{this}} and {{ref('t')}} become the DataFrames themselves.
+
+    A rule that names a missing table waits for it; one that names several can not be judged.
+    """
     sql = test.sql or ""
-    others = refers_elsewhere(test)
-    this = full if others and full is not None else df
     if not _THIS.search(sql):
         raise NotEvaluable("the rule never reads {{this}}")
-    bound = {"this_table": this}
-    sql = _THIS.sub("{this_table}", sql)
-    for name in others:
-        known = [n for n in tables if n.lower() == name.lower()]
-        if not known:
-            raise FutureData(f"{name!r} is no known table")
-        bound[f"ref_{known[0]}"] = tables[known[0]]
-        sql = re.sub(r"""\{\{\s*ref\(\s*['"]""" + re.escape(name) + r"""['"]\s*\)\s*\}\}""", f"{{ref_{known[0]}}}", sql)
+    bound = {"this_table": full if refers_elsewhere(test) and full is not None else df}
+    plain = lambda text: text.replace("{", "{{").replace("}", "}}")  # noqa: E731 - other braces stand for themselves
+    out, at = [], 0
+    for mark in _MARK.finditer(sql):
+        name = "this_table"
+        if mark[1]:
+            known = _named(mark[1], tables)
+            if not known:
+                raise FutureData(f"{mark[1]!r} is no known table")
+            if len(known) > 1:
+                raise NotEvaluable(f"{mark[1]!r} names {len(known)} known tables")
+            name = f"ref_{list(tables).index(known[0])}"
+            bound[name] = tables[known[0]]
+        out += [plain(sql[at : mark.start()]), f"{{{name}}}"]
+        at = mark.end()
     try:
-        return df.sparkSession.sql(sql, **bound)
+        return df.sparkSession.sql("".join(out) + plain(sql[at:]), **bound)
     except (AnalysisException, ParseException) as e:
         raise NotEvaluable(str(e).split("\n")[0]) from e
 
@@ -169,49 +225,70 @@ def count_one(df: DataFrame, i: int, test: Test, tables: dict[str, DataFrame], f
 _COUNTS = "position int, failures long, excess_rows long, evaluated_rows long"
 
 
-def plan(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame], full: DataFrame | None = None) -> tuple[list[tuple[str, DataFrame]], dict[int, Exception]]:
-    """Counting plans (family, DataFrame) and the tests that can not be judged, by position."""
-    fused, single, failed = [], [], {}
+class Plan(NamedTuple):
+    """How the tests of a table are counted, and those that can not be, by position."""
+
+    fused: list[tuple[int, Column]]
+    single: list[tuple[int, DataFrame]]
+    failed: dict[int, Exception]
+
+
+def plan(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame], full: DataFrame | None = None) -> Plan:
+    """Analyse each test on its own, so that a bad one fails alone."""
+    out = Plan([], [], {})
+    rows = df.agg(F.count("*").alias("evaluated_rows"))
     for i, test in enumerate(tests):
         try:
             condition = failing_condition(df, test)
             if condition is not None:
-                df.select(condition)  # analysed now, so that a bad column fails alone
-                fused.append((i, condition))
+                df.where(condition)
+                out.fused.append((i, condition))
             else:
-                single.append((str(i), count_one(df, i, test, tables, full)))
-        except (NotEvaluable, AnalysisException, ParseException) as e:
-            failed[i] = e
-    plans = [("fused", count_fused(df, fused))] if fused else []
-    rows = df.agg(F.count("*").alias("evaluated_rows"))
-    plans += [(name, one.join(F.broadcast(rows)).select("position", "failures", "excess_rows", "evaluated_rows")) for name, one in single]  # one row each
-    return plans, failed
+                one = count_one(df, i, test, tables, full).join(F.broadcast(rows))  # one row each
+                out.single.append((i, one.select("position", "failures", "excess_rows", "evaluated_rows")))
+        except Exception as e:  # whatever is wrong with a test, it is no reason to stop
+            out.failed[i] = e
+    return out
 
 
-def evaluate(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame], full: DataFrame | None = None) -> DataFrame:
+def _run(df: DataFrame, fused: list[tuple[int, Column]], single: list[tuple[int, DataFrame]], failed: dict[int, Exception]) -> list[tuple]:
+    """Counts of some tests in one job.  If it fails, its halves run apart, down to the test that is at fault."""
+    if not fused and not single:
+        return []
+    try:
+        plans = ([count_fused(df, fused)] if fused else []) + [p for _, p in single]
+        return [tuple(r) for r in reduce(DataFrame.union, plans).collect()]  # a row for each test
+    except Exception as e:
+        if len(fused) + len(single) == 1:
+            failed[fused[0][0] if fused else single[0][0]] = e
+            return []
+    if fused and single:
+        return _run(df, fused, [], failed) + _run(df, [], single, failed)
+    f, s = len(fused) // 2, len(single) // 2
+    return _run(df, fused[:f], single[:s], failed) + _run(df, fused[f:], single[s:], failed)
+
+
+def evaluate(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame], full: DataFrame | None = None, budget: float | None = None, clock: Callable[[], float] = time.monotonic) -> DataFrame:
     """(position, failures, excess_rows, evaluated_rows, status, why) of each test, in one job.
 
-    A test that Spark can not run (at analysis or while running) does not spoil the others: if the
-    joint job fails, the tests run one by one.  status: ok, future or error.
+    status: ok, future or error.  budget: seconds after which no further test is started; with it,
+    the row-local tests run first, in one job, and then the others one by one.
     """
-    spark = df.sparkSession
-    plans, failed = plan(df, tests, tables, full)
-    rows: list[tuple] = []
-    if plans:
-        try:
-            rows = [tuple(r) for r in reduce(DataFrame.union, [p for _, p in plans]).collect()]  # a row for each test
-        except Exception:  # one of them failed while running: find out which
-            for i, test in enumerate(tests):
-                if i in failed:
-                    continue
-                try:
-                    alone, _ = plan(df, [test], tables, full)
-                    rows += [(i, *r[1:]) for r in alone[0][1].collect()]
-                except Exception as e:
-                    failed[i] = e
+    counted = plan(df, tests, tables, full)
+    failed = counted.failed
+    if budget is None:
+        rows = _run(df, counted.fused, counted.single, failed)
+    else:
+        rows, end = [], clock() + budget
+        steps = [(counted.fused, [])] if counted.fused else []
+        for fused, single in [*steps, *(([], [s]) for s in counted.single)]:
+            if clock() < end:
+                rows += _run(df, fused, single, failed)
+            else:
+                failed |= {i: NotEvaluable(f"the budget of {budget:g} s was used up") for i, _ in [*fused, *single]}
     out = [(*r, "ok", None) for r in rows]
     out += [(i, None, None, None, "future" if isinstance(e, FutureData) else "error", re.sub(r"\s+", " ", str(e))[:200]) for i, e in failed.items()]
-    return spark.createDataFrame(out, f"{_COUNTS}, status string, why string")
+    return df.sparkSession.createDataFrame(out, f"{_COUNTS}, status string, why string")
 
 
 def examples(df: DataFrame, test: Test, tables: dict[str, DataFrame], k: int = 3, order: Sequence[str] | None = None) -> DataFrame:

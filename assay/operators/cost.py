@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 TOKENS = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
 # fixed values: model name prefixes and their providers
-PROVIDERS = (("claude-", "anthropic"), ("gpt-", "openai"), ("gemini-", "google"))
+PROVIDERS = (("claude-", "anthropic"), ("gpt-", "openai"), ("gemini-", "gemini"))
 
 
 def provider_of(model: Column) -> Column:

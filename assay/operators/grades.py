@@ -9,30 +9,37 @@ MIN_PASS_RATE, MIN_MEAN_SCORE = 0.7, 0.5
 
 
 def parse_judgements(responses: DataFrame) -> DataFrame:
-    """criterion_id, score, passed and the kind of violation (null if sound) of each response.
+    """criterion_id, score, passed, reasoning, evidence and the kind of violation (null if sound) of each response.
 
     responses: artifact_id, criterion_id (asked), response_text.  A fenced block is unwrapped and
-    the first JSON object of the text is taken.
+    the first JSON object of the text is taken.  Types are those of the JSON: a number in quotes is
+    no score and a flag in quotes, 0 or 1 no flag; a null score is sound and stays null.
     """
     text = F.trim(F.col("response_text"))
     fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.regexp_extract(F.when(fence != "", fence).otherwise(text), r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, "criterion_id string, score string, passed string, evidence string, reasoning string")
-    rows = responses.withColumn("_j", parsed).withColumn("_body", body)
-    score = F.col("_j.score").try_cast("double")
-    whole = F.get_json_object("_body", "$.passed")
+    rows = responses.withColumn("_v", F.try_parse_json(F.nullif(body, F.lit(""))))
+    at = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind)
+    kind = lambda name: F.coalesce(F.schema_of_variant(at(name, "variant")), F.lit("MISSING"))
+    score, number = at("score", "double"), kind("score").rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    wrong = lambda name: ~kind(name).isin("STRING", "MISSING")
     violation = (
-        F.when((F.col("_body") == "") | F.col("_j").isNull() | F.get_json_object("_body", "$").isNull(), "no-json")
-        .when(F.col("_j.criterion_id").isNull(), "missing-criterion")
-        .when(F.col("_j.criterion_id") != F.col("criterion_id"), "criterion-mismatch")
-        .when(F.col("_j.score").isNull(), "missing-score")
-        .when(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")), "score-not-a-number")
-        .when((score < 0) | (score > 1), "score-out-of-range")
-        .when(whole.isNull() | ~whole.isin("true", "false") | F.col("_body").rlike(r'"passed"\s*:\s*"'), "passed-not-boolean")
+        F.when(F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), "no-json")
+        .when(kind("criterion_id") == "MISSING", "missing-criterion")
+        .when(kind("score") == "MISSING", "missing-score")
+        .when(kind("passed") == "MISSING", "missing-passed")
+        .when(~at("criterion_id", "string").eqNullSafe(F.col("criterion_id")), "criterion-mismatch")
+        .when((kind("score") != "VOID") & ~number, "score-not-a-number")
+        .when(number & (score.isNull() | F.isnan(score) | ~score.between(0, 1)), "score-out-of-range")
+        .when(kind("passed") != "BOOLEAN", "passed-not-boolean")
+        .when(wrong("evidence") | wrong("reasoning"), "field-not-text")
     )
     rows = rows.withColumn("violation", violation)
-    sound = F.col("violation").isNull()
-    return rows.select("artifact_id", "criterion_id", F.when(sound, score).alias("score"), F.when(sound, whole == "true").alias("passed"), F.when(sound, F.col("_j.reasoning")).alias("reasoning"), "violation")
+    sound = lambda c: F.when(F.col("violation").isNull(), c)
+    return rows.select(
+        "artifact_id", "criterion_id", sound(score).alias("score"), sound(at("passed", "boolean")).alias("passed"),
+        sound(at("reasoning", "string")).alias("reasoning"), sound(at("evidence", "string")).alias("evidence"), "violation",
+    )
 
 
 def invalid_scores(scores: DataFrame) -> DataFrame:
@@ -76,6 +83,12 @@ def first_failing_criterion(grades: DataFrame, *by: str) -> DataFrame:
     return bad.groupBy(*by, "artifact_id").agg(F.min_by(F.struct("criterion_id", "reasoning"), "pos").alias("_f")).select(*by, "artifact_id", F.col("_f.criterion_id").alias("criterion_id"), F.col("_f.reasoning").alias("reasoning"))
 
 
+def first_evidence(grades: DataFrame, *by: str) -> DataFrame:
+    """The first evidence that is not blank, in rubric order."""
+    said = grades.where(F.trim(F.coalesce("evidence", F.lit(""))) != "")
+    return said.groupBy(*by, "artifact_id").agg(F.min_by("evidence", "pos").alias("evidence"))
+
+
 def degrade_rate(grades: DataFrame) -> DataFrame:
     return grades.groupBy("criterion_id").agg(F.round(F.avg(F.col("score").isNull().cast("double")), 6).alias("degrade_rate"), F.count("*").alias("n"))
 

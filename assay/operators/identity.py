@@ -23,21 +23,32 @@ def args_hash(df: DataFrame) -> Column:
     return short_hash(canonical_args(df), 8)
 
 
+#: Positions that one task numbers at most.
+RANGE = 1 << 16
+
+
 def with_artifact_ids(tests: DataFrame) -> DataFrame:
     """Add args_hash and artifact_id to rows of tests.
 
     The hash enters the id only where the scope has several tests of the type; exact repeats are
-    told apart by :1, :2 and so on, in order of position.
+    told apart by :1, :2 and so on, in order of position.  No group of tests meets in one task as
+    a whole: counts combine on the map side and are joined back, and repeats are numbered within
+    ranges of RANGE positions, on top of the counts of the ranges before.
     """
     scope = F.when(F.col("column").isNotNull() & (F.col("anchor") != "model"), F.concat(F.lit("column."), F.col("column"))).otherwise("model")
-    hashed = tests.withColumn("args_hash", args_hash(tests)).withColumn("_scope", scope)
-    of_type = Window.partitionBy("table_name", "_scope", "test_type")
-    same = Window.partitionBy("table_name", "_scope", "test_type", "args_hash")
-    hashed = hashed.withColumn("_several", F.count("*").over(of_type) > 1).withColumn("_copies", F.count("*").over(same))
-    hashed = hashed.withColumn("_n", F.row_number().over(same.orderBy("position")))
+    of_type = ["table_name", "_scope", "test_type"]
+    same = [*of_type, "args_hash"]
+    hashed = tests.withColumn("args_hash", args_hash(tests)).withColumn("_scope", scope).withColumn("_range", F.floor(F.coalesce("position", F.lit(0)) / RANGE))
+    ranges = hashed.groupBy(*same, "_range").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*same).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_c")  # a row per 65,536 positions of a key
+    several = hashed.groupBy(*of_type).agg((F.count("*") > 1).alias("_several"))
+    within = Window.partitionBy(*same, "_range").orderBy("position")
+    hashed = hashed.withColumn("_n", F.row_number().over(within)).join(ranges, [*same, "_range"]).join(several, of_type)
+    n = F.col("_before") + F.col("_n")
     plain = F.concat_ws(".", F.lit("test"), "_scope", "test_type", F.when(F.col("_several"), F.col("args_hash")))
-    name = F.when((F.col("_copies") > 1) & (F.col("_n") > 1), F.concat(plain, F.lit(":"), (F.col("_n") - 1).cast("string"))).otherwise(plain)
-    return hashed.withColumn("artifact_id", name).drop("_scope", "_several", "_copies", "_n")
+    name = F.when(n > 1, F.concat(plain, F.lit(":"), (n - 1).cast("string"))).otherwise(plain)
+    return hashed.withColumn("artifact_id", name).select(*tests.columns, "args_hash", "artifact_id")
 
 
 def description_ids(columns: DataFrame) -> DataFrame:
@@ -46,7 +57,13 @@ def description_ids(columns: DataFrame) -> DataFrame:
     return cols.union(columns.select("table_name").distinct().select("table_name", F.lit("model.rationale").alias("artifact_id")))
 
 
+#: Rows of a result set that one hash may sum up.
+FINGERPRINT_ROWS = 100_000
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One hash of a small result set, whatever the order of its rows; for metadata only."""
-    rows = F.array_sort(F.collect_list(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))))
+    """One hash of a small result set, whatever the order of its rows; for metadata only, which is checked first."""
+    if df.limit(FINGERPRINT_ROWS + 1).count() > FINGERPRINT_ROWS:
+        raise ValueError(f"a fingerprint is of metadata: at most {FINGERPRINT_ROWS} rows")
+    rows = F.array_sort(F.collect_list(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))))
     return df.agg(short_hash(F.array_join(rows, "\n")).alias("fingerprint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -26,6 +27,18 @@ class Policy(NamedTuple):
     enabled: bool = True
 
 
+def redact_patterns(extend: Sequence[str] | None = None, replace: Sequence[str] | None = None) -> tuple[str, ...]:
+    """The default globs, with more of them, or others in their place; an empty ``replace`` turns globs off."""
+    if extend is not None and replace is not None:
+        raise ValueError("patterns are extended or replaced, not both")
+    found = PATTERNS + tuple(extend or ()) if replace is None else tuple(replace)
+    if found:
+        glob_regex(found)  # refuses globs that fit every name, or none
+    else:
+        logging.getLogger(__name__).warning("no patterns: names alone redact no column")
+    return found
+
+
 def glob_regex(patterns: Sequence[str]) -> str:
     """One anchored, case-insensitive regex for some globs (* and ?)."""
     for p in patterns:
@@ -69,9 +82,9 @@ def classify_columns(columns: DataFrame, policy: Policy = Policy()) -> DataFrame
     return columns.withColumn("reason", reason).withColumn("redacted", F.col("reason").isNotNull()).withColumn("alias", F.when(F.col("redacted"), alias_of(F.col("column_name"))))
 
 
-def suspicious_columns(classified: DataFrame) -> DataFrame:
+def suspicious_columns(classified: DataFrame, marks: Sequence[str] = SUSPICIOUS) -> DataFrame:
     """Names that look personal but that no rule caught."""
-    return classified.where(~F.col("redacted") & F.lower("column_name").rlike("|".join(SUSPICIOUS))).select("table_name", "column_name")
+    return classified.where(~F.col("redacted") & F.lower("column_name").rlike("|".join(map(re.escape, marks)))).select("table_name", "column_name")
 
 
 def _rules(policy: DataFrame) -> dict[str, str]:

@@ -6,24 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_sentence, truncate
-from .grades import artifact_grade, first_failing_criterion
+from .grades import artifact_grade, first_evidence, first_failing_criterion
 
 WHY = 80
 TIERS = ("kept", "kept-uncertain", "dropped", "flagged")
 
 
+def stray_tables(decisions: DataFrame, grades: DataFrame) -> DataFrame:
+    """Tables that have grades and no decisions."""
+    return grades.select("table_name").distinct().join(decisions.select("table_name").distinct(), "table_name", "left_anti")
+
+
 def check_same_tables(decisions: DataFrame, grades: DataFrame) -> None:
     """Grades must be of tables that have decisions."""
-    stray = grades.select("table_name").distinct().join(decisions.select("table_name").distinct(), "table_name", "left_anti").limit(5)
-    if names := [r[0] for r in stray.collect()]:
+    if names := [r[0] for r in stray_tables(decisions, grades).limit(5).collect()]:
         raise ValueError(f"grades of tables without decisions: {names}")
 
 
 def tiers(decisions: DataFrame, grades: DataFrame) -> DataFrame:
-    """Add score, passed, tier and tier_why to decisions (which have table_name and artifact_id)."""
+    """Add score, passed, tier and tier_why to decisions (which have table_name and artifact_id).
+
+    The text of a kept test is its rationale, else the first evidence of its grades, else why it was
+    kept.  Grades of tables without decisions are an error, found before anything is joined.
+    """
+    check_same_tables(decisions, grades)
     by = ["table_name", "artifact_id"]
     graded = decisions.join(artifact_grade(grades, "table_name"), by, "left")
     graded = graded.join(first_failing_criterion(grades, "table_name").withColumnRenamed("reasoning", "_because"), by, "left")
+    if "evidence" in grades.columns:
+        graded = graded.join(first_evidence(grades, "table_name").withColumnRenamed("evidence", "_evidence"), by, "left")
+    else:
+        graded = graded.withColumn("_evidence", F.lit(None).cast("string"))
     tier = (
         F.when(F.col("decision") == "dropped", "dropped")
         .when(F.col("reason") == "kept-without-evidence", "kept-uncertain")
@@ -33,8 +46,8 @@ def tiers(decisions: DataFrame, grades: DataFrame) -> DataFrame:
     )
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     flagged = F.concat(F.lit("failed grading: "), F.coalesce("criterion_id", F.lit("?")), F.lit(" — "), F.coalesce(first_sentence(F.col("_because")), F.lit("no reason given")))
-    said = F.when(F.col("tier") == "flagged", flagged).when(F.col("tier") == "kept", F.coalesce(blank("rationale"), blank("why"))).otherwise(F.col("why"))
-    return graded.withColumn("tier", tier).withColumn("tier_why", truncate(said, WHY)).drop("criterion_id", "_because")
+    said = F.when(F.col("tier") == "flagged", flagged).when(F.col("tier") == "kept", F.coalesce(blank("rationale"), blank("_evidence"), blank("why"))).otherwise(F.col("why"))
+    return graded.withColumn("tier", tier).withColumn("tier_why", truncate(said, WHY)).drop("criterion_id", "_because", "_evidence")
 
 
 def tier_counts(entries: DataFrame) -> DataFrame:

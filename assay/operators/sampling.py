@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import portable_hash, row_hash
-from ..sources.scratch import materialise
-from ..sources.tables import PartitionFilter, scan_partition
+from ..sources.scratch import materialise, shared_dir
+from ..sources.tables import PartitionFilter, exists, row_count, scan_partition
 
-#: The bucket of a filtered table whose size is not known.
+#: The bucket of a table whose size is not known.
 UNKNOWN_BUCKET = 1000
 #: Rows from which an unfiltered sample is refused.
 GUARD_ROWS = 100_000_000
@@ -70,17 +70,31 @@ def sample_id(table: str, n: int, by: PartitionFilter | None = None, version: st
     return hashlib.sha256("\0".join(parts).encode()).hexdigest()[:16]
 
 
-def materialise_sample(df: DataFrame, n: int, by: PartitionFilter | None = None, key: Sequence[str] | None = None, portable: bool = False) -> DataFrame:
-    """Draw the sample once and keep it, so that every test reads the small table."""
+def _drawn(df: DataFrame, n: int, by: PartitionFilter | None, key: Sequence[str] | None, portable: bool) -> DataFrame:
+    """The sample as a plan: rows are counted first, in a scan of the filter's column alone, so that the bucket fits them."""
     rows = scan_partition(df, by)
-    size = None if by else df.count()
+    size = row_count(rows)
     sample_guard(size, n, by is not None)
-    return materialise(sample_rows(rows, n, sample_bucket(size, n), key, portable), "sample")
+    return sample_rows(rows, n, sample_bucket(size or 0, n), key, portable)
+
+
+def materialise_sample(df: DataFrame, n: int, by: PartitionFilter | None = None, key: Sequence[str] | None = None, portable: bool = False) -> DataFrame:
+    """Draw the sample once and keep it, so that every test reads the small table."""
+    return materialise(_drawn(df, n, by, key, portable), "sample")
 
 
 def one_shot_sample(df: DataFrame, n: int, by: PartitionFilter | None = None, key: Sequence[str] | None = None, portable: bool = False) -> DataFrame:
     """The same rows without keeping them: every test draws the sample anew."""
-    rows = scan_partition(df, by)
-    size = None if by else df.count()
-    sample_guard(size, n, by is not None)
-    return sample_rows(rows, n, sample_bucket(size, n), key, portable)
+    return _drawn(df, n, by, key, portable)
+
+
+def kept_sample(df: DataFrame, table: str, n: int, by: PartitionFilter | None = None, key: Sequence[str] | None = None, portable: bool = False, version: str = "1") -> DataFrame:
+    """The sample of that id: read if it has been drawn before, drawn and kept if not.
+
+    version: what tells states of the table apart; a new one draws anew.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sample-{sample_id(table, n, by, version)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        _drawn(df, n, by, key, portable).write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -58,10 +58,11 @@ def unevaluated(spark: SparkSession, tests: Sequence[Test], why: str) -> DataFra
     return spark.createDataFrame([(i, None, None, None, "error", why) for i in range(len(tests))], "position int, failures long, excess_rows long, evaluated_rows long, status string, why string")
 
 
-def prune(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame], trusted: bool = False, sample: Callable[[DataFrame], DataFrame] | None = None, enabled: bool = True) -> DataFrame:
+def prune(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame], trusted: bool = False, sample: Callable[[DataFrame], DataFrame] | None = None, enabled: bool = True, budget: float | None = None) -> DataFrame:
     """One decision per test of a table, in flattened order.
 
     sample: how to draw the rows under test; if that fails, every test is kept without evidence.
+    budget: seconds after which no further test is started.
     """
     spark, tests, scope = df.sparkSession, flatten(tests), "full"
     if not enabled:
@@ -71,28 +72,38 @@ def prune(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame], tr
     else:
         try:
             rows = sample(df) if sample else df
-            scope = "sample" if sample else "full"
-            found = evaluate(rows, tests, tables, full=df)
-        except ValueError as e:
+        except Exception as e:
             found = unevaluated(spark, tests, f"sampling failed: {e}")
+        else:
+            scope = "sample" if sample else "full"
+            found = evaluate(rows, tests, tables, full=df, budget=budget)
     out = tests_frame(spark, tests).join(F.broadcast(found), "position")
     return verdict(out, trusted).withColumn("scope", F.lit(scope))
 
 
 def prune_many(tests: dict[str, Sequence[Test]], tables: dict[str, DataFrame], trusted: Iterable[str] = (), **options) -> DataFrame:
-    """Decisions for several tables; one that fails does not stop the others."""
+    """Decisions for several tables; one that fails does not stop the others: its tests are kept without evidence."""
     trusted = validate_trusted(trusted, tables)
     spark = next(iter(tables.values())).sparkSession
     parts = []
     for name, own in tests.items():
-        if name not in tables:
-            gone = tests_frame(spark, flatten(own)).join(unevaluated(spark, own, f"table {name} is not known"), "position")
-            parts.append(verdict(gone).withColumn("scope", F.lit("none")))
-        else:
+        try:
+            if name not in tables:
+                raise ValueError(f"table {name} is not known")
             parts.append(prune(tables[name], own, tables, name in trusted, **options))
+        except Exception as e:
+            gone = tests_frame(spark, flatten(own)).join(F.broadcast(unevaluated(spark, own, str(e)[:200])), "position")  # a row per test
+            parts.append(verdict(gone).withColumn("scope", F.lit("none")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def table_status(decisions: DataFrame) -> DataFrame:
+    """The worst status of each table's tests (ok, then future, then error), and that of the whole run (null table)."""
+    rank = F.max(F.when(F.col("status") == "error", 2).when(F.col("status") == "future", 1).otherwise(0))
+    found = decisions.rollup("table_name").agg(rank.alias("_rank"), F.count("*").alias("tests"))
+    return found.select("table_name", F.element_at(F.array(*map(F.lit, ("ok", "future", "error"))), F.col("_rank") + 1).alias("status"), "tests")
+
+
 def summary(decisions: DataFrame) -> DataFrame:
     """kept, dropped and total per table."""
     return decisions.groupBy("table_name").agg(F.count_if(F.col("decision") == "kept").alias("kept"), F.count_if(F.col("decision") == "dropped").alias("dropped"), F.count("*").alias("total"))

@@ -23,6 +23,8 @@ LINEITEM = [
     Test("lineitem", "custom_sql", sql="l_quantity > 45"),
     Test("lineitem", "custom_sql", sql="SELECT * FROM {{this}} WHERE l_tax > l_discount"),
 ]
+#: Rules that can not be judged: not boolean, not about one row, commented, several statements, unbalanced.
+UNSOUND = ("o_totalprice", "count(*) > 5", "row_number() OVER (ORDER BY o_orderkey) > 5", "o_totalprice > 5 -- dear ones", "SELECT * FROM {{this}} /* all */", "SELECT * FROM {{this}}; SELECT 1", "(o_totalprice > 5")
 ORDERS = [
     Test("orders", "not_null", "o_orderkey"),
     Test("orders", "unique", "o_orderkey"),
@@ -35,6 +37,8 @@ ORDERS = [
     Test("orders", "custom_sql", sql="o_totalprice <= 0"),
     Test("orders", "custom_sql", sql="SELECT o.* FROM {{this}} o JOIN {{ref('customer')}} c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal < 0"),
     Test("orders", "custom_sql", sql="SELECT * FROM nowhere_at_all"),
+    Test("orders", "custom_sql", sql="SELECT o.* FROM {{this}} o WHERE o.o_orderpriority LIKE '%{2}%' OR o.o_totalprice > 300000"),
+    *(Test("orders", "custom_sql", sql=rule) for rule in UNSOUND),
 ]
 CUSTOMER = [
     Test("customer", "not_null", "c_custkey"),
@@ -54,7 +58,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def sql_count(test: Test, source: str | None = None) -> str:
     """The failing rows of a test, counted by plain SQL; null where it can not be judged."""
     t, c = source or test.table, test.column
-    if c == "no_such_column" or test.to == "shipments" or "nowhere" in (test.sql or "") or (test.values and test.values[0] == "many"):
+    if c == "no_such_column" or test.to == "shipments" or "nowhere" in (test.sql or "") or test.sql in UNSOUND or (test.values and test.values[0] == "many"):
         return "NULL::BIGINT"
     if test.type == "not_null":
         return f"(SELECT count(*) FROM {t} WHERE {c} IS NULL)"
@@ -115,7 +119,7 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CALLS = f"""calls AS (SELECT conv_id, turn, 'model.' || (conv_id % 7) AS model_unique_id, ([{", ".join(repr(m) for m in MODELS)}])[conv_id % 5 + 1] AS model,
 length(coalesce(text, ''))::BIGINT AS input_tokens, (length(coalesce(text, '')) // 2)::BIGINT AS output_tokens, (length(coalesce(text, '')) % 10)::BIGINT AS cache_creation_input_tokens,
 (length(coalesce(text, '')) % 100)::BIGINT AS cache_read_input_tokens, CASE WHEN role = 'user' THEN 'draft' ELSE 'grade' END AS stage FROM conversations)"""
-SQL_PRICED = f"""{SQL_PRICES}, {SQL_CALLS}, priced AS (SELECT c.*, CASE WHEN c.model LIKE 'claude-%' THEN 'anthropic' WHEN c.model LIKE 'gpt-%' THEN 'openai' WHEN c.model LIKE 'gemini-%' THEN 'google' END AS provider,
+SQL_PRICED = f"""{SQL_PRICES}, {SQL_CALLS}, priced AS (SELECT c.*, CASE WHEN c.model LIKE 'claude-%' THEN 'anthropic' WHEN c.model LIKE 'gpt-%' THEN 'openai' WHEN c.model LIKE 'gemini-%' THEN 'gemini' END AS provider,
 (input_tokens * p_in + output_tokens * p_out + cache_creation_input_tokens * p_write + cache_read_input_tokens * p_read) / 1e6 AS cost FROM calls c LEFT JOIN prices p USING (model))"""
 
 
@@ -124,7 +128,7 @@ def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     each = F.explode(F.array(F.struct(F.lit("quality").alias("criterion_id"), F.lit(0).alias("pos"), F.col("quality").cast("double").alias("score")), F.struct(F.lit("harmless").alias("criterion_id"), F.lit(1).alias("pos"), (1 - F.col("toxic")).cast("double").alias("score"))))
     rows = docs.select(F.col("source").alias("table_name"), F.concat(F.lit("doc."), F.col("doc_id").cast("string")).alias("artifact_id"), each.alias("g")).select("table_name", "artifact_id", "g.*")
-    return rows.withColumn("passed", F.coalesce(F.col("score") >= 0.5, F.lit(False))).withColumn("reasoning", F.concat(F.lit("By the label of "), F.col("criterion_id"), F.lit(". No more is known.")))
+    return rows.withColumn("passed", F.coalesce(F.col("score") >= 0.5, F.lit(False))).withColumn("reasoning", F.concat(F.lit("By the label of "), F.col("criterion_id"), F.lit(". No more is known."))).withColumn("evidence", F.when(F.col("pos") == 1, F.concat(F.lit("Shown by "), F.col("artifact_id"))))
 
 
 SQL_GRADES = """grades AS (SELECT source AS table_name, 'doc.' || doc_id AS artifact_id, u.criterion_id, u.pos, u.score, coalesce(u.score >= 0.5, false) AS passed

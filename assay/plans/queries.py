@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import short_hash
 from ..operators import checks, cost, grades, hygiene, identity, profile, propose, redact, report, sampling, verdict
 from ..operators.checks import Test
+from ..sources import audit
 from ..sources.scratch import materialise, new_path
-from ..sources.tables import PartitionFilter, is_directory, scan_partition, table
+from ..sources.tables import PartitionFilter, is_directory, row_count, scan_partition, table
 from ..streaming import streams
 from . import fixtures as fx
 from . import runs
@@ -94,9 +95,19 @@ def failure_examples(spark, sf_dir):
     return checks.examples(failing, Test("failing", "custom_sql", sql="true"), {}, 3, ["c_custkey"])
 
 
-@query("SELECT count(*) || ' rows failed (example: n_nationkey=' || arg_min(n_nationkey, n_nationkey) || ', n_name=''' || arg_min(n_name, n_nationkey) || ''')' AS explanation FROM nation WHERE n_nationkey > 5")
+@query("SELECT count(*) || ' rows failed (example: o_orderkey=' || arg_min(o_orderkey, o_orderkey) || ', o_orderstatus=''' || arg_min(o_orderstatus, o_orderkey) || ''')' AS explanation FROM orders WHERE o_orderkey > 5")
 def explain_failure(spark, sf_dir):
-    return checks.explain_failure(table(spark, sf_dir, "nation", "n_nationkey", "n_name"), Test("nation", "custom_sql", sql="n_nationkey > 5"), {}, ["n_nationkey"])
+    return checks.explain_failure(table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus"), Test("orders", "custom_sql", sql="o_orderkey > 5"), {}, ["o_orderkey"])
+
+
+@query(
+    "SELECT 'error' AS status, NULL::BIGINT AS failures, NULL::BIGINT AS evaluated_rows, " + str(len(fx.UNSOUND)) + "::BIGINT AS tests UNION ALL "
+    "SELECT 'ok', (SELECT count(*) FROM orders WHERE o_orderpriority LIKE '%{1}%' OR o_totalprice > 200000), (SELECT count(*) FROM orders), 1"
+)
+def unevaluable_rules(spark, sf_dir):
+    rules = [*fx.UNSOUND, "SELECT o.* FROM {{this}} o WHERE o.o_orderpriority LIKE '%{1}%' OR o.o_totalprice > 200000"]
+    found = checks.evaluate(table(spark, sf_dir, "orders"), [Test("orders", "custom_sql", sql=r) for r in rules], {})
+    return found.groupBy("status", "failures", "evaluated_rows").agg(F.count("*").alias("tests"))
 
 
 # verdicts --------------------------------------------------------------------------------------
@@ -154,6 +165,13 @@ def drop_reason_histogram(spark, sf_dir):
     return verdict.drop_reason_histogram(verdicts(spark, sf_dir))
 
 
+@query(
+    f"SELECT table_name, CASE WHEN bool_or(status = 'error') THEN 'error' WHEN bool_or(status = 'future') THEN 'future' ELSE 'ok' END AS status, count(*) AS tests FROM ({fx.sql_decisions(fx.ALL)}) GROUP BY ROLLUP (table_name)"
+)
+def table_status(spark, sf_dir):
+    return verdict.table_status(verdicts(spark, sf_dir))
+
+
 # samples ---------------------------------------------------------------------------------------
 
 _H = "('0x' || substr(md5({k}), 1, 15))::BIGINT"
@@ -195,6 +213,46 @@ def materialised_vs_oneshot(spark, sf_dir):
     return plans[0].union(plans[1])
 
 
+_SIZED = ("orders", "lineitem", "documents", "events")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _SIZED) + " UNION ALL SELECT 'no rows', NULL")
+def row_counts(spark, sf_dir):
+    """Sizes as samples use them: an empty table has none."""
+    rows = [(n, row_count(table(spark, sf_dir, n))) for n in _SIZED]
+    rows.append(("no rows", row_count(table(spark, sf_dir, "orders").where("o_orderkey < 0"))))
+    return spark.createDataFrame(rows, "table_name string, row_count long")
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, greatest(count(*) // 100, 1) AS bucket, 'drawn' AS outcome FROM {t}" for t in _SIZED)
+    + " UNION ALL SELECT 'no rows', 1, 'the size of the table is not known or zero; give a partition filter'"
+)
+def sample_guards(spark, sf_dir):
+    """Which tables a sample of 100 rows may be drawn from."""
+    rows = []
+    for n in (*_SIZED, "no rows"):
+        size = row_count(table(spark, sf_dir, "orders").where("o_orderkey < 0") if n == "no rows" else table(spark, sf_dir, n))
+        try:
+            sampling.sample_guard(size, 100, False)
+            outcome = "drawn"
+        except sampling.SampleError as e:
+            outcome = str(e)
+        rows.append((n, sampling.sample_bucket(size or 0, 100), outcome))
+    return spark.createDataFrame(rows, "table_name string, bucket long, outcome string")
+
+
+@query(
+    f"""WITH r AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'), b AS (SELECT greatest(count(*) // 500, 1) AS bucket FROM r)
+SELECT o_orderkey, 2::BIGINT AS times FROM r, b WHERE {_H.format(k='o_orderkey::VARCHAR')} % bucket = 0 ORDER BY {_H.format(k='o_orderkey::VARCHAR')}, o_orderkey LIMIT 500"""
+)
+def sample_kept_by_id(spark, sf_dir):
+    """A filtered sample is drawn once under its id, and read when it is asked for again."""
+    orders, version = table(spark, sf_dir, "orders"), new_path(spark, "run")
+    ask = lambda rows: sampling.kept_sample(rows, "orders", 500, PartitionFilter("o_orderdate", ">=", "1995-01-01"), ["o_orderkey"], True, version).select("o_orderkey")
+    return ask(orders).union(ask(orders.where("false"))).groupBy("o_orderkey").agg(F.count("*").alias("times"))
+
+
 # profiles and redaction ------------------------------------------------------------------------
 
 
@@ -217,43 +275,68 @@ def column_stats_complex(spark, sf_dir):
     return profile.column_stats(table(spark, sf_dir, "embeddings"))
 
 
+_NAMES = ("work_email", "phone", "author_id", "note", "api_key_label", "token", "Contact_Phone")
+
+
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of the given tables with tags and settings, as a catalogue would have them."""
-    rows = []
-    marks = {"customer.c_name": (["pii"], {}), "customer.c_acctbal": ([], {"contains_pii": "true"}), "customer.c_mktsegment": ([], {"contains_pii": '""'}), "supplier.s_acctbal": ([], {"sample": "false"}), "conversations.text": ([], {"contains_pii": '"false"'})}
-    of_table = {"events": (["pii"], {}), "labels": ([], {"contains_pii": "0"}), "benchmark": ([], {"sample": "false"}), "region": ([], {"contains_pii": "[1]"})}
-    for name in ("customer", "supplier", "conversations", "events", "labels", "benchmark", "region", "pages"):
-        for f in table(spark, sf_dir, name).schema:
-            tags, meta = marks.get(f"{name}.{f.name}", ([], {}))
-            ttags, tmeta = of_table.get(name, ([], {}))
-            rows.append((name, ttags, tmeta, f.name, tags, meta))
-    return spark.createDataFrame(rows, "table_name string, table_tags array<string>, table_meta map<string,string>, column_name string, tags array<string>, meta map<string,string>")
-
-
-_POLICY = redact.Policy(skip_columns=("pages.html",), skip_tables=("nation",), patterns=(*redact.PATTERNS, "*_id"))
-_SQL_CLASS = """WITH m AS (SELECT table_name, column_name, CASE
-WHEN table_name || '.' || column_name = 'pages.html' THEN 'skip-column'
-WHEN table_name || '.' || column_name = 'supplier.s_acctbal' THEN 'column-opt-out'
-WHEN table_name || '.' || column_name = 'customer.c_name' THEN 'column-tag-pii'
-WHEN table_name || '.' || column_name IN ('customer.c_acctbal', 'conversations.text') THEN 'column-contains-pii'
-WHEN table_name = 'benchmark' THEN 'table-opt-out' WHEN table_name = 'events' THEN 'table-tag-pii' WHEN table_name = 'region' THEN 'table-contains-pii'
-WHEN column_name LIKE '%\\_id' ESCAPE '\\' THEN 'pattern' END AS reason
-FROM (SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('customer', 'supplier', 'conversations', 'events', 'labels', 'benchmark', 'region', 'pages')))"""
-
-
-@query(_SQL_CLASS + " SELECT table_name, column_name, reason IS NOT NULL AS redacted, reason, CASE WHEN reason IS NOT NULL THEN 'col_' || substr(sha256(column_name), 1, 8) END AS alias FROM m")
+    """Columns with tags and settings, as a catalogue would have them, made from documents: a source is a table."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang")
+    i = F.col("doc_id")
+    none = F.create_map().cast("map<string,string>")
+    tags = lambda c: F.when(c, F.array(F.lit("x"), F.lit("PII"))).otherwise(F.array().cast("array<string>"))
+    meta = F.when(i % 13 == 0, F.create_map(F.lit("contains_pii"), F.lit("true"))).when(i % 13 == 1, F.create_map(F.lit("contains_pii"), F.lit('""'))).when(i % 13 == 2, F.create_map(F.lit("contains_pii"), F.lit('"false"')))
+    meta = meta.when(i % 13 == 3, F.create_map(F.lit("sample"), F.lit("false"))).otherwise(none)
+    of_table = F.when(F.col("source") == "src3", F.create_map(F.lit("contains_pii"), F.lit("[1]"))).when(F.col("source") == "src4", F.create_map(F.lit("sample"), F.lit(" False"))).when(F.col("source") == "src5", F.create_map(F.lit("contains_pii"), F.lit("0"))).otherwise(none)
+    name = F.concat("lang", F.lit("_"), F.element_at(F.array(*map(F.lit, _NAMES)), (i % len(_NAMES) + 1).cast("int")))
+    return docs.select(i.alias("position"), F.col("source").alias("table_name"), tags(F.col("source") == "src2").alias("table_tags"), of_table.alias("table_meta"), name.alias("column_name"), tags(i % 11 == 0).alias("tags"), meta.alias("meta"))
+
+
+_POLICY = redact.Policy(skip_columns=("src1.en_note",), skip_tables=("src6",), patterns=redact.redact_patterns(extend=("*_id",)))
+_SQL_CLASS = f"""WITH n AS (SELECT doc_id AS position, source AS table_name, lang || '_' || ([{", ".join(repr(x) for x in _NAMES)}])[doc_id % {len(_NAMES)} + 1] AS column_name FROM documents),
+m AS (SELECT *, CASE WHEN table_name || '.' || column_name = 'src1.en_note' THEN 'skip-column' WHEN table_name = 'src6' THEN 'skip-table'
+WHEN position % 13 = 3 THEN 'column-opt-out' WHEN position % 11 = 0 THEN 'column-tag-pii' WHEN position % 13 IN (0, 2) THEN 'column-contains-pii'
+WHEN table_name = 'src4' THEN 'table-opt-out' WHEN table_name = 'src2' THEN 'table-tag-pii' WHEN table_name = 'src3' THEN 'table-contains-pii'
+WHEN regexp_matches(lower(column_name), '(email|phone|_id)$') THEN 'pattern' END AS reason FROM n)"""
+
+
+@query(_SQL_CLASS + " SELECT position, table_name, column_name, reason IS NOT NULL AS redacted, reason, CASE WHEN reason IS NOT NULL THEN 'col_' || substr(sha256(column_name), 1, 8) END AS alias FROM m")
 def classify_columns(spark, sf_dir):
-    return redact.classify_columns(_metadata(spark, sf_dir), _POLICY).select("table_name", "column_name", "redacted", "reason", "alias")
+    return redact.classify_columns(_metadata(spark, sf_dir), _POLICY).select("position", "table_name", "column_name", "redacted", "reason", "alias")
 
 
-@query(_SQL_CLASS + " SELECT table_name, column_name FROM m WHERE reason IS NULL AND regexp_matches(lower(column_name), 'label|seg')")
+@query(_SQL_CLASS + " SELECT table_name, column_name FROM m WHERE reason IS NULL AND regexp_matches(lower(column_name), 'email|phone|ssn|password|token|secret|api_key')")
 def suspicious_columns(spark, sf_dir):
-    rows = redact.classify_columns(_metadata(spark, sf_dir), _POLICY)
-    return rows.where(~F.col("redacted") & F.col("column_name").rlike("label|seg")).select("table_name", "column_name")
+    return redact.suspicious_columns(redact.classify_columns(_metadata(spark, sf_dir), _POLICY))
+
+
+def _policy(spark: SparkSession, sf_dir: str, name: str, marks: dict[str, tuple[list[str], dict[str, str]]], policy: redact.Policy) -> DataFrame:
+    """The policy of one of the given tables: a row per column."""
+    rows = [(name, [], {}, c, *marks.get(c, ([], {}))) for c in table(spark, sf_dir, name).columns]
+    meta = spark.createDataFrame(rows, "table_name string, table_tags array<string>, table_meta map<string,string>, column_name string, tags array<string>, meta map<string,string>")
+    return redact.classify_columns(meta, policy)
+
+
+@query("SELECT page_id, url FROM pages")
+def drop_columns(spark, sf_dir):
+    policy = _policy(spark, sf_dir, "pages", {"url": (["pii"], {})}, redact.Policy(skip_columns=("pages.html",)))
+    return redact.drop_columns_by_policy(table(spark, sf_dir, "pages"), policy)
+
+
+@query(
+    """SELECT 'pages' AS model_unique_id, 'sample' AS mode, 'col_' || substr(sha256('page_id'), 1, 8) || ',url' AS columns_sent, (SELECT count(*) FROM (SELECT 1 FROM pages LIMIT 300)) AS row_count,
+'html:skip-column,page_id:pattern' AS redactions, 'sample_mode_enabled,audit_path_overridden' AS policy_flags"""
+)
+def share_audit_row(spark, sf_dir):
+    settings = redact.Policy(skip_columns=("pages.html",), patterns=redact.redact_patterns(replace=["*_id"]))
+    policy = _policy(spark, sf_dir, "pages", {}, settings)
+    shared = redact.share_payload(table(spark, sf_dir, "pages"), policy, "sample", 300, ["page_id"])
+    row = redact.share_audit_row(shared, policy, "pages", "sample", settings, path_overridden=True)
+    listed = F.array_join(F.transform("redactions", lambda r: F.concat_ws(":", r["column_name"], r["reason"])), ",")
+    return row.select("model_unique_id", "mode", F.array_join("columns_sent", ",").alias("columns_sent"), "row_count", listed.alias("redactions"), F.array_join("policy_flags", ",").alias("policy_flags"))
 
 
 def _customer_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.classify_columns(_metadata(spark, sf_dir).where("table_name = 'customer'"), _POLICY)
+    return _policy(spark, sf_dir, "customer", {"c_name": (["pii"], {}), "c_acctbal": ([], {"contains_pii": "true"}), "c_mktsegment": ([], {"contains_pii": '""'})}, _POLICY)
 
 
 _A = {c: f"'col_' || substr(sha256('{c}'), 1, 8)" for c in ("c_name", "c_acctbal")}
@@ -280,6 +363,16 @@ def profile_redacted(spark, sf_dir):
     return profile.profile_with_redaction(table(spark, sf_dir, "customer"), _customer_policy(spark, sf_dir))
 
 
+_WIDE = 501
+
+
+@query(" UNION ALL ".join(f"SELECT 'c{i}' AS \"column\", count(*) AS non_null, count(DISTINCT s_suppkey % {i + 2}) AS distinct_values, max(s_suppkey % {i + 2})::VARCHAR AS max_value FROM supplier" for i in range(_WIDE)))
+def wide_profile(spark, sf_dir):
+    """A table of more than 500 columns: one warning, and exact counts by chunks of columns."""
+    wide = table(spark, sf_dir, "supplier", "s_suppkey").select(*[(F.col("s_suppkey") % (i + 2)).alias(f"c{i}") for i in range(_WIDE)])
+    return profile.column_stats(wide, chunk=170).select("column", "non_null", "distinct_values", "max_value")
+
+
 # sets of tests: entries come from documents, so that they grow with the input -------------------
 
 
@@ -418,6 +511,11 @@ def propose_and_prune(spark, sf_dir):
     return runs.propose_and_prune(customer, "customer", {"nation": table(spark, sf_dir, "nation")}).select("column", "test_type", "reason", "failures")
 
 
+@query("SELECT substr(sha256(string_agg(j, chr(10) ORDER BY j)), 1, 16) AS fingerprint FROM (SELECT to_json({'lang': lang, 'n': count(*), 'source': source}) AS j FROM documents GROUP BY source, lang)")
+def fingerprint(spark, sf_dir):
+    return identity.fingerprint(table(spark, sf_dir, "documents", "source", "lang").groupBy("source", "lang").agg(F.count("*").alias("n")))
+
+
 # grades and tiers ------------------------------------------------------------------------------
 
 
@@ -449,19 +547,37 @@ def first_failing_criterion(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT doc_id, quality, toxic, doc_id % 5 AS k FROM labels)
-SELECT 'doc.' || doc_id AS artifact_id, 'quality' AS criterion_id, CASE WHEN k IN (0, 1) THEN quality::DOUBLE END AS score, CASE WHEN k IN (0, 1) THEN quality = 1 END AS passed,
-CASE k WHEN 2 THEN 'score-out-of-range' WHEN 3 THEN 'criterion-mismatch' WHEN 4 THEN 'no-json' END AS violation FROM r"""
+    """WITH r AS (SELECT doc_id, quality, toxic, doc_id % 8 AS k FROM labels)
+SELECT 'doc.' || doc_id AS artifact_id, 'quality' AS criterion_id, CASE WHEN k IN (0, 1) THEN quality::DOUBLE END AS score, CASE WHEN k IN (0, 1, 5) THEN quality = 1 END AS passed,
+CASE WHEN k IN (0, 1, 5) THEN 'Seen.' END AS evidence, CASE k WHEN 2 THEN 'score-out-of-range' WHEN 3 THEN 'criterion-mismatch' WHEN 4 THEN 'no-json' WHEN 6 THEN 'score-not-a-number' WHEN 7 THEN 'missing-score' END AS violation FROM r"""
 )
 def parse_judgements(spark, sf_dir):
     r = table(spark, sf_dir, "labels")
-    body = lambda crit, score: F.concat(F.lit(f'{{"criterion_id": "{crit}", "score": '), score, F.lit(', "passed": '), (F.col("quality") == 1).cast("string"), F.lit(', "reasoning": "So it is."}'))
+    said = F.concat(F.lit(', "passed": '), (F.col("quality") == 1).cast("string"), F.lit(', "reasoning": "So it is.", "evidence": "Seen."}'))
+    body = lambda crit, score: F.concat(F.lit(f'{{"criterion_id": "{crit}"'), score, said)
+    scored = lambda c: F.concat(F.lit(', "score": '), c)
     q = F.col("quality").cast("string")
-    k = F.col("doc_id") % 5
-    text = F.when(k == 0, body("quality", q)).when(k == 1, F.concat(F.lit("Here it is:\n```json\n"), body("quality", q), F.lit("\n```"))).when(k == 2, body("quality", F.lit("7.5"))).when(k == 3, body("style", q)).otherwise(F.lit("I can not say."))
+    k = F.col("doc_id") % 8
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), body("quality", scored(q)), F.lit("\n```"))
+    text = F.when(k == 0, body("quality", scored(q))).when(k == 1, fenced).when(k == 2, body("quality", scored(F.lit("7.5")))).when(k == 3, body("style", scored(q))).when(k == 4, F.lit("I can not say."))
+    text = text.when(k == 5, body("quality", scored(F.lit("null")))).when(k == 6, body("quality", scored(F.lit('"0.5"')))).otherwise(body("quality", F.lit("")))
     return grades.parse_judgements(r.select(F.concat(F.lit("doc."), F.col("doc_id").cast("string")).alias("artifact_id"), F.lit("quality").alias("criterion_id"), text.alias("response_text"))).drop("reasoning")
 
 
+@query("SELECT doc_id, (CASE doc_id % 4 WHEN 0 THEN quality WHEN 1 THEN quality + 0.5 WHEN 2 THEN quality - 0.25 END)::DOUBLE AS score FROM labels WHERE doc_id % 4 = 1 AND quality = 1 OR doc_id % 4 = 2 AND quality = 0")
+def invalid_scores(spark, sf_dir):
+    i, q = F.col("doc_id") % 4, F.col("quality").cast("double")
+    return grades.invalid_scores(table(spark, sf_dir, "labels").select("doc_id", F.when(i == 0, q).when(i == 1, q + 0.5).when(i == 2, q - 0.25).alias("score")))
+
+
+@query("SELECT DISTINCT source AS table_name FROM documents WHERE source IN (SELECT min(source) FROM documents UNION ALL SELECT max(source) FROM documents)")
+def stray_tables(spark, sf_dir):
+    """Tables that have grades and no decisions."""
+    decided, ends = _decided(spark, sf_dir), table(spark, sf_dir, "documents", "source").agg(F.min("source").alias("a"), F.max("source").alias("z"))
+    known = decided.join(F.broadcast(ends), (F.col("table_name") != F.col("a")) & (F.col("table_name") != F.col("z")))  # one row
+    return report.stray_tables(known, fx.grades(spark, sf_dir))
+
+
 @query(
     """WITH r(criterion_id, pos) AS (VALUES ('quality', 0), ('style', 1)) SELECT 'doc.' || d.doc_id AS artifact_id, r.criterion_id, r.pos, CASE WHEN r.pos = 0 THEN l.quality::DOUBLE END AS score, coalesce(CASE WHEN r.pos = 0 THEN l.quality = 1 END, false) AS passed,
 CASE WHEN r.pos = 1 OR l.quality IS NULL THEN 'not evaluated' END AS reasoning FROM documents d CROSS JOIN r LEFT JOIN labels l USING (doc_id)"""
@@ -493,7 +609,7 @@ _CUT = "The column must have a value in every row, since reports that read it co
 
 @query(
     _SQL_TIERS
-    + f" SELECT table_name, artifact_id, reason, score, passed, tier, CASE WHEN tier = 'flagged' THEN 'failed grading: ' || crit || ' — By the label of ' || crit || '.' WHEN tier = 'kept' AND n_chars % 2 = 0 THEN '{_CUT}…' ELSE 'some failures' END AS tier_why FROM t"
+    + f" SELECT table_name, artifact_id, reason, score, passed, tier, CASE WHEN tier = 'flagged' THEN 'failed grading: ' || crit || ' — By the label of ' || crit || '.' WHEN tier = 'kept' AND n_chars % 2 = 0 THEN '{_CUT}…' WHEN tier = 'kept' THEN 'Shown by ' || artifact_id ELSE 'some failures' END AS tier_why FROM t"
 )
 def tiers(spark, sf_dir):
     return report.tiers(_decided(spark, sf_dir), fx.grades(spark, sf_dir)).select("table_name", "artifact_id", "reason", "score", "passed", "tier", "tier_why")
@@ -528,7 +644,9 @@ def grade_drift(spark, sf_dir):
     f"WITH {fx.SQL_PRICED} SELECT provider, model, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_creation_input_tokens)::BIGINT AS cache_creation_input_tokens, sum(cache_read_input_tokens)::BIGINT AS cache_read_input_tokens, round(sum(cost), 6) AS cost FROM priced WHERE cost IS NOT NULL AND provider IS NOT NULL GROUP BY ALL"
 )
 def cost_by_model(spark, sf_dir):
-    return cost.cost_by_model(cost.priced(fx.call_log(spark, sf_dir), fx.prices(spark)))
+    log = fx.call_log(spark, sf_dir)
+    both = cost.calls(*(log.where(F.col("stage") == stage) for stage in ("draft", "grade")))
+    return cost.cost_by_model(cost.priced(both, fx.prices(spark)))
 
 
 @query(f"WITH {fx.SQL_PRICED} SELECT provider, model, count(*) AS calls, round(sum(cost), 6) AS cost FROM priced WHERE cost IS NOT NULL AND provider IS NOT NULL GROUP BY ROLLUP (provider, model)")
@@ -558,10 +676,61 @@ def asof_pairing(spark, sf_dir):
     return cost.nearest_earlier(buys, views, "user_id", 2 * 86400, "ts", "ts").select("event_id", "matched_event_id")
 
 
-@query(f"WITH {fx.SQL_CALLS} SELECT conv_id, turn, octet_length(encode(stage || model || model_unique_id)) > 19 AS too_long FROM calls")
-def record_size(spark, sf_dir):
+def _response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response log made from conversations.  Some records name no model, some have negative counts, some are too long."""
     log = fx.call_log(spark, sf_dir)
-    return log.select("conv_id", "turn", (F.octet_length(F.concat("stage", "model", "model_unique_id")) > 19).alias("too_long"))
+    i, long = F.col("conv_id"), F.repeat(F.lit("x"), 5000)
+    return log.select(
+        (1 + F.col("turn") % 2).cast("int").alias("audit_schema_version"), "timestamp", "model_unique_id", F.when(i % 50 == 7, long).otherwise("v1").alias("prompt_version"), F.concat_ws("-", "conv_id", "turn").alias("response_text_hash"),
+        F.lit(None).cast("string").alias("parsed_schema_hash"), F.lit(None).cast("string").alias("sent_sql_hash"), F.when(i % 10 == 4, -1).otherwise(F.col("input_tokens")).alias("input_tokens"), "output_tokens", "cache_creation_input_tokens",
+        "cache_read_input_tokens", F.when(i % 10 != 3, F.col("model")).alias("model"),
+    )
+
+
+def _written_log(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The log as files, with the records that were too long for it; every tenth conversation also left a broken line."""
+    path = new_path(spark, "log")
+    long = audit.append_audit(_response_records(spark, sf_dir), path)
+    broken = table(spark, sf_dir, "conversations", "conv_id", "turn").where("conv_id % 10 = 5 AND turn = 0")
+    broken.select(F.concat(F.lit('{"model": "a", "conv": '), F.col("conv_id").cast("string"), F.lit(', "input'))).write.mode("append").text(f"{path}/model_unique_id=broken")
+    return path, long
+
+
+_SQL_WRITTEN = f"WITH {fx.SQL_CALLS}, written AS (SELECT * FROM calls WHERE conv_id % 50 <> 7), sound AS (SELECT * FROM written WHERE conv_id % 10 NOT IN (3, 4))"
+
+
+@query(_SQL_WRITTEN + " SELECT conv_id || '-' || turn AS response_text_hash FROM calls WHERE conv_id % 50 = 7")
+def append_audit(spark, sf_dir):
+    """The records that are too long for the log."""
+    return _written_log(spark, sf_dir)[1].select("response_text_hash")
+
+
+@query(_SQL_WRITTEN + " SELECT model_unique_id, model, count(*) AS n, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM sound GROUP BY ALL")
+def read_audit(spark, sf_dir):
+    log = audit.read_audit(spark, _written_log(spark, sf_dir)[0], "response")
+    return log.groupBy("model_unique_id", "model").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query(_SQL_WRITTEN + " SELECT CASE conv_id % 10 WHEN 3 THEN 'missing field: model' WHEN 4 THEN 'negative: input_tokens' END AS reason, count(*) AS n FROM written WHERE conv_id % 10 IN (3, 4) GROUP BY ALL UNION ALL SELECT 'not JSON of this shape', count(*) FROM conversations WHERE conv_id % 10 = 5 AND turn = 0")
+def malformed_records(spark, sf_dir):
+    return audit.malformed_records(spark, _written_log(spark, sf_dir)[0], "response").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(_SQL_WRITTEN + " SELECT count(*) AS n, sum(turn % 2)::BIGINT AS second_version FROM sound WHERE turn % 2 = 1")
+def version_gate(spark, sf_dir):
+    gated = audit.version_gate(audit.read_audit(spark, _written_log(spark, sf_dir)[0], "response"), 2)
+    return gated.agg(F.count("*").alias("n"), F.sum(F.col("audit_schema_version") - 1).cast("long").alias("second_version"))
+
+
+@query("SELECT source AS table_name, lang, count(*) * CASE WHEN source = (SELECT min(source) FROM documents) THEN 2 ELSE 1 END AS n FROM documents GROUP BY source, lang")
+def write_report(spark, sf_dir):
+    """A report of all tables, and then a later one of one table only: the others' stay."""
+    path = new_path(spark, "report")
+    found = table(spark, sf_dir, "documents", "source", "lang").groupBy(F.col("source").alias("table_name"), "lang").agg(F.count("*").alias("n"))
+    audit.write_report(found, path)
+    first = found.agg(F.min("table_name").alias("first"))
+    audit.write_report(found.join(F.broadcast(first), F.col("table_name") == F.col("first")).select("table_name", "lang", (F.col("n") * 2).alias("n")), path)  # one row
+    return spark.read.parquet(path)
 
 
 # streams ---------------------------------------------------------------------------------------
@@ -601,6 +770,22 @@ def stream_kept_rate(spark, sf_dir):
     return _drained(spark, streams.kept_rate_by_window(_event_log(spark, sf_dir), threshold=0.35))
 
 
+@query(
+    f"WITH {_SQL_LOG}, w AS (SELECT date_trunc('day', ts) - INTERVAL (k) DAY AS window_start, model_unique_id, reason, count(*) AS n FROM l, (SELECT unnest([0, 1]) AS k) GROUP BY ALL) SELECT window_start, model_unique_id, reason, n FROM w WHERE window_start + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM l)"
+)
+def stream_sliding_counts(spark, sf_dir):
+    return _drained(spark, streams.reason_counts(_event_log(spark, sf_dir), "2 days", "1 day"))
+
+
+@query(_SQL_WRITTEN + " SELECT model, count(*) AS n, sum(output_tokens)::BIGINT AS output_tokens FROM written WHERE conv_id % 10 <> 3 GROUP BY model")
+def stream_audit_log(spark, sf_dir):
+    """A log that is tailed as it is appended to."""
+    path = new_path(spark, "log")
+    audit.append_audit(_response_records(spark, sf_dir), path)
+    log = _drained(spark, streams.audit_stream(spark, path, "response").select("model", "output_tokens"))
+    return log.where("model IS NOT NULL").groupBy("model").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
+
+
 @query("SELECT record_id FROM (SELECT DISTINCT (event_id % 5000)::VARCHAR AS record_id FROM events)")
 def stream_dedupe(spark, sf_dir):
     return _drained(spark, streams.without_duplicates(_event_log(spark, sf_dir), late="60 days").select("record_id"))
@@ -618,6 +803,22 @@ def stream_batch_checks(spark, sf_dir):
     return rows.groupBy("anchor", "test_type").agg(F.sum("evaluated_rows").alias("evaluated_rows"), F.sum("failures").alias("failures"))
 
 
+@query(
+    """SELECT sum(n)::BIGINT AS evaluated_rows, sum(bad)::BIGINT AS failures, sum(late)::BIGINT AS late_rows FROM (
+SELECT count(*) AS n, count(*) FILTER (event_type NOT IN ('view', 'click')) AS bad, count(*) FILTER (event_id % 2 = 1 AND ts < (SELECT max(ts) - INTERVAL 10 DAY FROM events WHERE event_id % 2 = 0)) AS late FROM events)"""
+)
+def stream_late_rows(spark, sf_dir):
+    """Two batches: of the second, the rows behind the watermark of the first are tested and counted as late."""
+    path, state, out = new_path(spark, "arrived"), new_path(spark, "state"), new_path(spark, "decisions")
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "ts")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        tests = [Test("events", "accepted_values", "event_type", ("view", "click"))]
+        streams.check_batches(stream, tests, lambda d, i: d.write.mode("overwrite").parquet(f"{out}/batch={i}"), state, late="10 days", ts="ts").awaitTermination()
+    return spark.read.parquet(out).agg(*[F.sum(c).alias(c) for c in ("evaluated_rows", "failures", "late_rows")])
+
+
 @query(f"WITH {fx.SQL_PRICED} SELECT provider, model, count(*) AS calls, round(sum(cost), 6) AS cost FROM priced WHERE cost IS NOT NULL AND provider IS NOT NULL GROUP BY ALL")
 def stream_cost(spark, sf_dir):
     log = materialise(fx.call_log(spark, sf_dir).drop("conv_id", "turn"), "calls")

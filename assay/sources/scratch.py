@@ -27,8 +27,23 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once and read it back; survives lost executors and cuts the lineage."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: survives lost executors and cuts the lineage."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._assay_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared store."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` that no later step reads."""
+    path = getattr(df, "_assay_path", None)
+    if path:
+        delete(df.sparkSession, path)

@@ -37,6 +37,11 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def partition_condition(by: PartitionFilter) -> Column:
     if by.op not in COMPARISONS:
         raise ValueError(f"operator {by.op!r} is not one of {sorted(COMPARISONS)}")

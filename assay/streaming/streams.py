@@ -57,16 +57,25 @@ def sessions(stream: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return found.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
-def check_batches(stream: DataFrame, tests: Sequence[Test], sink: Callable[[DataFrame, int], None], checkpoint: str, late_before: str | None = None, ts: str = "timestamp", tables: dict[str, DataFrame] | None = None) -> StreamingQuery:
+def check_batches(stream: DataFrame, tests: Sequence[Test], sink: Callable[[DataFrame, int], None], checkpoint: str, late: str = "1 day", ts: str = "timestamp", tables: dict[str, DataFrame] | None = None) -> StreamingQuery:
     """Run the tests on every micro-batch and hand its decisions to ``sink``.
 
-    late_before: rows with an event time before it are tested like others and counted as late_rows.
+    late: how far an event may lie behind the latest one that earlier batches saw.  Rows behind this
+    watermark are tested like others and counted as late_rows, so they are not lost silently.  The
+    latest event is kept beside the checkpoint, one row for each batch, so a restart goes on from it
+    and a batch that runs again finds the watermark that it had.
     """
+    marks = f"{checkpoint.rstrip('/')}-latest"
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = batch.persist()
-        late = rows.where(F.col(ts) < F.lit(late_before).cast("timestamp")).count() if late_before else 0
-        sink(prune(rows, tests, tables or {}).withColumns({"batch_id": F.lit(batch_id).cast("long"), "late_rows": F.lit(late).cast("long")}), batch_id)
+        kept = "batch_id long, latest timestamp"
+        seen = spark.read.schema(kept).parquet(marks).where(F.col("batch_id") < batch_id) if batch_id else spark.createDataFrame([], kept)
+        mark = seen.agg(F.max("latest") - F.expr(f"INTERVAL {late}")).first()[0]
+        facts = rows.agg(F.max(F.col(ts).cast("timestamp")), F.count_if(F.col(ts).cast("timestamp") < F.lit(mark).cast("timestamp"))).first()
+        sink(prune(rows, tests, tables or {}).withColumns({"batch_id": F.lit(batch_id).cast("long"), "late_rows": F.lit(facts[1] or 0).cast("long")}), batch_id)
+        spark.createDataFrame([(batch_id, facts[0])], kept).coalesce(1).write.mode("overwrite").parquet(f"{marks}/part={batch_id}")
         rows.unpersist()
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

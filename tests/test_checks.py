@@ -20,6 +20,12 @@ def customers(spark):
 
 
 CASES = [
+    (Test("orders", "custom_sql", sql="SELECT * FROM {{this}} WHERE status RLIKE '^[a-z]{7}$'"), 1),
+    (Test("orders", "custom_sql", sql="SELECT o.* FROM {{this}} o WHERE o.status RLIKE '^[a-z]{6}$' OR o.status = '{}{0}'"), 2),
+    (Test("orders", "custom_sql", sql="status RLIKE '^p.{5}$' OR status = '-- ; /* ('"), 2),
+    (Test("orders", "custom_sql", sql="SELECT * FROM {{this}} WHERE amount = (SELECT max(amount) FROM {{this}})"), 1),
+    (Test("orders", "custom_sql", sql="SELECT status FROM {{this}} WHERE amount > 0 GROUP BY status HAVING count(*) > 0"), 2),
+    (Test("orders", "custom_sql", sql="select * from {{this}} where true limit 1"), 1),
     (Test("orders", "not_null", "customer_id"), 1),
     (Test("orders", "not_null", "ORDER_ID"), 0),
     (Test("orders", "unique", "order_id"), 1),
@@ -42,6 +48,20 @@ BAD = [
     (Test("orders", "custom_sql", sql="SELECT * FROM {{this}} JOIN {{ref('later')}} USING (id)"), "future"),
     (Test("orders", "custom_sql", sql=" "), "error"),
     (Test("orders", "no_such_type", "status"), "error"),
+    (Test("orders", "custom_sql", sql="amount"), "error"),
+    (Test("orders", "custom_sql", sql="count(*) > 5"), "error"),
+    (Test("orders", "custom_sql", sql="row_number() OVER (ORDER BY order_id) > 5"), "error"),
+    (Test("orders", "custom_sql", sql="explode(array(true, false))"), "error"),
+    (Test("orders", "custom_sql", sql="amount > 0 -- all"), "error"),
+    (Test("orders", "custom_sql", sql="SELECT * FROM {{this}} /* all */"), "error"),
+    (Test("orders", "custom_sql", sql="SELECT * FROM {{this}};"), "error"),
+    (Test("orders", "custom_sql", sql="(amount > 0"), "error"),
+    (Test("orders", "custom_sql", sql="amount > 0) OR (true"), "error"),
+    (Test("orders", "custom_sql", sql="''"), "error"),
+    (Test("orders", "custom_sql", sql="SELECT * FROM {{this}} WHERE status = '{x}' AND {{ source('a', 'b') }}"), "error"),
+    (Test("orders", "custom_sql", sql="SELECT count(*) AS n, {{this}}"), "error"),
+    (Test("orders", "custom_sql"), "error"),
+    (Test("orders", "accepted_values", None, ("a",)), "error"),
 ]
 
 
@@ -50,7 +70,7 @@ def test_all_families_in_one_job(orders, customers):
     got = {r["position"]: r for r in checks.evaluate(orders, tests, {"customers": customers}).collect()}
     assert [got[i]["failures"] for i in range(len(CASES))] == [n for _, n in CASES]
     assert [got[i]["status"] for i in range(len(CASES), len(tests))] == [s for _, s in BAD]
-    assert got[2]["excess_rows"] == 1 and got[0]["evaluated_rows"] == 5
+    assert got[[t for t, _ in CASES].index(Test("orders", "unique", "order_id"))]["excess_rows"] == 1 and got[0]["evaluated_rows"] == 5
 
 
 def test_one_by_one_equals_fused(orders, customers):
@@ -64,6 +84,52 @@ def test_a_test_that_fails_while_running_does_not_spoil_the_rest(orders):
     assert got == {0: ("error", None), 1: ("ok", 1), 2: ("ok", 1)}
 
 
+def test_faults_are_found_by_halves(orders):
+    tests = [Test("orders", "custom_sql", sql=f"CAST(status AS int) > {i}" if i in (1, 6) else f"amount > {i}") for i in range(8)] + [Test("orders", "unique", "order_id"), Test("orders", "custom_sql", sql="SELECT CAST(status AS int) FROM {{this}} ORDER BY 1")]
+    got = {r["position"]: (r["status"], r["failures"]) for r in checks.evaluate(orders, tests, {}).collect()}
+    assert {i for i, (s, _) in got.items() if s == "error"} >= {1, 6} and len(got) == 10
+    assert got[0] == ("ok", 2) and got[5] == ("ok", 1) and got[8] == ("ok", 1)
+
+
+def test_filter_rules_share_the_scan(orders):
+    tests = [Test("orders", "custom_sql", sql=f"SELECT * FROM {{{{this}}}} WHERE amount > {i}") for i in range(4)]
+    counted = checks.plan(orders, tests, {})
+    assert len(counted.fused) == 4 and not counted.single and not counted.failed
+    assert checks.plan(orders, [Test("orders", "custom_sql", sql="SELECT * FROM {{this}} WHERE rand() < 2")], {}).single
+
+
+def test_no_test_starts_after_the_budget(orders):
+    tests = [Test("orders", "unique", "order_id"), Test("orders", "not_null", "amount"), Test("orders", "unique", "amount")]
+    ticks = iter([0.0, 1.0, 5.0, 6.0])
+    got = {r["position"]: (r["status"], r["failures"], r["why"]) for r in checks.evaluate(orders, tests, {}, budget=5, clock=lambda: next(ticks)).collect()}
+    assert got[1] == ("ok", 1, None)
+    assert got[0] == got[2] == ("error", None, "the budget of 5 s was used up")
+    done = verdict.prune(orders, tests, {}, budget=0)
+    assert {(r["reason"], r["why"]) for r in done.collect()} == {("kept-without-evidence", "not evaluated: the budget of 0 s was used up")}
+
+
+def test_ambiguous_references_can_not_be_judged(orders, customers):
+    rule = Test("orders", "custom_sql", sql="SELECT o.* FROM {{this}} o JOIN {{ref('customers')}} c ON o.customer_id = c.id")
+    found = lambda tables: checks.evaluate(orders, [rule], tables).first()
+    assert found({"a.customers": customers})["failures"] == 4
+    assert found({"a.customers": customers, "b.customers": customers})["status"] == "error"
+    assert found({})["status"] == "future"
+
+
+def test_a_table_that_fails_does_not_stop_the_others(spark, orders):
+    class Broken:
+        sparkSession, columns = spark, ()
+
+        def __getattr__(self, name):
+            raise RuntimeError("gone")
+
+    tests = {"broken": [Test("broken", "not_null", "a")], "orders": [Test("orders", "not_null", "status")]}
+    got = verdict.prune_many(tests, {"orders": orders, "broken": Broken()})
+    assert {(r["table_name"], r["reason"]) for r in got.collect()} == {("broken", "kept-without-evidence"), ("orders", "kept")}
+    status = {r["table_name"]: (r["status"], r["tests"]) for r in verdict.table_status(got).collect()}
+    assert status == {"broken": ("error", 1), "orders": ("ok", 1), None: ("error", 2)}
+
+
 def test_verdicts(orders, customers):
     tests = [Test("orders", "not_null", "customer_id"), Test("orders", "not_null", "order_id"), Test("orders", "not_null", "nothing"), Test("orders", "relationships", "customer_id", to="later", field="id")]
     reason = lambda **o: [r["reason"] for r in verdict.prune(orders, tests, {"customers": customers}, **o).orderBy("position").collect()]
@@ -135,3 +201,18 @@ def test_partition_filters(spark):
         scan_partition(df, PartitionFilter("d", "LIKE", "5"))
     with pytest.raises(TypeError):
         scan_partition(df, PartitionFilter("d", "=", 5))
+
+
+def test_filtered_samples_count_the_rows_they_draw_from(spark):
+    df = spark.range(30_000).withColumn("d", F.when(F.col("id") < 20_000, "x").otherwise("y"))
+    drawn = sampling.one_shot_sample(df, 5000, PartitionFilter("d", "=", "x"))
+    assert 4500 < drawn.count() <= 5000 and drawn.where("d <> 'x'").count() == 0
+    assert sampling.one_shot_sample(df, 50_000, PartitionFilter("d", "=", "x")).count() == 20_000
+    assert sampling.one_shot_sample(df, 5, PartitionFilter("d", "=", "z")).count() == 0
+
+
+def test_a_kept_sample_is_drawn_once(spark):
+    df = spark.range(1000)
+    first = sampling.kept_sample(df, "t", 50, version="a").collect()
+    assert sampling.kept_sample(df.where("false"), "t", 50, version="a").collect() == first and len(first) <= 50
+    assert sampling.kept_sample(df.where("false"), "t", 50, version="b", by=PartitionFilter("id", ">=", "0")).count() == 0

@@ -146,13 +146,16 @@ def test_judgements(spark):
     said = {
         "plain": '{"criterion_id": "c", "score": 0.5, "passed": true, "reasoning": "r"}', "fenced": 'So:\n```json\n{"criterion_id": "c", "score": 1, "passed": false}\n```', "none": "no", "other": '{"criterion_id": "d", "score": 1, "passed": true}',
         "high": '{"criterion_id": "c", "score": 2, "passed": true}', "nan": '{"criterion_id": "c", "score": "NaN", "passed": true}', "text": '{"criterion_id": "c", "score": 1, "passed": "true"}', "missing": '{"criterion_id": "c", "passed": true}', "nameless": '{"score": 1, "passed": true}', "null": None,
+        "no score": '{"criterion_id": "c", "score": null, "passed": false}', "quoted": '{"criterion_id": "c", "score": "0.5", "passed": true}', "flag": '{"criterion_id": "c", "score": true, "passed": true}', "one": '{"criterion_id": "c", "score": 1, "passed": 1}',
+        "no flag": '{"criterion_id": "c", "score": 1}', "list": "[1]", "odd": '{"criterion_id": "c", "score": 1, "passed": true, "evidence": 5}',
     }
     rows = spark.createDataFrame([(k, "c", v) for k, v in said.items()], "artifact_id string, criterion_id string, response_text string")
     got = {r["artifact_id"]: r for r in grades.parse_judgements(rows).collect()}
     assert (got["plain"]["score"], got["plain"]["passed"], got["fenced"]["score"], got["fenced"]["passed"]) == (0.5, True, 1.0, False)
-    assert {k: r["violation"] for k, r in got.items() if r["violation"]} == {"none": "no-json", "other": "criterion-mismatch", "high": "score-out-of-range", "nan": "score-not-a-number", "text": "passed-not-boolean", "missing": "missing-score", "nameless": "missing-criterion", "null": "no-json"}
+    assert {k: r["violation"] for k, r in got.items() if r["violation"]} == {"none": "no-json", "other": "criterion-mismatch", "high": "score-out-of-range", "nan": "score-not-a-number", "text": "passed-not-boolean", "missing": "missing-score", "nameless": "missing-criterion", "null": "no-json", "quoted": "score-not-a-number", "flag": "score-not-a-number", "one": "passed-not-boolean", "no flag": "missing-passed", "list": "no-json", "odd": "field-not-text"}
+    assert (got["no score"]["score"], got["no score"]["passed"]) == (None, False)
     work = grades.work_list(spark.createDataFrame([("plain",), ("none",)], "artifact_id string"), spark.createDataFrame([("c", 0)], "criterion_id string, pos int"))
-    full = {r["artifact_id"]: (r["score"], r["passed"], r["reasoning"]) for r in grades.complete(work, grades.parse_judgements(rows).where("violation IS NULL").drop("violation")).collect()}
+    full = {r["artifact_id"]: (r["score"], r["passed"], r["reasoning"]) for r in grades.complete(work, grades.parse_judgements(rows).where("violation IS NULL").drop("violation", "evidence")).collect()}
     assert full == {"plain": (0.5, True, "r"), "none": (None, False, "not evaluated")}
     assert grades.invalid_scores(spark.createDataFrame([(None,), (0.5,), (1.5,), (float("nan"),)], "score double")).count() == 2
 
@@ -160,3 +163,44 @@ def test_judgements(spark):
 def test_text_functions(spark):
     row = spark.range(1).select(truncate(F.lit("abcdef"), 4).alias("a"), truncate(F.lit("abcd"), 4).alias("b"), first_sentence(F.lit("One v1.2 here. Two.")).alias("c"), first_sentence(F.lit("no stop")).alias("d")).first()
     assert tuple(row) == ("abc…", "abcd", "One v1.2 here.", "no stop")
+
+
+def test_patterns_are_extended_or_replaced(caplog):
+    assert redact.redact_patterns() == redact.PATTERNS
+    assert redact.redact_patterns(extend=["*_dob"]) == (*redact.PATTERNS, "*_dob")
+    assert redact.redact_patterns(replace=["x*"]) == ("x*",)
+    assert redact.redact_patterns(replace=[]) == () and "no patterns" in caplog.text
+    for bad in ({"extend": ["a"], "replace": ["b"]}, {"extend": ["*"]}, {"replace": [" "]}):
+        with pytest.raises(ValueError):
+            redact.redact_patterns(**bad)
+
+
+def test_kept_tests_show_evidence_where_they_have_no_rationale(spark):
+    decisions = spark.createDataFrame([("t", a, "kept", "kept", r, "why") for a, r in (("a", " "), ("b", "Because."), ("c", None))], "table_name string, artifact_id string, decision string, reason string, rationale string, why string")
+    scores = spark.createDataFrame([("t", a, "c", p, 1.0, True, "r", e) for a, p, e in (("a", 0, " "), ("a", 1, "Seen " + "x" * 100), ("b", 0, "Seen."), ("c", 0, None))], "table_name string, artifact_id string, criterion_id string, pos int, score double, passed boolean, reasoning string, evidence string")
+    got = {r["artifact_id"]: r["tier_why"] for r in report.tiers(decisions, scores).collect()}
+    assert got == {"a": "Seen " + "x" * 74 + "…", "b": "Because.", "c": "why"}
+    with pytest.raises(ValueError):
+        report.tiers(decisions.limit(0), scores)
+
+
+def test_wide_profiles_warn(spark, caplog):
+    wide = spark.range(3).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(501)])
+    assert profile.column_stats(wide, approximate=True).count() == 501 and "consider splitting" in caplog.text
+
+
+def test_numbers_of_repeats_go_through_ranges(spark, monkeypatch):
+    monkeypatch.setattr(identity, "RANGE", 4)
+    rows = [(i, "t", "model", "custom_sql", None, None, None, None, "n > 1" if i % 3 else "n > 2") for i in range(30)]
+    got = {r["position"]: r["artifact_id"] for r in identity.with_artifact_ids(spark.createDataFrame(rows, TESTS)).collect()}
+    hashed = {got[i].split(":")[0] for i in range(30)}
+    assert len(hashed) == 2 and sorted(int((got[i].split(":") + ["0"])[1]) for i in range(0, 30, 3)) == list(range(10))
+    assert [int((got[i].split(":") + ["0"])[1]) for i in range(30) if i % 3] == list(range(20))
+
+
+def test_fingerprints_are_of_small_sets(spark, monkeypatch):
+    a = identity.fingerprint(spark.range(5)).first()[0]
+    assert a == identity.fingerprint(spark.range(5).orderBy(F.desc("id"))).first()[0] != identity.fingerprint(spark.range(6)).first()[0]
+    monkeypatch.setattr(identity, "FINGERPRINT_ROWS", 4)
+    with pytest.raises(ValueError):
+        identity.fingerprint(spark.range(5))
