@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import new_path
+from ..sources.scratch import materialise
 
 PIECE = 1 << 19
 #: Texts that one Arrow batch hands to numpy at most; the rest of the batch follows.
@@ -35,16 +35,6 @@ _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: this cuts the lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._assay_path = path
-    return out
-
-
 def measured(df: DataFrame, tag: str, *extra: Column) -> tuple[DataFrame, Row]:
     """``materialise``, with the row count ``n`` and further aggregates taken while the rows are written."""
     seen = Observation()
@@ -52,15 +42,6 @@ def measured(df: DataFrame, tag: str, *extra: Column) -> tuple[DataFrame, Row]:
     return out, Row(**seen.get)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialise`` that no later step reads."""
-    path = getattr(df, "_assay_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,6 +52,23 @@ def others(columns: Iterable[str], *names: str) -> list[str]:
     return [c for c in columns if c.lower() not in taken]
 
 
+#: Rows from which a key is joined apart, and the most keys that can have more rows than that.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: list[str], n: int) -> DataFrame:
+    """Inner join of n rows with the facts of their keys, without one task for all rows of a key.
+
+    facts: one row per key, with ``m``, the number of rows that have it.  At most n / t keys have t
+    rows or more, so with t = n / HOT_KEYS at least the facts of these keys are few enough to be
+    broadcast, and their rows stay where they are; all other keys meet in a shuffle.
+    """
+    t = max(HOT_ROWS, n // HOT_KEYS)
+    hot = F.broadcast(facts.where(F.col("m") >= t))
+    cold = rows.join(F.broadcast(facts.where(F.col("m") >= t).select(*key)), key, "left_anti").join(facts.where(F.col("m") < t), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3, on a uint64 array."""
     x = x ^ (x >> np.uint64(33))

@@ -9,32 +9,41 @@ Steps, all distributed:
 3. Banding: representatives that share a band key meet in a bucket.  A bucket of m members gives
    2 (m - 1) pairs, each member with the smallest and the largest id, never all pairs.
 4. Pairs are checked against the signatures (a loose bound, about five standard errors), then
-   confirmed on the full shingle sets.
-5. Components of the confirmed links by alternating large-star and small-star.
-6. Buckets whose members still lie in several components are dealt into blocks; every two blocks
-   of a bucket meet in a bounded group, which compares the full sets by matrix products and
-   returns links between components only.  So no link that the banding found is lost, and no row
-   is made per pair of members.
+   confirmed on the full shingle sets.  A hub's signature or set goes to each of its groups of
+   partners once and not to each partner, and a hub's partners are dealt to many groups.
+5. Components of the confirmed links by alternating large-star and small-star, until they settle.
+6. Buckets whose members still lie in several components: those with the same members are compared
+   once, whatever the number of bands that made them.  The members of a bucket's largest component
+   need no comparison with each other; all others meet them, and each other, in bounded groups
+   of blocks, which compare full sets by matrix products and return links between components only.
+   So no link that the banding found is lost, and no row is made per pair of members.
+
+Keys that many rows share (band keys, hubs of links, classes of copies) are joined apart: there are
+few of them by counting, so their facts are broadcast and their rows stay where they are
+(``common.join_by_key``).
 
 With 24 bands of 4 minima a pair of similarity 0.85 meets with probability 1 - 2e-8, one of 0.8
 with 1 - 3e-6.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing, not
-even with other empty texts; fewer than five words are one shingle; rows that repeat an id are one
-vertex; rows without an id are grouped by equal sets only and take their class's id (null if no
-member has one).  ``kept`` compares null-safely, so a null id without a named copy stays.
+even with other empty texts; fewer than five words are one shingle; very long texts count whole; a
+tie in size goes to the smaller id; rows that repeat an id are one vertex; rows without an id are
+grouped by equal sets only and take their class's id (null if no member has one).  ``kept`` compares
+null-safely, so a null id without a named copy stays.  An empty table gives no rows.  Only doc_id
+and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, discard, hash_words, materialise, measured, mix, ngram_hashes, table
+from ..sources.scratch import discard, materialise
+from .common import buffers, hash_words, join_by_key, measured, mix, ngram_hashes, table
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -43,6 +52,8 @@ THRESHOLD = 85
 BLOCK_DOCS, BLOCK_SHINGLES = 384, 1_000_000
 #: Ids that may be broadcast to pick candidate texts (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Groups that the partners of one hub are dealt to.
+HUB_GROUPS = 1024
 
 _rng = np.random.Generator(np.random.PCG64(421))
 _A = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,48 +109,78 @@ def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>")
 
 
+_PAIR = "hub long, doc long"
+
+
+def _fitting(group: tuple | None, hubs: list[tuple], docs: list[tuple], fits: Callable[[tuple, list[tuple]], list[bool]]) -> list[tuple[int, int]]:
+    """(hub, doc) of the docs that fit any row of the hub."""
+    by_hub = [fits(h, docs) for h in hubs] if docs else []
+    return [(group[0], d[0]) for d, ok in zip(docs, map(any, zip(*by_hub, strict=True)), strict=True) if ok] if by_hub else []
+
+
+def _meet(pairs: DataFrame, facts: DataFrame, fits: Callable[[tuple, list[tuple]], list[bool]]) -> DataFrame:
+    """The pairs (hub, doc) that fit, by what ``facts`` (doc_id, n, body) knows of both.
+
+    A hub's partners are dealt to groups by hash.  Rows of a group are sorted, the hub's first, and
+    streamed, so a group may have any number of partners.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(HUB_GROUPS)).cast("int"))
+    hubs = salted.select("hub", "salt").distinct().withColumn("doc", F.lit(None).cast("long"))
+    both = hubs.join(facts.withColumnRenamed("doc_id", "hub"), "hub").select("hub", "salt", "doc", "n", "body")
+    both = both.unionByName(salted.join(facts.withColumnRenamed("doc_id", "doc"), "doc").select("hub", "salt", "doc", "n", "body"))
+    dealt = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("doc").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, hubs = None, []  # the group at hand, and what is known of its hub: one row, more if rows repeat its id
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                found: list[tuple[int, int]] = []
+                held: list[tuple] = []
+                for hub, salt, doc, n, body in zip(*(batch.column(i).slice(k, 256).to_pylist() for i in range(5)), strict=True):
+                    if (hub, salt) != group:
+                        found += _fitting(group, hubs, held, fits)
+                        group, hubs, held = (hub, salt), [], []
+                    if doc is None:
+                        hubs.append((n, body))
+                    else:
+                        held.append((doc, n, body))
+                found += _fitting(group, hubs, held, fits)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["hub", "doc"])
+
+    return dealt.mapInArrow(run, _PAIR)
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, threshold: int, hashes: int) -> DataFrame:
-    """Pairs (x, y) whose sizes allow the similarity and whose signatures agree about enough."""
+    """Pairs whose sizes allow the similarity and whose signatures agree about enough."""
     share = threshold / 100
     least = share - 5 * (share * (1 - share) / hashes) ** 0.5
-    side = lambda v: reps.select(F.col("doc_id").alias(v), F.col("n_shingles").alias(f"n_{v}"), F.col("sig").alias(f"sig_{v}"))
-    joined = pairs.join(side("x"), "x").join(side("y"), "y").where(f"100 * least(n_x, n_y) >= {threshold} * greatest(n_x, n_y)")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, hashes) for i in (2, 3))
-            ok = pa.array((x == y).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["x", "y"])
+    def fits(hub: tuple, docs: list[tuple]) -> list[bool]:
+        own = np.frombuffer(hub[1], np.uint16)
+        same = (np.frombuffer(b"".join(d[2] for d in docs), np.uint16).reshape(-1, hashes) == own).mean(axis=1)
+        return [100 * min(hub[0], d[1]) >= threshold * max(hub[0], d[1]) and a >= least for d, a in zip(docs, same.tolist(), strict=True)]
 
-    return joined.select("x", "y", "sig_x", "sig_y").mapInArrow(run, "x long, y long")
+    return _meet(pairs, reps.select("doc_id", F.col("n_shingles").alias("n"), F.col("sig").alias("body")), fits)
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, width: int, scratch: list[DataFrame]) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    wanted, size = measured(ids, "near-ids")
-    side = F.broadcast(wanted) if size.n <= BROADCAST_IDS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
-    texts = materialise(texts.dropDuplicates(), "near-texts")
-    scratch += [wanted, texts]
-    x, y = texts.toDF("x", "text_x"), texts.toDF("y", "text_y")
+    ids = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("doc")).distinct()
+    sets = materialise(_sets(docs, ids, width, scratch), "near-sets")
+    scratch.append(sets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            left = (s for _, d, o in buffers(batch.column(2)) for s in shingle_sets(d, o, width))
-            right = (s for _, d, o in buffers(batch.column(3)) for s in shingle_sets(d, o, width))
-            for a, b in zip(left, right, strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= threshold * (len(a) + len(b) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["x", "y"])
+    def fits(hub: tuple, found: list[tuple]) -> list[bool]:
+        own, out = np.frombuffer(hub[1], np.uint64), []
+        for _, n, body in found:
+            both = len(np.intersect1d(own, np.frombuffer(body, np.uint64), assume_unique=True))
+            out.append(100 * both >= threshold * (hub[0] + n - both))
+        return out
 
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
+    return _meet(pairs, sets, fits)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int, scratch: list[DataFrame]) -> DataFrame:
-    """(doc_id, set) of the texts of some ids, the set as sorted 64-bit shingle hashes."""
+    """(doc_id, n, body) of the texts of some ids: the size of the set, and its sorted 64-bit shingle hashes."""
     wanted, size = measured(ids, "near-ids")
     side = F.broadcast(wanted) if size.n <= BROADCAST_IDS else wanted
     scratch.append(wanted)
@@ -147,10 +188,11 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, scratch: list[DataFrame])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in buffers(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(data, offsets, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], ["doc_id", "set"])
+                sets = shingle_sets(data, offsets, width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "body"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, body binary")
+    return made.dropDuplicates()  # rows that repeat an id
 
 
 def linked(sets: list[np.ndarray], owner: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -193,84 +235,104 @@ def linked(sets: list[np.ndarray], owner: np.ndarray, threshold: int) -> list[tu
 def _across(left: DataFrame, docs: DataFrame, threshold: int, width: int, scratch: list[DataFrame]) -> DataFrame:
     """Links between components that share buckets, from full sets; (x, y) are component ids.
 
-    left: (key, doc_id, c, blocks).  A bucket's members are dealt to so many blocks by hash, and
-    every two blocks meet in one bounded group (at most about twice BLOCK_DOCS members); no pair
-    of members becomes a row.
+    left: (key, doc_id, c, main, mains, others): ``main`` marks members of the bucket's largest
+    component, which are dealt to ``mains`` blocks by hash, and the others to ``others``.  Every
+    block of others meets each block of the main ones, and each of its own kind, in a bounded group
+    (at most about twice BLOCK_DOCS members); no pair of members becomes a row.
     """
-    sets = _sets(docs, left.select("doc_id").distinct(), width, scratch)
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))))
-    dealt = left.withColumn("block", block).select("key", "doc_id", "c", "block", other.alias("other"))
-    dealt = dealt.select("key", "doc_id", "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sets = _sets(docs, left.select("doc_id").distinct(), width, scratch).select("doc_id", F.col("body").alias("set"))
+    n = F.col("others")
+    block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("main"), F.col("mains")).otherwise(n)).cast("int")
+    spread = lambda x, m: F.transform(F.sequence(F.lit(0), m - 1), x)
+    group = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+    own = F.col("block")
+    with_others = spread(lambda j: group(own, j, 0), n)
+    with_main = spread(lambda i: group(i, own, 0), F.col("mains"))
+    with_own_kind = F.when(n > 1, spread(lambda j: group(F.least(own, j), F.greatest(own, j), 1), n))  # one block has met itself beside the main ones
+    to = F.when(F.col("main"), with_others).otherwise(F.flatten(F.array_compact(F.array(with_main, with_own_kind))))
+    dealt = left.withColumn("block", block).select("key", "doc_id", "c", F.explode(to).alias("g")).select("key", "doc_id", "c", "g.*")
 
     def run(group: pa.Table) -> pa.Table:
         some = [np.frombuffer(b, np.uint64) for b in group.column("set").to_pylist()]
         found = linked(some, group.column("c").to_numpy(), threshold)
         return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "y": pa.array([f[1] for f in found], pa.int64())})
 
-    return dealt.join(sets, "doc_id").select("key", "i", "j", "c", "set").groupBy("key", "i", "j").applyInArrow(run, "x long, y long").distinct()
+    return dealt.join(sets, "doc_id").select("key", "i", "j", "kind", "c", "set").groupBy("key", "i", "j", "kind").applyInArrow(run, "x long, y long").distinct()
+
+
+def _open_buckets(buckets: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """(key, doc_id, c, main, mains, others) of the buckets whose members lie in several components, one of each list of members."""
+    named = buckets.where("m > 3").select("key", "doc_id", "n_shingles", "m").join(found, "doc_id", "left")  # three members have met already
+    named = named.withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
+    blocks = lambda d, n: F.greatest(F.ceil(F.col(d) / BLOCK_DOCS), F.ceil(F.col(n) / BLOCK_SHINGLES)).cast("int")
+    of_component = named.groupBy("key", "c").agg(F.count("*").alias("d"), F.sum("n_shingles").alias("s"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"))
+    of_key = of_component.groupBy("key").agg(
+        F.max(F.struct("d", F.negative("c").alias("low"), "s")).alias("top"), F.sum("d").alias("d"), F.sum("s").alias("s"), F.count("*").alias("cs"), F.sum("h").alias("h"),
+    )
+    mixed = of_key.where("cs > 1").groupBy("h", "d", "s").agg(F.min(F.struct("key", "top")).alias("k"))
+    mixed = mixed.select("k.key", F.negative("k.top.low").alias("big"), F.col("k.top.d").alias("td"), F.col("k.top.s").alias("ts"), F.col("d").alias("m"), (F.col("d") - F.col("k.top.d")).alias("od"), (F.col("s") - F.col("k.top.s")).alias("os"))
+    mixed = mixed.select("key", "big", "m", blocks("td", "ts").alias("mains"), blocks("od", "os").alias("others"))
+    return join_by_key(named.drop("m"), mixed, ["key"], rows).select("key", "doc_id", "c", (F.col("c") == F.col("big")).alias("main"), "mains", "others")
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every end of a link, by alternating large-star and small-star.
 
     links: (x, y), any direction, repeats and loops allowed.  Each round groups neighbours by
-    vertex only to take their minimum, which combines on the map side.
+    vertex only to take their minimum and number, which combines on the map side; rounds go on
+    until nothing changes (a component of diameter d takes about log d of them).
     """
-    check = F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"), F.sum(F.col("v") % 1_000_003).alias("v")
+    check = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v")
     edges, now = measured(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc", *check)
-    for _ in range(most_rounds):
+    before = None
+    while now != before:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("m")).select("u", F.least("u", "w").alias("w"), "m")
+        large = join_by_key(both.where("v > u"), least, ["u"], 2 * now.n).select(F.col("v").alias("u"), F.col("w").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("m"))
+        small = join_by_key(large, low, ["u"], now.n).select(F.col("v").alias("u"), F.col("w").alias("v")).union(low.select("u", F.col("w").alias("v"))).where("u <> v").distinct()
         before, old = now, edges
         edges, now = measured(small, "cc", *check)
         discard(old)
-        if now == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
 
 
+_SET = ["d1", "d2", "n_shingles"]
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    seen = materialise(signatures(docs, width, bands, rows), "near-sigs")
+    seen, all_rows = measured(signatures(docs, width, bands, rows), "near-sigs")
     # members of a class have one set, so any member's signature is the class's
-    classes = seen.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "near-classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
-    keyed = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("key"))
+    classes = seen.where("n_shingles > 0").groupBy(*_SET).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("m"))
+    classes, size = measured(classes, "near-classes")
+    known = classes.where("rep is not null")
+    reps = known.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
+    keyed = known.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("m")).where("low <> high")
-    buckets = materialise(keyed.join(ends, "key"), "near-buckets")
-    pair = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    tried = buckets.select(F.explode(F.array(pair("doc_id", "low"), pair("doc_id", "high"))).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
+    ends = materialise(ends, "near-ends")
+    buckets, met = measured(join_by_key(keyed, ends, ["key"], bands * size.n).select("key", "doc_id", "n_shingles", "low", "high", "m"), "near-buckets")
+    tried = buckets.select(F.explode(F.array("low", "high")).alias("hub"), F.col("doc_id").alias("doc")).where("hub <> doc").distinct()
     likely = materialise(_likely(tried, reps, threshold, bands * rows), "near-likely")
-    scratch = [buckets, likely]
+    scratch = [ends, buckets, likely]
     links = materialise(_confirm(likely, docs, threshold, width, scratch), "near-links")
-    found = components(links)
-
-    # buckets whose members still lie in several components; up to three members have met already
-    named = buckets.where("m > 3").select("key", "doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), blocks.alias("blocks")).where("low <> high").select("key", "blocks")
-    left, some = measured(named.join(mixed, "key").select("key", "doc_id", "c", "blocks"), "near-open")
-    scratch += [links, left]
+    found = materialise(components(links.toDF("x", "y")), "near-found")
+    left, some = measured(_open_buckets(buckets, found, met.n), "near-open")
+    scratch += [links, found, left]
     if some.n:
         more, some = measured(_across(left, docs, threshold, width, scratch), "near-more")
         scratch.append(more)
         if some.n:
             merged = components(more).toDF("c", "root")
-            found = classes.select(F.col("rep").alias("doc_id")).distinct().join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
-            found = found.join(merged, "c", "left").select("doc_id", F.coalesce("root", "c").alias("component_id"))
+            found = known.select(F.col("rep").alias("doc_id")).distinct().join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
+            found = materialise(found.join(merged, "c", "left").select("doc_id", F.coalesce("root", "c").alias("component_id")), "near-merged")
     for old in scratch:
-        discard(old)
-    found = found.withColumnRenamed("doc_id", "rep")
-    named = classes.join(found, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = seen.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        if old is not found:
+            discard(old)
+    named = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*_SET, F.coalesce("component_id", "rep").alias("component_id"), "m")
+    out = seen.select("doc_id", *_SET)
+    out = join_by_key(out.where("n_shingles > 0"), named, _SET, all_rows.n).select("doc_id", "n_shingles", "component_id")
+    out = out.union(seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
