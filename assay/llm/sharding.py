@@ -1,33 +1,42 @@
 """Sharding by histogram sort: shards of near-equal bytes, equal texts together.
 
 Rows are ordered by a 63-bit key: 40 bits of the text's hash, then 23 bits of the row's hash.
-Equal texts are neighbours, and a group of copies that is larger than a shard can still be cut.
-The splitters between shards are found by counting, never by sampling: each round broadcasts
-probes (candidate keys), every task counts the exact bytes and rows between them, and the probes
-of the next round are spread over the intervals that still hold a splitter.  A splitter is settled
-once it is within ``tolerance`` of its target; the edge of a group of copies is preferred while it
-is within ``group_tolerance``, so that copies stay in one shard where the balance allows it.  With
-all splitters settled the rows are exchanged once.
-
-Law: ``bytes`` - each shard's size is its share of all bytes, up to the tolerance or one row.
+Equal texts (groups) are neighbours.  The splitters between shards are found by counting, never by
+sampling: each round broadcasts probes (candidate keys), every task counts the exact bytes and rows
+between them, and the probes of the next round are spread over the intervals that still hold a
+splitter, until all are settled.  Then the rows are exchanged once.
+
+A splitter falls between groups.  A group of up to a shard's bytes is never cut: where it lies
+across a splitter, and neither of its ends is within ``group_tolerance`` of the target, it is taken
+out of the order and given to the shard with most room; the other rows of that shard get less room,
+and all targets move accordingly.  This goes on until no splitter hurts; at most ``FLOATS`` groups a
+shard are moved so (a few numbers each, on the driver), after that the nearer end of the group is
+the splitter.  Only a group larger than a shard is cut, within ``tolerance`` of the target.
+
+Law: ``bytes`` - each shard has its share of all bytes, up to twice ``group_tolerance``, or to the
+largest text where single texts are larger than that.
 Shards are built from ``fine`` slices each, so that a shard larger than a task's memory is sorted
 by several tasks; slots are numbered through the slices with one row count per slice.
 
-Defined cases: a null text is the empty text (16 bytes); an empty table gives no rows; fewer rows
-than shards leave shards empty; rows with equal ids and texts are interchangeable and follow each
-other in any order; null ids are ids like others.
+Defined cases: a null text is the empty text (16 bytes); very long texts are one row like any other,
+and may make a shard larger than its share; an empty table gives no rows; fewer rows than shards
+leave shards empty; rows with equal ids and texts are interchangeable and follow each other in any
+order (ties of the key go by doc_id); null ids are ids like others; only doc_id and text are read,
+so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from ..sources.scratch import discard, materialise
+from .common import table
 
 SHARDS = 40
 OVERHEAD = 16
@@ -36,6 +45,8 @@ ROW_BITS = 23
 GROUP = 1 << ROW_BITS
 TOP = 1 << 63
 FIRST_PROBES, NEXT_PROBES = 8192, 32
+#: Groups of equal texts that may be moved, for each shard.
+FLOATS = 16
 #: Bytes that one slice of a shard should hold, and the most slices of a shard.
 SLICE_BYTES, MOST_SLICES = 256 << 20, 512
 
@@ -48,33 +59,59 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.shiftleft(group, ROW_BITS).bitwiseOR(row).alias("key"))
 
 
-def count_below(keys: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exact bytes and rows with a key below each probe."""
-    sent = keys.sparkSession.sparkContext.broadcast(probes)
+class Counts(NamedTuple):
+    """What lies below each probe, and the first and last key of each interval between probes (one more)."""
+
+    size: np.ndarray
+    rows: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def count_below(keys: DataFrame, probes: np.ndarray, moved: np.ndarray) -> Counts:
+    """Exact bytes and rows with a key below each probe, without the groups that are moved."""
+    sent = keys.sparkSession.sparkContext.broadcast((probes, moved))
+    most = len(probes) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = sent.value
-        size, rows = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
+        edges, out = sent.value
+        size, rows = np.zeros(most, np.int64), np.zeros(most, np.int64)
+        first, last = np.full(most, TOP - 1), np.full(most, -1)
         for batch in batches:
-            at = np.searchsorted(edges, batch.column(0).to_numpy(), "right")
-            rows += np.bincount(at, minlength=len(rows))
-            size += np.bincount(at, batch.column(1).to_numpy(), len(size)).astype(np.int64)
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if len(out):
+                stays = ~np.isin(key >> ROW_BITS, out)
+                key, n = key[stays], n[stays]
+            at = np.searchsorted(edges, key, "right")
+            rows += np.bincount(at, minlength=most)
+            size += np.bincount(at, n, most).astype(np.int64)
+            np.minimum.at(first, at, key)
+            np.maximum.at(last, at, key)
         some = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(size[some]), pa.array(rows[some])], ["at", "size", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, size[some], rows[some], first[some], last[some])], ["at", "size", "n", "first", "last"])
+
+    size, rows = np.zeros(most, np.int64), np.zeros(most, np.int64)
+    first, last = np.full(most, TOP - 1), np.full(most, -1)
+    found = keys.select("key", "size").mapInArrow(run, "at long, size long, n long, first long, last long").groupBy("at").agg(F.sum("size"), F.sum("n"), F.min("first"), F.max("last"))
+    for at, *facts in found.collect():  # at most a row for each probe
+        size[at], rows[at], first[at], last[at] = facts
+    return Counts(np.cumsum(size)[:-1], np.cumsum(rows)[:-1], first, last)
+
+
+class Group(NamedTuple):
+    """A group of equal texts that lies across a splitter."""
 
-    size, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
-    found = keys.select("key", "size").mapInArrow(run, "at long, size long, n long").groupBy("at").agg(F.sum("size"), F.sum("n"))
-    for at, s, n in found.collect():  # at most a row for each probe
-        size[at], rows[at] = s, n
-    return np.cumsum(size)[:-1], np.cumsum(rows)[:-1]
+    number: int
+    size: int
+    rows: int
 
 
 class _Search:
     """The interval that holds one splitter: keys, bytes and rows below either end."""
 
-    def __init__(self, target: float, total: int, rows: int):
-        self.target = target
-        self.low, self.high = (0, 0, 0), (TOP - 1, total, rows)
+    def __init__(self, target: float, total: int, rows: int, whole: float):
+        self.target, self.whole = target, whole
+        self.low, self.high = (0, 0, 0), (TOP, total, rows)
 
     def narrow(self, key: int, size: int, rows: int) -> None:
         if size <= self.target and key > self.low[0]:
@@ -82,69 +119,114 @@ class _Search:
         if size >= self.target and key < self.high[0]:
             self.high = (key, size, rows)
 
-    def settled(self, tolerance: float, group_tolerance: float) -> int | None:
-        """The splitter, if either end will do: rows with a key below it come before."""
-        by_gap = sorted((abs(e[1] - self.target), e[0]) for e in (self.low, self.high))
-        for gap, key in by_gap:
-            if gap <= (group_tolerance if key % GROUP == 0 else 0):
-                return key
-        one_group = self.low[0] // GROUP == (self.high[0] - 1) // GROUP
-        last = self.high[2] - self.low[2] <= 1 or self.high[0] - self.low[0] <= 1
-        return by_gap[0][1] if last or one_group and by_gap[0][0] <= tolerance else None
-
-    def probes(self, n: int) -> np.ndarray:
+    def across(self) -> Group | None:
+        """The group between the ends, if it is one that must not be cut."""
+        number = self.low[0] // GROUP
+        size, rows = self.high[1] - self.low[1], self.high[2] - self.low[2]
+        if self.low[0] % GROUP == 0 and self.high[0] == self.low[0] + GROUP and (size <= self.whole or rows == 1):
+            return Group(number, size, rows)
+        return None
+
+    def gap(self) -> tuple[float, int]:
+        """How far the nearer end is from the target, and its key: rows with a key below it come before."""
+        return min((abs(e[1] - self.target), e[0]) for e in (self.low, self.high))
+
+    def settled(self, tolerance: float) -> bool:
+        """Whether the nearer end will do as the splitter."""
+        gap, key = self.gap()
+        inside = self.high[0] - self.low[0] <= GROUP
+        last = self.high[0] - self.low[0] <= 1 or self.high[2] - self.low[2] <= 1 and inside
+        return gap == 0 or last or self.across() is not None or (gap <= tolerance and (inside or key % GROUP == 0))
+
+    def probes(self, n: int) -> set[int]:
         low, high = self.low[0], self.high[0]
         unit = GROUP if high - low > GROUP else 1
-        steps = {low + (high - low) * i // (n + 1) // unit * unit for i in range(1, n + 1)}
-        return np.array(sorted(s for s in steps if low < s < high) or [low + (high - low) // 2], np.int64)
+        steps = {low + (high - low) * i // (n + 1) // unit * unit for i in range(1, n + 1)} | {low + unit}
+        return {s for s in steps if low < s < high}
 
 
-def splitters(keys: DataFrame, parts: int, tolerance: float, group_tolerance: float) -> tuple[list[int], int]:
-    """parts - 1 keys that cut the rows into near-equal bytes, and the bytes of all rows."""
-    total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    if not rows or parts == 1:
-        return [TOP - 1] * (parts - 1), total
-    share = total / parts
-    every = [_Search(share * i, total, rows) for i in range(1, parts)]
+def search(keys: DataFrame, targets: list[float], wholes: list[float], total: int, rows: int, tolerance: float, moved: np.ndarray) -> list[_Search]:
+    """A settled search for each target: rising numbers of bytes below a splitter.  wholes: the largest group that stays whole there."""
+    every = [_Search(t, total, rows, w) for t, w in zip(targets, wholes, strict=True)]
     probes = np.unique((np.arange(1, FIRST_PROBES, dtype=np.int64) * (TOP // FIRST_PROBES)) // GROUP * GROUP)
     while True:
-        size, n = count_below(keys, probes)
+        size, n, first, last = count_below(keys, probes, moved)
         for s in every:
-            at = int(np.searchsorted(size, s.target, "right"))
-            for k in (at - 1, at):
+            at = int(np.searchsorted(size, s.target, "left"))
+            for k in {at - 1, at, int(np.searchsorted(size, s.target, "right")) - 1}:
                 if 0 <= k < len(probes):
                     s.narrow(int(probes[k]), int(size[k]), int(n[k]))
-            first = int(np.searchsorted(size, s.target, "left"))  # the lowest probe with so many bytes below
-            if first < len(probes):
-                s.narrow(int(probes[first]), int(size[first]), int(n[first]))
-        pending = [s for s in every if s.settled(tolerance * share, group_tolerance * share) is None]
+            if last[at] >= 0:  # nothing lies between the probes and the outer groups of their interval
+                s.narrow(max(int(first[at]) // GROUP * GROUP, int(probes[at - 1]) if at else 0), *((int(size[at - 1]), int(n[at - 1])) if at else (0, 0)))
+                s.narrow(min((int(last[at]) // GROUP + 1) * GROUP, int(probes[at]) if at < len(probes) else TOP), *((int(size[at]), int(n[at])) if at < len(probes) else (total, rows)))
+        pending = [s for s in every if not s.settled(tolerance)]
         if not pending:
-            break
-        probes = np.unique(np.concatenate([s.probes(NEXT_PROBES) for s in pending]))
-    found = [s.settled(tolerance * share, group_tolerance * share) for s in every]
-    return list(np.maximum.accumulate(found)), total
+            return every
+        probes = np.array(sorted(set().union(*(s.probes(NEXT_PROBES) for s in pending))), np.int64)
+
+
+class Cuts(NamedTuple):
+    edges: list[int]  # rows with a key below edges[i] come before slice i + 1
+    moved: dict[int, tuple[int, int]]  # groups out of the order: number to (shard, rows)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.002, group_tolerance: float = 0.02) -> DataFrame:
+def cuts(keys: DataFrame, shards: int, fine: int, tolerance: float, group_tolerance: float) -> Cuts:
+    """Splitters of shards * fine slices, and the groups that are moved."""
+    total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    if not rows or shards * fine == 1:
+        return Cuts([TOP - 1] * (shards * fine - 1), {})
+    share = total / shards
+    room = [share] * shards
+    moved: dict[int, tuple[int, int]] = {}
+    while True:
+        ends = np.r_[0, np.cumsum(room)]
+        targets = [ends[i // fine] + room[i // fine] * (i % fine) / fine for i in range(1, shards * fine)]
+        wholes = [share if i % fine == 0 else share / fine for i in range(1, shards * fine)]
+        found = search(keys, targets, wholes, total, rows, tolerance * share, np.array(sorted(moved), np.int64))
+        hurt = {g for s in found[fine - 1 :: fine] if s.gap()[0] > group_tolerance * share and (g := s.across())}
+        before = len(moved)
+        for g in sorted(hurt, key=lambda g: (-g.size, g.number)):
+            to = max(range(shards), key=lambda s: (room[s], -s))
+            if len(moved) < FLOATS * shards and room[to] >= g.size:
+                moved[g.number] = (to, g.rows)
+                room[to] -= g.size
+                total, rows = total - g.size, rows - g.rows
+        if len(moved) == before:
+            return Cuts([int(e) for e in np.maximum.accumulate([min(s.gap()[1], TOP - 1) for s in found])], moved)
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.002, group_tolerance: float = 0.01) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
     rows = sized(docs)
     keys = materialise(rows.select("key", "size"), "shard-keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     fine = int(min(MOST_SLICES, max(1, -(-total // (shards * SLICE_BYTES)))))
-    cuts, _ = splitters(keys, shards * fine, tolerance, group_tolerance)
-    edges = np.array([int(c) for c in cuts], np.int64)
-    _, below = count_below(keys, np.unique(edges)) if len(edges) else (None, np.empty(0))
+    found = cuts(keys, shards, fine, tolerance, group_tolerance)
+    edges, numbers = np.array(found.edges, np.int64), np.array(sorted(found.moved), np.int64)
+    marks = np.unique(edges)
+    below = count_below(keys, marks, numbers).rows if len(marks) else np.empty(0, np.int64)
     discard(keys)
-    below = dict(zip(np.unique(edges).tolist(), below.tolist(), strict=True))
-    starts = [0, *(int(below[e]) for e in edges.tolist())]
-    slices = [(i, i // fine, starts[i] - starts[i // fine * fine]) for i in range(len(starts))]
+    starts = [0, *below[np.searchsorted(marks, edges)].tolist()]
+    # the groups that were moved to a shard come first, each a slice of its own, and then the shard's slices
+    ahead, moved = [0] * shards, []
+    for i, number in enumerate(numbers.tolist()):
+        shard, n = found.moved[number]
+        moved.append((len(starts) + i, shard, ahead[shard]))
+        ahead[shard] += n
+    slices = [(i, i // fine, ahead[i // fine] + starts[i] - starts[i // fine * fine]) for i in range(len(starts))] + moved
     slices = docs.sparkSession.createDataFrame(slices, "slice int, shard int, before long")
-    sent = docs.sparkSession.sparkContext.broadcast(edges)
+    sent = docs.sparkSession.sparkContext.broadcast((edges, numbers))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, numbers = sent.value
         for batch in batches:
-            at = np.searchsorted(sent.value, batch.column(3).to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*batch.schema.names, "slice"])
+            key = batch.column(3).to_numpy()
+            at = np.searchsorted(edges, key, "right")
+            if len(numbers):
+                group = key >> ROW_BITS
+                number = np.minimum(np.searchsorted(numbers, group), len(numbers) - 1)
+                at = np.where(numbers[number] == group, len(edges) + 1 + number, at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "slice"])
 
     placed = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(place, "doc_id long, size long, text_crc32 long, key long, slice int")
     placed = placed.withColumn("_n", F.expr("row_number() OVER (PARTITION BY slice ORDER BY key, doc_id)")).join(F.broadcast(slices), "slice")
