@@ -1,32 +1,35 @@
 """Licence scans by Dice coefficient over word bigrams, in DataFrame functions only.
 
 Texts and templates are normalised alike: lower case, every run of characters other than letters
-and digits is one space.  A unit of a text is a line, a block between blank lines that has several
-lines, or the whole text if it has several lines.  A and B, the sets of word bigrams of a unit and
-of a template, match if their Dice coefficient 2 |A n B| / (|A| + |B|) is at least ``least``.
-
-Pruning, without loss: |A| must lie between |B| d / (2 - d) and |B| (2 - d) / d.  A match shares at
-least d |B| / (2 - d) bigrams of the template, so it has one of any |B| - that + 1 of them; the
-longest ones serve as anchors, and only units that hold an anchor are compared.  Units are
-exploded into bigrams and met with the anchors inside the scan's stage; only candidates leave it.
-
-Result: one row per text and template with the best unit.  Defined cases: null and empty texts and
-units of one word (no bigram) match nothing; equal units in a text count once; rows with equal ids
-each count; ties go to the earlier unit; a template of one word is ignored.
+and digits is one space; so line breaks, comment marks and what stands before or behind a notice do
+not matter.  A and B, the sets of word bigrams of a window of the text and of a template, match if
+their Dice coefficient 2 |A n B| / (|A| + |B|) is at least ``least``.
+
+Pruning, without loss for a window: |A| must lie between |B| d / (2 - d) and |B| (2 - d) / d.  A match
+shares at least d |B| / (2 - d) bigrams of the template, so it has one of any |B| - that + 1 of them;
+the longest ones serve as anchors.  A text is exploded into its bigrams with their positions, which
+meet the anchors inside the scan's stage; each hit, by its place in the template, says where the
+template would begin, and the window of the template's number of words from there is compared (it
+is cut at once, so no row holds more of a text).  Words put in or left out shift the rest of a
+notice, and each of its anchors then gives a window of its own.
+
+Result: one row per text and template with the best window.  Defined cases: null and empty texts and
+texts of one word (no bigram) match nothing; very long texts are scanned whole; windows are cut at the
+ends of a text; equal rows and rows with equal or null ids each count; of equally good windows the
+first counts; a template of one word is ignored; an empty table, or no templates, give no rows; only
+doc_id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 LEAST = 0.8
-#: Template anchors that may be broadcast (60 bytes each or so); more are joined by a shuffle.
-BROADCAST_ANCHORS = 500_000
+#: Places of template bigrams that may be broadcast (60 bytes each or so, twice); more are joined by a shuffle.
+BROADCAST_BIGRAMS = 500_000
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -36,11 +39,30 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+"""
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+
+
+def _gnu(what: str, name: str, version: str) -> str:
+    """The notice of a GNU licence, as its appendix words it."""
+    return f"""{what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+{what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.
+You should have received a copy of the {name} along with {what.lower()}. If not, see <https://www.gnu.org/licenses/>."""
+
 
 #: Licence name, wording.  Short notices first, then the well-known longer texts.
 TEMPLATES = [
@@ -56,9 +78,19 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MIT", _MIT),
     ("ISC", _ISC),
-    ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", _BSD + _BSD_END),
     ("Apache-2.0", _APACHE),
-    ("GPL-3.0", _GPL),
+    ("GPL-3.0", _gnu("This program", "GNU General Public License", "3")),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END),
+    ("GPL-2.0", _gnu("This program", "GNU General Public License", "2")),
+    ("LGPL-3.0", _gnu("This library", "GNU Lesser General Public License", "3")),
+    ("LGPL-2.1", _gnu("This library", "GNU Lesser General Public License", "2.1")),
+    ("AGPL-3.0", _gnu("This program", "GNU Affero General Public License", "3")),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BOOST),
+    ("Unlicense", _UNLICENSE),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
 ]
 
 
@@ -67,9 +99,15 @@ def words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
+def pairs(w: Column) -> Column:
+    """The word bigrams in order."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def bigrams(w: Column) -> Column:
     """The distinct word bigrams."""
-    return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.array_distinct(pairs(w))
 
 
 def _once(value: Column, name: str) -> Column:
@@ -81,63 +119,63 @@ def templates(spark: SparkSession, rows: list[tuple[str, str]] = TEMPLATES) -> D
     return spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(rows)], "template_id int, license string, template string")
 
 
+_RESULT = "doc_id long, template_id int, license string, dice double, start long, found string"
+
+
 def scan(docs: DataFrame, known: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
-    """One row per text and template that matches: doc_id, template_id, license, dice, unit.
+    """One row per text and template that matches: doc_id, template_id, license, dice, start (a word's number, from 0) and found, the window's words.
 
     known: columns template_id, license, template.
     """
-    known = known.select("template_id", "license", bigrams(words(F.col("template"))).alias("b")).withColumn("nb", F.size("b")).where("nb > 0")
+    known = known.select("template_id", "license", words(F.col("template")).alias("tw")).withColumn("b", bigrams(F.col("tw"))).withColumn("nb", F.size("b")).where("nb > 0")
     shared = F.ceil(F.lit(least / (2 - least) - 1e-9) * F.col("nb")).cast("int")
     by_length = F.expr("array_sort(b, (x, y) -> case when length(x) <> length(y) then length(y) - length(x) when x < y then -1 when x > y then 1 else 0 end)")
-    anchors = known.select("template_id", "license", "b", "nb", F.explode(F.slice(by_length, F.lit(1), F.col("nb") - shared + 1)).alias("bigram"))
-    anchors = anchors.groupBy("bigram").agg(F.collect_list(F.struct("template_id", "license", "b", "nb")).alias("of"))
-    sizes = known.agg(F.min("nb"), F.max("nb"), F.sum("nb")).first()
-    if not sizes[0]:
-        return docs.sparkSession.createDataFrame([], "doc_id long, template_id int, license string, dice double, unit string")
-    low, high = math.ceil(sizes[0] * least / (2 - least) - 1e-9), math.floor(sizes[1] * (2 - least) / least + 1e-9)
-    side = F.broadcast(anchors) if sizes[2] <= BROADCAST_ANCHORS else anchors
-
-    t = F.col("text")
-    blocks = F.filter(F.split(t, r"\n[ \t\r]*\n"), lambda x: F.instr(x, "\n") > 0)
-    units = F.array_distinct(F.concat(F.split(t, "\n"), blocks, F.when(F.instr(t, "\n") > 0, F.array(t)).otherwise(F.array().cast("array<string>"))))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.select("_row", "doc_id", F.posexplode(units).alias("pos", "unit"))
-    rows = rows.select("_row", "doc_id", "pos", "unit", _once(words(F.col("unit")), "w"))
-    # a unit has no fewer distinct bigrams than distinct words but one
-    rows = rows.where((F.size("w") > low) & ((F.size("w") <= high + 1) | (F.size(F.array_distinct("w")) <= high + 1)))
-    rows = rows.select("_row", "doc_id", "pos", "unit", _once(bigrams(F.col("w")), "a")).where(F.size("a").between(low, high))
-    met = rows.select("_row", "doc_id", "pos", "unit", "a", F.explode("a").alias("bigram")).join(side, "bigram").select("_row", "doc_id", "pos", "unit", "a", F.explode("of").alias("t"))
-    dice = 2 * F.size(F.array_intersect("a", "t.b")) / (F.size("a") + F.col("t.nb"))
-    bound = (F.size("a") >= F.col("t.nb") * (least / (2 - least)) - 1e-9) & (F.size("a") <= F.col("t.nb") * ((2 - least) / least) + 1e-9)
-    good = met.where(bound).withColumn("dice", dice).where(F.col("dice") >= least)
-    best = F.max(F.struct("dice", (-F.col("pos")).alias("p"), "unit", F.col("t.license").alias("license"))).alias("m")
-    return good.groupBy("_row", "doc_id", F.col("t.template_id").alias("template_id")).agg(best).select("doc_id", "template_id", "m.license", "m.dice", "m.unit")
+    anchors = known.withColumn("chosen", F.slice(by_length, F.lit(1), F.col("nb") - shared + 1)).select("template_id", "tw", "chosen", F.posexplode(pairs(F.col("tw"))).alias("off", "bigram"))
+    anchors = anchors.where(F.array_contains("chosen", F.col("bigram"))).groupBy("bigram").agg(F.collect_list(F.struct("template_id", "off", F.size("tw").alias("n"))).alias("of"))
+    size = known.agg(F.coalesce(F.sum(F.size("tw")), F.lit(0))).first()[0]
+    if not size:
+        return docs.sparkSession.createDataFrame([], _RESULT)
+    lists = known.select("template_id", "license", "b", "nb")
+    if size <= BROADCAST_BIGRAMS:
+        anchors, lists = F.broadcast(anchors), F.broadcast(lists)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col(text)).alias("w"))
+    rows = rows.select("_row", "doc_id", "w", F.posexplode(pairs(F.col("w"))).alias("pos", "bigram"))
+    met = rows.join(anchors, "bigram").select("_row", "doc_id", "w", "pos", F.explode("of").alias("t"))
+    start = F.col("pos") - F.col("t.off")
+    window = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("t.n") + F.least(start, F.lit(0)))
+    cut = met.select("_row", "doc_id", F.col("t.template_id").alias("template_id"), F.greatest(start, F.lit(0)).cast("long").alias("start"), _once(window, "win"))
+    cut = cut.select("_row", "doc_id", "template_id", "start", "win", _once(bigrams(F.col("win")), "a")).join(lists, "template_id")
+    bound = (F.size("a") >= F.col("nb") * (least / (2 - least)) - 1e-9) & (F.size("a") <= F.col("nb") * ((2 - least) / least) + 1e-9)
+    dice = 2 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.col("nb"))
+    good = cut.where(bound).withColumn("dice", dice).where(F.col("dice") >= least)
+    best = F.max(F.struct("dice", (-F.col("start")).alias("p"), F.concat_ws(" ", "win").alias("found"), "license")).alias("m")
+    return good.groupBy("_row", "doc_id", "template_id").agg(best).select("doc_id", "template_id", "m.license", "m.dice", (-F.col("m.p")).alias("start"), "m.found")
 
 
 def op2_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every licence notice in documents, by the built-in templates."""
     found = scan(table(spark, sf_dir, "documents"), templates(spark))
-    return found.select("doc_id", "template_id", "license", F.round("dice", 6).alias("dice"), "unit")
+    return found.withColumn("dice", F.round("dice", 6))
 
 
 _VALUES = ", ".join(f"""({i}, '{n}', '{t.replace("'", "''")}')""" for i, (n, t) in enumerate(TEMPLATES))
 _SQL_WORDS = r"list_filter(string_split(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
-_SQL_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_SQL_PAIRS = "list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
 ORACLE = f"""
-WITH t AS (SELECT template_id, license, {_SQL_WORDS.format(x="template")} AS w FROM (VALUES {_VALUES}) AS v(template_id, license, template)),
-tb AS (SELECT template_id, license, {_SQL_PAIRS} AS b FROM t),
-u AS (
-  SELECT doc_id, unnest(range(len(us))) AS pos, unnest(us) AS unit FROM (
-    SELECT doc_id, list_concat(string_split(text, chr(10)),
-      list_filter(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), lambda x: contains(x, chr(10))),
-      CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END) AS us FROM documents)),
-w AS (SELECT doc_id, pos, unit, {_SQL_WORDS.format(x="unit")} AS w FROM u),
-a AS (SELECT doc_id, pos, unit, {_SQL_PAIRS} AS a FROM w WHERE len(w) > 1),
-d AS (
-  SELECT doc_id, template_id, license, pos, unit, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-  FROM a JOIN tb ON len(a) BETWEEN len(b) * {LEAST / (2 - LEAST)} - 1e-9 AND len(b) * {(2 - LEAST) / LEAST} + 1e-9)
-SELECT doc_id, template_id, license, round(dice, 6) AS dice, unit
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, template_id ORDER BY dice DESC, pos) AS k FROM d WHERE dice >= {LEAST}) WHERE k = 1
+WITH t AS (SELECT template_id, license, {_SQL_WORDS.format(x="template")} AS tw FROM (VALUES {_VALUES}) AS v(template_id, license, template)),
+tb AS (SELECT *, {_SQL_PAIRS.format(w="tw")} AS p, list_distinct({_SQL_PAIRS.format(w="tw")}) AS b FROM t),
+ranked AS (SELECT template_id, bigram, row_number() OVER (PARTITION BY template_id ORDER BY length(bigram) DESC, bigram) AS k FROM (SELECT template_id, unnest(b) AS bigram FROM tb)),
+chosen AS (SELECT template_id, bigram FROM ranked JOIN tb USING (template_id) WHERE k <= len(b) - ceil(len(b) * {LEAST / (2 - LEAST)} - 1e-9) + 1),
+anchors AS (SELECT template_id, off, bigram, n FROM (SELECT template_id, len(tw) AS n, unnest(range(len(p))) AS off, unnest(p) AS bigram FROM tb) JOIN chosen USING (template_id, bigram)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS.format(x="text")} AS w FROM documents),
+g AS (SELECT r, unnest(range(len(w) - 1)) AS pos, unnest({_SQL_PAIRS.format(w="w")}) AS bigram FROM d WHERE len(w) > 1),
+hits AS (SELECT DISTINCT r, template_id, pos - off AS s, n FROM g JOIN anchors USING (bigram)),
+wins AS (SELECT r, doc_id, template_id, greatest(s, 0) AS start, list_slice(w, greatest(s, 0) + 1, s + n) AS win FROM hits JOIN d USING (r)),
+a AS (SELECT *, list_distinct({_SQL_PAIRS.format(w="win")}) AS a FROM wins),
+m AS (SELECT r, doc_id, template_id, license, start, array_to_string(win, ' ') AS found, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM a JOIN tb USING (template_id))
+SELECT doc_id, template_id, license, round(dice, 6) AS dice, start, found
+FROM (SELECT *, row_number() OVER (PARTITION BY r, template_id ORDER BY dice DESC, start) AS k FROM m WHERE dice >= {LEAST}) WHERE k = 1
 """
 
 QUERIES = {"op2_license_dice": op2_license_dice}
