@@ -8,30 +8,35 @@ length are found by Karp-Rabin hashes over prefix sums and confirmed word by wor
 in any order in the document, so reordered passages count in full.  A document is contaminated by
 an item if its tiles cover at least ``share`` of the item's words.
 
-The item side is broadcast in blocks of at most ``block`` words (about 40 bytes a word); a larger
-benchmark takes several passes over the documents, never a larger broadcast.  The documents are
-only mapped: no shuffle, and a hot document or passage stays in its own row.
-
-Defined cases: null and empty texts have no tiles; an item of fewer than ``least`` words can not
-form a tile and contaminates nothing; repeated items each report; rows are never dropped by
-``find``; ``clean`` keeps a row with a null id unless it is itself contaminated.
+The benchmark is cut into words and seeds by the executors.  If it has at most BROADCAST_WORDS words
+(8 bytes each, counted first), it is broadcast with an index of its seeds, and the documents are
+only mapped: no shuffle, and a hot document or passage stays in its own row.  A larger benchmark is
+never broadcast: the documents' distinct seeds are joined with the items' by Spark, whose skew join
+splits hot seeds, and only the candidate pairs are tiled.
+
+Defined cases: null and empty texts have no tiles; very long texts are searched whole; an item of
+fewer than ``least`` words can not form a tile and contaminates nothing; of equally long runs the
+one that begins first in the item, then in the text, is marked first; items and documents that
+repeat each report; rows are never dropped by ``find``; ``clean`` keeps a row with a null id unless
+it is itself contaminated; an empty benchmark or table gives no matches; other columns of either
+table are not read, and stay in ``clean``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..sources.scratch import materialise
 from .common import buffers, hash_words, ngram_hashes, table
 
 LEAST, SHARE = 5, 0.5
-BLOCK_WORDS = 1_000_000
+#: Words of a benchmark that is broadcast: 8 bytes each, and about 30 for its index on an executor.
+BROADCAST_WORDS = 1_000_000
 
 #: Bytes between words: all of ASCII but letters and digits.
 PUNCTUATION = np.ones(256, bool)
@@ -56,43 +61,43 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[i
     taken = [np.zeros(len(x), bool) for x in (item, text)]
     prefix = [np.r_[np.uint64(0), np.cumsum(x * up[: len(x)])] for x in (item, text)]
 
-    def meet(length: int) -> list[tuple[int, int]]:
+    def windows(length: int) -> list[tuple[np.ndarray, np.ndarray]]:
         used = [np.r_[0, np.cumsum(x)] for x in taken]
-        (hi, si), (ht, st) = (_windows(x, length, p, down, u) for x, p, u in zip((item, text), prefix, used, strict=True))
-        order = np.argsort(hi, kind="stable")
-        at = np.searchsorted(hi[order], ht)
-        ok = np.flatnonzero(at < len(hi))
-        ok = ok[hi[order][at[ok]] == ht[ok]]
-        found = []
-        for k in ok:
-            j = at[k]
-            while j < len(hi) and hi[order[j]] == ht[k]:
-                found.append((int(si[order[j]]), int(st[k])))
-                j += 1
-        return sorted(found)
+        return [_windows(x, length, p, down, u) for x, p, u in zip((item, text), prefix, used, strict=True)]
+
+    def mark(length: int) -> list[tuple[int, int, int]]:
+        """Mark runs of a length, each window of the item with the first free one of the text; no pairs are listed."""
+        (hi, si), (ht, st) = windows(length)
+        order = np.argsort(ht, kind="stable")
+        low, high = np.searchsorted(ht[order], hi, "left"), np.searchsorted(ht[order], hi, "right")
+        at: dict[int, int] = {}  # by the first place of a hash: the first place that may be free
+        out = []
+        for k in np.flatnonzero(high > low).tolist():
+            i, first, end = int(si[k]), int(low[k]), int(high[k])
+            own = slice(i, i + length)
+            if taken[0][own].any():
+                continue
+            place = at.get(first, first)
+            while place < end and taken[1][(j := int(st[order[place]])) : j + length].any():
+                place += 1
+            at[first] = place
+            if place < end and (item[own] == text[j : j + length]).all():
+                taken[0][own] = taken[1][j : j + length] = True
+                out.append((i, j, length))
+        return out
 
     tiles, longest = [], min(len(item), len(text))
     while longest >= least:
-        low, high = least - 1, longest  # the longest common unmarked run lies in (low, high]
-        at: list[tuple[int, int]] = []
+        low, high = least - 1, longest  # the longest common unmarked run lies in [low, high]
         while low < high:
             mid = (low + high + 1) // 2
-            if found := meet(mid):
-                low, at, have = mid, found, mid
-            else:
-                high = mid - 1
+            (hi, _), (ht, _) = windows(mid)
+            low, high = (mid, high) if np.isin(hi, ht).any() else (low, mid - 1)
         if low < least:
             break
-        if have != low:
-            at = meet(low)
-        marked = False
-        for i, j in at:
-            a, b = slice(i, i + low), slice(j, j + low)
-            if not taken[0][a].any() and not taken[1][b].any() and (item[a] == text[b]).all():
-                taken[0][a] = taken[1][b] = True
-                tiles.append((i, j, low))
-                marked = True
-        longest = low if marked else low - 1
+        found = mark(low)
+        tiles += found
+        longest = low if found else low - 1
     return tiles
 
 
@@ -151,44 +156,92 @@ def mixed_gaps(n: int) -> np.ndarray:
     return np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 
 
-def item_blocks(benchmark: DataFrame, block: int, least: int) -> Iterator[Items]:
-    """The benchmark's items in blocks of at most ``block`` words, each item whole."""
-    rows: list[tuple[object, np.ndarray]] = []
-    held = 0
-    for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        raw = np.frombuffer(row["text"].encode(), np.uint8)
-        words, _ = hash_words(raw, np.array([0, len(raw)]), separator=PUNCTUATION)
-        if len(words) < least:
-            continue
-        if rows and held + len(words) > block:
-            yield Items(rows, least)
-            rows, held = [], 0
-        rows.append((row["item_id"], words))
-        held += len(words)
-    if rows:
-        yield Items(rows, least)
+def item_words(benchmark: DataFrame, least: int) -> DataFrame:
+    """(item, item_id, n, words) of the items that can form a tile; words are 64-bit hashes."""
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in buffers(batch.column(2)):
+                words, starts = hash_words(data, offsets, separator=PUNCTUATION)
+                own = [words[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                keep = pa.array([len(w) >= least for w in own])
+                part = batch.slice(first, len(own))
+                made = [part.column(0), part.column(1), pa.array([len(w) for w in own], pa.int64()), pa.array([w.tobytes() for w in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["item", "item_id", "n", "words"]).filter(keep)
+
+    return rows.mapInArrow(run, "item long, item_id long, n long, words binary")
+
+
+_FOUND = "row long, item_id long, n_tiles int, covered int, coverage double"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "item_id", "n_tiles", "covered", "coverage"])
+
 
+def _small(benchmark: DataFrame, least: int) -> tuple[DataFrame, Items | None]:
+    """The items' words as a table, and their index if they are few enough to be broadcast."""
+    items = materialise(item_words(benchmark, least), "items")
+    if items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] > BROADCAST_WORDS:
+        return items, None
+    rows = items.select("item_id", "words").collect()  # BROADCAST_WORDS words at most
+    return items, Items([(r["item_id"], np.frombuffer(r["words"], np.uint64)) for r in rows], least)
 
-def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, block: int = BLOCK_WORDS) -> DataFrame:
+
+def _by_join(docs: DataFrame, items: DataFrame, share: float, least: int) -> DataFrame:
+    """Matches of (row, text) with the items by a join of their seeds."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in buffers(batch.column(1)):
+                words, starts = hash_words(data, offsets, separator=PUNCTUATION)
+                for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                    own = np.unique(ngram_hashes(words[a:b], least)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[first + k].as_py())), pa.array(own)], ["row", "seed"])
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, n, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own, times = np.unique(ngram_hashes(np.frombuffer(words, np.uint64), least), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), item)), pa.array(np.full(len(own), n)), pa.array(times)], ["seed", "item", "n", "times"])
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                row, item_id, words = (batch.column(i)[k].as_py() for i in range(3))
+                one = Items([(item_id, np.frombuffer(words, np.uint64))], least)
+                out += [(row, item_id, tiles, covered, covered / len(one.rows[0][1])) for _, _, tiles, covered in matches(one, batch.column(3).slice(k, 1), share)]
+            yield _found(out)
+
+    known = items.select("item", "n", "words").mapInArrow(of_items, "seed long, item long, n long, times long")
+    met = docs.mapInArrow(seeds, "row long, seed long").join(known, "seed").groupBy("row", "item").agg((F.sum("times") * least).alias("most"), F.first("n").alias("n"))
+    pairs = met.where(F.col("most") >= share * F.col("n")).select("row", "item").join(items, "item").join(docs, "row")
+    return pairs.select("row", "item_id", "words", "text").mapInArrow(tiled, _FOUND)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """One row for each contaminated document and item: doc_id, item_id, n_tiles, covered, coverage."""
-    spark = docs.sparkSession
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_tiles", T.IntegerType()), T.StructField("covered", T.IntegerType()), T.StructField("coverage", T.DoubleType())])
-    found = []
-    for items in item_blocks(benchmark, block, least):
-        sent = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0).cast(pa.int64()).to_pylist()
-                out = []
-                for row, i, tiles, covered in matches(sent.value, batch.column(1), share):
-                    item = sent.value.rows[i]
-                    out.append((ids[row], item[0], tiles, covered, covered / len(item[1])))
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], schema.names)
-
-        found.append(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items, index = _small(benchmark, least)
+    if index is None:
+        keyed = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "clean-keyed")
+        found = _by_join(keyed.select("row", "text"), items, share, least)
+        return keyed.select("row", "doc_id").join(found, "row").drop("row")
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, i, tiles, covered in matches(sent.value, batch.column(1), share):
+                item = sent.value.rows[i]
+                out.append((batch.column(0)[row].as_py(), item[0], tiles, covered, covered / len(item[1])))
+            yield _found(out).rename_columns(["doc_id", "item_id", "n_tiles", "covered", "coverage"])
+
+    return docs.mapInArrow(run, _FOUND.replace("row", "doc_id"))
 
 
 def matches(items: Items, texts: pa.Array, share: float) -> Iterator[tuple[int, int, int, int]]:
@@ -208,21 +261,23 @@ def matches(items: Items, texts: pa.Array, share: float) -> Iterator[tuple[int,
                 yield first + int(r), i, tiles, covered
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, block: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns; judged row by row."""
-    spark = docs.sparkSession
-    at = docs.columns.index("text")
-    for items in item_blocks(benchmark, block, least):
-        sent = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[m[0] for m in matches(sent.value, batch.column(at), share)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    items, index = _small(benchmark, least)
+    if index is None:
+        keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "clean-keyed")
+        found = _by_join(keyed.select(F.col("_row").alias("row"), "text"), items, share, least)
+        return keyed.join(found.select(F.col("row").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[m[0] for m in matches(sent.value, batch.column(at), share)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
