@@ -5,7 +5,9 @@ of one word is that word.  Each of ``samples`` samples draws, per term, r and c
 and b from U(0, 1), quantises the log weight to t = floor(ln w / r + b), and keeps the term with
 the smallest a = c / (exp(r (t - b)) exp(r)).  Two sets agree on a sample's (term, t) with the
 probability of their generalised Jaccard similarity, sum of minima over sum of maxima.  The draws
-of a term and a sample come from a fixed table of 2^18 triples, picked by hash.
+of a term and a sample come from a fixed table of 2^18 triples, picked by a hash of its own for each
+sample.  Terms that pick the same triple tie, and the tie goes to the smaller term hash: that rule is
+min-wise too, so texts of far more terms than triples still collide at the rate of their similarity.
 
 A fingerprint is 16 bits per sample, in hexadecimal; likeness is the share of equal samples.
 
@@ -13,9 +15,13 @@ The edited texts need the next document in descending doc_id order.  Rows are ra
 once (``ordered.with_buckets``) and sorted within tasks; the first row of each bucket also goes to
 the bucket before it, so every row meets its successor without a task that sees all rows.
 
+A likeness of ``samples`` samples has a standard error of at most 0.5 / sqrt(samples): 0.063 for 64.
+
 Defined cases: null and empty texts count as empty; a text without words has the fingerprint ""
-and likeness 1 to another such text, 0 to any other; rows with equal ids follow in the order of
-their texts' hash; null ids come last; a single row is its own next document.
+and likeness 1 to another such text, 0 to any other; very long texts count whole; rows with equal ids
+follow in the order of their texts' hash, and repeated rows each count; null ids come last; a single
+row is its own next document; an empty table gives no rows; ``fingerprint`` replaces a column of its
+name, in any case, and keeps others; ``compare_with_next`` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, hash_words, mix, ngram_hashes, table
+from .common import buffers, hash_words, mix, ngram_hashes, others, table
 from .ordered import unsigned, with_buckets
 
 SAMPLES = 64
@@ -99,8 +105,8 @@ def _hex(s: np.ndarray | None) -> str:
 
 def fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint", samples: int = SAMPLES) -> DataFrame:
     """Add the fingerprint of each text; a column of that name is replaced."""
-    keep = [c for c in df.columns if c != into]
-    at = df.columns.index(text)
+    keep = others(df.columns, into)
+    at = [c.lower() for c in df.columns].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +114,7 @@ def fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint", sa
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(marks, pa.string())], [*keep, into])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != into)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[c] for c in keep))
     return df.mapInArrow(run, f"{schema}, `{into}` string")
 
 

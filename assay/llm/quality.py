@@ -10,10 +10,12 @@ The fit uses a bounded sample: the ``sample`` labelled rows (default 8000) with
 of doc_id.  It needs one broadcast of that many ids, never a shuffle of the texts.  Scoring is a
 map over all rows with the broadcast weights (2 x 2^18 floats, whatever the input).
 
-Defined cases: null and empty texts have no indicators and get the score of the intercept; null or
-contradicting labels and null ids teach nothing; without rows of both classes every score is the
-smoothed share of label 1 (0.5 without any label); rows are never dropped, columns called
-``score`` or ``predicted`` are replaced.
+Defined cases: null and empty texts have no indicators and get the score of the intercept; very long
+texts count whole; null or contradicting labels and null ids teach nothing; of rows that repeat a
+labelled id the least text teaches; a score of exactly 0.5 predicts 1, and rows of equal texts have
+equal scores; without rows of both classes every score is the smoothed share of label 1 (0.5 without
+any label, so too for an empty table); rows are never dropped, so repeated rows and null ids stay;
+columns called ``score`` or ``predicted``, in any case, are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, buffers, hash_words, mix, ngram_hashes, table
+from .common import SPACE, buffers, hash_words, mix, ngram_hashes, others, table
 
 BITS = 18
 SAMPLE = 8000
@@ -127,7 +129,7 @@ def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> Model:
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = 20) -> Model:
     """Fit on indicator sets that are at hand."""
     size, labels = 1 << bits, np.asarray(labels)
     share = float((labels.sum() + 1) / (len(labels) + 2)) if len(labels) else 0.5
@@ -143,7 +145,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> Mo
     values = [ratio[r] / (np.sqrt((ratio[r] ** 2).sum()) + 1e-9) for r in rows]
     signs = np.where(labels == 1, 1.0, -1.0)
     inside = np.flatnonzero(~apart)
-    w, bias = descend([rows[i] for i in inside], [values[i] for i in inside], signs[inside], size)
+    w, bias = descend([rows[i] for i in inside], [values[i] for i in inside], signs[inside], size, epochs=epochs)
     margins = np.array([float(v @ w[r]) + bias for r, v in zip(rows, values, strict=True)])
     seen = np.flatnonzero(apart) if apart.any() else inside
     slope, shift = _curve(margins[seen], labels[seen])
@@ -189,9 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
 def score(df: DataFrame, model: Model, text: str = "text", bits: int = BITS) -> DataFrame:
     """Add ``score`` and ``predicted`` to every row, from its whole text alone."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in df.columns if c not in ("score", "predicted")]
-    schema = T.StructType([f for f in df.schema if f.name in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    sent = df.sparkSession.sparkContext.broadcast(model)  # 2 x 2^bits floats
+    keep = others(df.columns, "score", "predicted")
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,8 +18,10 @@ Ids come from the tokenizers library.  Texts are cut where every match of the by
 pattern ends, into words that a space may lead; a bounded memory maps a word to the ids the library
 gives for it.  For a tokenizer with other splitting texts go to the library whole.
 
-Defined cases: null and empty texts have only the end id; rows without doc_id come first; rows
-that repeat an id follow in the order of their texts' hash; every row is written.
+Defined cases: null and empty texts have only the end id; very long texts are cut into words window by
+window; rows without doc_id come first; rows that repeat an id follow in the order of their texts'
+hash (ties are equal texts); every row is written; an empty table gives files without rows; only
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -89,26 +89,94 @@ def dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
 
 
+def pairs_of(words):
+    return [f"{x} {y}" for x, y in zip(words, words[1:])]
+
+
+def license_windows(text, template, least):
+    """The best window by comparing every place that an anchor of the template points to."""
+    import math
+
+    import regex
+
+    split = lambda t: [x for x in regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).split(" ") if x]
+    tw, w = split(template), split(text)
+    b = set(pairs_of(tw))
+    chosen = sorted(b, key=lambda x: (-len(x), x))[: len(b) - math.ceil(len(b) * least / (2 - least) - 1e-9) + 1]
+    best = None
+    for off, x in enumerate(pairs_of(tw)):
+        for pos, y in enumerate(pairs_of(w)) if x in chosen else ():
+            if x == y:
+                start = max(pos - off, 0)
+                win = w[start : pos - off + len(tw)]
+                d = dice(" ".join(win), template)
+                if d >= least and (best is None or (d, -start) > (best[0], -best[1])):
+                    best = (d, start, " ".join(win))
+    return best
+
+
+def wrapped(text, width=60, lead=""):
+    import textwrap
+
+    return "\n".join(lead + line for part in text.split("\n") for line in textwrap.wrap(part, width))
+
+
 def test_license_scan_matches_brute_force(spark):
+    mit, bsd, apache = (next(t for n, t in license_scan.TEMPLATES if n == name and len(t) > 300) for name in ("MIT", "BSD-2-Clause", "Apache-2.0"))
     texts = [
         None, "", "word", "Released under the MIT License.", "Some text.\nReleased under the mit  license\nMore text here.", "Licensed under CC BY-NC 4.0.\n" * 3,
-        license_scan._MIT, "intro\n\n" + license_scan._BSD + "\n\nthe end of it", license_scan._ISC.replace("fee", "charge"), "This work is licensed under the GNU General Public License, version 2.",
-        "licensed under the stars of the night sky in May", " ".join(words_of(20_000)), license_scan._APACHE[:80], "Licensed under the Apache License, Version 2.0.",
+        mit, "intro\n\n" + bsd + "\n\nthe end of it", license_scan._ISC.replace("fee", "charge"), "This work is licensed under the GNU General Public License, version 2.",
+        "licensed under the stars of the night sky in May", " ".join(words_of(5000)) + " " + mit, apache[:80], "Licensed under the Apache License, Version 2.0.",
+        " ".join(words_of(400)) + "\n\n" + wrapped(mit).replace("\n", "\n\n", 3), "#!/bin/sh\n" + wrapped(apache, 70, "# ") + "\nset -e\nrun it", "/*\n" + wrapped(bsd, 50, " * ") + "\n */\nint main() {}",
+        " ".join(words_of(50)) + " " + mit.replace("\n", " ") + " " + " ".join(words_of(50, 1)), "Copyright (c) 2020 Jane Doe. Released under the MIT License.", apache.replace("compliance", "full and complete compliance"),
     ]
     docs = frame(spark, texts + texts[3:5], [*range(len(texts)), 3, None])
-    docs = docs.withColumnRenamed("lang", "license").withColumnRenamed("source", "unit")
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["template_id"], round(r["dice"], 9)) for r in license_scan.scan(docs, license_scan.templates(spark)).collect())
+    docs = docs.withColumnRenamed("lang", "License").withColumnRenamed("source", "found")
+    key = lambda i: -1 if i is None else i
+    got = sorted((key(r["doc_id"]), r["template_id"], round(r["dice"], 9), r["start"], r["found"]) for r in license_scan.scan(docs, license_scan.templates(spark)).collect())
     want = []
     for doc, text in [*enumerate(texts), (3, texts[3]), (-1, texts[4])]:
-        import re
-
-        units = {u for u in [*(text or "").split("\n"), *re.split(r"\n[ \t\r]*\n", text or ""), text or ""]}
         for k, (_, template) in enumerate(license_scan.TEMPLATES):
-            best = max(dice(u, template) for u in units)
-            if best >= license_scan.LEAST:
-                want.append((doc, k, round(best, 9)))
-    assert got == sorted(want) and len(got) > 8
+            if best := license_windows(text or "", template, license_scan.LEAST):
+                want.append((doc, k, round(best[0], 9), *best[1:]))
+    assert got == sorted(want)
+    names = {}
+    for doc, k, *_ in got:
+        names.setdefault(doc, set()).add(license_scan.TEMPLATES[k][0])
+    assert "MIT" in names[14] & names[17] & names[18] & names[11] and "Apache-2.0" in names[15] & names[19] and "BSD-2-Clause" in names[16] & names[7]
+    assert not {0, 1, 2, 10} & set(names)
     assert license_scan.scan(docs.limit(0), license_scan.templates(spark)).count() == 0
+    assert license_scan.scan(docs, license_scan.templates(spark, [("X", "one")])).count() == 0
+
+
+def test_license_wordings_are_the_published_ones(spark):
+    """Notices as projects carry them: names filled in, wrapped, with words of their own."""
+    mit = "MIT License\n\nCopyright (c) 2024 A. Person\n\n" + license_scan._MIT
+    holders = (license_scan._BSD + license_scan._BSD_THIRD + license_scan._BSD_END).replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS").replace("the copyright holder", "the University")
+    gpl = "This file is part of Foo.\n\nFoo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nFoo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with Foo. If not, see <https://www.gnu.org/licenses/>."
+    got = {}
+    for r in license_scan.scan(frame(spark, [wrapped(mit), wrapped(holders, 72, "// "), wrapped(gpl, 66, "; ")]), license_scan.templates(spark)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert "MIT" in got[0] and "BSD-3-Clause" in got[1] and "GPL-3.0" in got[2]
+
+
+@pytest.mark.parametrize("name", ["op1_url_hash_prefix", "op2_license_dice"])
+def test_native_queries_equal_their_sql(spark, name):
+    import os
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    for f in os.listdir(data):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
+    want = con.sql(entry.oracle_sql()[name])
+    columns = sorted(want.columns)
+    got = entry.queries()[name](spark, data).select(columns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == sorted(tuple(str(r[want.columns.index(c)]) for c in columns) for r in want.fetchall())
 
 
 # 3
@@ -183,7 +251,7 @@ def test_quality_learns_and_ignores_held_out_labels(spark):
     assert len(out) > 50 and all(r["predicted"] == 1 - r["doc_id"] % 2 for r in out)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in first)
     wrong = labels.where("doc_id is not null and quality is not null").withColumn("quality", quality.F.when(quality.held_out(), 1 - quality.F.col("quality")).otherwise(quality.F.col("quality")))
-    again = quality.score(docs.withColumnRenamed("lang", "score"), quality.train(docs, wrong)).select("doc_id", "score").collect()
+    again = quality.score(docs.withColumnRenamed("lang", "Score").withColumnRenamed("source", "PREDICTED"), quality.train(docs, wrong)).select("doc_id", "score").collect()
     assert {r["doc_id"]: r["score"] for r in again} == {r["doc_id"]: r["score"] for r in first}
 
 
@@ -202,6 +270,61 @@ def test_descent_separates_and_bounds_alpha():
     assert w[0] + b > 0.9 and w[1] + b < -0.9
 
 
+def dense_hinge(x, y, cost):
+    """The same problem by projected gradient on the dense dual, with the intercept as a constant column."""
+    x = np.c_[x, np.ones(len(x))] * y[:, None]
+    q = x @ x.T
+    a, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        a = np.clip(a + step * (1 - q @ a), 0, cost)
+    return x.T @ a
+
+
+def test_descent_equals_a_dense_solver():
+    r = np.random.default_rng(4)
+    x = np.where(r.random((60, 12)) < 0.4, r.normal(size=(60, 12)), 0.0)
+    y = np.where(x @ r.normal(size=12) + 0.3 * r.normal(size=60) > 0, 1.0, -1.0)
+    rows = [np.flatnonzero(v) for v in x]
+    w, b = quality.descend(rows, [v[k] for v, k in zip(x, rows)], y, 12, epochs=4000)
+    assert np.r_[w, b] == pytest.approx(dense_hinge(x, y, 1.0), abs=0.02)
+
+
+def test_fit_equals_plain_python():
+    """Naive-Bayes ratios, unit rows, the hinge fit and the ranking of rows, from scratch."""
+    import math
+
+    r = random.Random(9)
+    rows, labels = [], []
+    for i in range(100):
+        label = i % 2
+        rows.append(np.array(sorted({r.randrange(8) + 8 * (r.random() < (0.8 if label else 0.3)) for _ in range(5)}), np.int32))
+        labels.append(label)
+    model = quality.fit_rows(rows, np.array(labels), bits=4, epochs=4000)
+    counts = [[1 + sum(j in x for x, y in zip(rows, labels) if y == c) for j in range(16)] for c in (0, 1)]
+    ratio = [math.log(counts[1][j] / sum(counts[1])) - math.log(counts[0][j] / sum(counts[0])) for j in range(16)]
+    dense = np.zeros((100, 16))
+    for i, x in enumerate(rows):
+        norm = math.sqrt(sum(ratio[j] ** 2 for j in x))
+        for j in x:
+            dense[i, j] = ratio[j] / norm
+    inside = np.arange(100) % 5 != 4
+    w = dense_hinge(dense[inside], np.where(np.array(labels) == 1, 1.0, -1.0)[inside], 1.0)
+    want = dense @ w[:16] + w[16]
+    assert quality.margins(model, rows) == pytest.approx(want, abs=0.03)
+    got = quality.scores(model, rows)
+    assert ((got > 0.5) == (np.array(labels) == 1)).mean() > 0.8
+
+
+def test_op4_marks_the_held_out_fold(spark, tmp_path):
+    good = [" ".join(words_of(60, i)).capitalize() + "." for i in range(120)]
+    bad = [" ".join(words_of(20, i)).upper() + " !!! spam" for i in range(120)]
+    frame(spark, [t for pair in zip(good, bad) for t in pair]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = quality.op4_quality(spark, str(tmp_path)).collect()
+    assert len(out) == 240 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
+    assert all(r["predicted"] == int(r["score"] >= 0.5) == 1 - r["doc_id"] % 2 for r in out)
+
+
 # 7
 
 
@@ -401,7 +524,72 @@ def test_tiles_are_greedy_and_found_in_any_order():
     assert decontaminate.tile(item[:0], item, 5) == []
 
 
-def test_decontamination(spark):
+def brute_tiles(item, text, least):
+    """Greedy string tiling by comparing all places."""
+    taken, tiles = (set(), set()), []
+    while True:
+        best, found = least - 1, []
+        for i in range(len(item)):
+            for j in range(len(text)):
+                k = 0
+                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and i + k not in taken[0] and j + k not in taken[1]:
+                    k += 1
+                if k > best:
+                    best, found = k, [(i, j)]
+                elif k == best and k >= least:
+                    found.append((i, j))
+        if best < least:
+            return tiles
+        for i, j in found:
+            if not any(i + k in taken[0] or j + k in taken[1] for k in range(best)):
+                for k in range(best):
+                    taken[0].add(i + k)
+                    taken[1].add(j + k)
+                tiles.append((i, j, best))
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=30), st.lists(st.integers(0, 2), max_size=40), st.integers(2, 5))
+def test_tiles_equal_brute_force(item, text, least):
+    as_hashes = lambda x: np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(12345)
+    assert decontaminate.tile(as_hashes(item), as_hashes(text), least) == brute_tiles(item, text, least)
+
+
+def test_repetitive_texts_take_no_pairs():
+    import time
+
+    began = time.process_time()
+    one = np.full(20_000, 7, np.uint64)
+    assert decontaminate.tile(one[:9000], one, 5) == [(0, 0, 9000)]
+    period = np.tile(np.arange(1, 8, dtype=np.uint64), 3000)
+    assert sum(t[2] for t in decontaminate.tile(period[:8000], np.r_[period[3:5000], np.uint64(99), period[:5000]], 5)) > 7900
+    broken = np.concatenate([np.r_[np.full(k % 30 + 5, 3), 1000 + k] for k in range(300)]).astype(np.uint64)
+    decontaminate.tile(broken, one[:12_000] - np.uint64(4), 5)
+    assert time.process_time() - began < 20
+
+
+def test_op9_equals_brute_force_on_a_table(spark, tmp_path):
+    items = [" ".join(words_of(15 + 5 * k, 40 + k, 60)) for k in range(6)]
+    r = random.Random(6)
+    docs = []
+    for k in range(60):
+        own = words_of(80, 100 + k, 60)
+        cut = items[k % 6].split()
+        a = r.randrange(len(cut))
+        docs.append(" ".join(own[:40] + cut[a : a + r.randrange(4, 30)] + own[40:] + cut[: max(a - 3, 0)]))
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(x["doc_id"], x["item_id"]): (x["n_tiles"], x["covered"]) for x in decontaminate.op9_decontaminate(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, d in enumerate(docs):
+        for j, b in enumerate(items):
+            tiles = brute_tiles(b.split(), d.split(), 5)
+            if sum(t[2] for t in tiles) >= 0.5 * len(b.split()):
+                want[i, j] = (len(tiles), sum(t[2] for t in tiles))
+    assert got == want and 5 < len(want) < 60
+
+
+def test_decontamination(spark, monkeypatch):
     item, other = words_of(40, 1), words_of(30, 2)
     rest = " ".join(words_of(400, 3))
     texts = {
@@ -417,10 +605,11 @@ def test_decontamination(spark):
     }
     docs = spark.createDataFrame([(k, t, 9, "x") for k, t in texts.items()] + [(None, texts[0], 9, "x"), (0, texts[0], 9, "x")], "doc_id long, text string, item_id long, coverage string")
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "too short"), (4, None), (None, " ".join(other))], "item_id long, text string")
-    for block in (1_000_000, 35):
-        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["item_id"] is None else r["item_id"]) for r in decontaminate.find(docs, bench, block=block).collect())
+    for most in (1_000_000, 35):  # broadcast, and joined
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", most)
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["item_id"] is None else r["item_id"]) for r in decontaminate.find(docs, bench).collect())
         assert got == sorted([(0, 1), (0, 1), (-1, 1), (2, 1), (7, 1), (7, 2), (7, -1), (8, 1)])
-        assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench, block=block).collect()) == [1, 3, 4, 5, 6]
+        assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 4, 5, 6]
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs.limit(0), bench).count() == 0
 
@@ -438,10 +627,19 @@ def test_collisions_estimate_generalised_jaccard():
         assert abs(fingerprints.likeness(s, t) - want) < 0.06
 
 
+def test_collisions_of_texts_with_far_more_terms_than_draws():
+    r = np.random.default_rng(6)
+    terms = np.unique(r.integers(0, 1 << 63, 750_000, dtype=np.uint64))
+    a, b = terms[:500_000], terms[250_000:750_000]
+    want = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    s, t = (fingerprints.signature(x, np.ones(len(x), np.int64), 256) for x in (a, b))
+    assert abs(fingerprints.likeness(s, t) - want) < 0.1  # three standard errors
+
+
 def test_fingerprints(spark):
     texts = [None, "", "one", "one", " ".join(words_of(300)), " ".join(words_of(300)), "Ünï " * 50, " ".join(words_of(20_000, 4)), "a b c d e f"]
     ids = [5, 3, 9, 1, 12, 7, None, 8, 2]
-    docs = frame(spark, texts, ids).withColumnRenamed("lang", "fingerprint")
+    docs = frame(spark, texts, ids).withColumnRenamed("lang", "Fingerprint").withColumnRenamed("source", "near_next")
     got = {r["doc_id"]: r for r in fingerprints.compare_with_next(docs).collect()}
     order = sorted(zip(ids, texts), key=lambda x: (x[0] is None, -(x[0] or 0)))
     assert len(got) == len(texts)
