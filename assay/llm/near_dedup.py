@@ -302,6 +302,11 @@ _SET = ["d1", "d2", "n_shingles"]
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return _judged(docs, threshold, width, bands, rows)[0]
+
+
+def _judged(docs: DataFrame, threshold: int, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``near_duplicates``, and the scratch tables that they are read from."""
     seen, all_rows = measured(signatures(docs, width, bands, rows), "near-sigs")
     # members of a class have one set, so any member's signature is the class's
     classes = seen.where("n_shingles > 0").groupBy(*_SET).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("m"))
@@ -333,7 +338,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     out = seen.select("doc_id", *_SET)
     out = join_by_key(out.where("n_shingles > 0"), named, _SET, all_rows.n).select("doc_id", "n_shingles", "component_id")
     out = out.union(seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), [seen, classes, found]
 
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, apart: bool = True) -> DataFrame:
@@ -346,10 +351,13 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, apart: bool = True)
     """
     # written, so that a row has the same key in every later step
     keyed = materialise(docs.select("*", F.monotonically_increasing_id().alias("_key"), F.xxhash64("text").alias("_hash")), "near-keyed")
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_key"), "component_id")
+    judged, scratch = _judged(keyed.select(F.col("_key").alias("doc_id"), "text"), threshold)
+    found = judged.select(F.col("doc_id").alias("_key"), "component_id")
     unnamed = F.col("doc_id").isNull()
     groups = found.join(keyed.select("_key", "_hash", "doc_id"), "_key").groupBy("component_id", unnamed if apart else F.lit(True))
-    kept = groups.agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "_hash", "_key")).alias("m")).select("m._key")
+    kept = materialise(groups.agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "_hash", "_key")).alias("m")).select("m._key"), "near-kept")
+    for old in scratch:
+        discard(old)
     return keyed.join(kept, "_key", "left_semi").select(docs.columns)
 
 

@@ -11,10 +11,11 @@ across a splitter, and neither of its ends is within ``group_tolerance`` of the
 out of the order and given to the shard with most room; the other rows of that shard get less room,
 and all targets move accordingly.  This goes on until no splitter hurts; at most ``FLOATS`` groups a
 shard are moved so (a few numbers each, on the driver), after that the nearer end of the group is
-the splitter.  Only a group larger than a shard is cut, within ``tolerance`` of the target.
+the splitter.  A single text is moved in the same way if the gap is ``SINGLE`` times as large.  Only a
+group larger than a shard is cut, within ``tolerance`` of the target.
 
-Law: ``bytes`` - each shard has its share of all bytes, up to twice ``group_tolerance``, or to the
-largest text where single texts are larger than that.
+Law: ``bytes`` - each shard has its share of all bytes, up to 2 * SINGLE * ``group_tolerance``, more
+only where a table has so few texts that most of them are larger than that.
 Shards are built from ``fine`` slices each, so that a shard larger than a task's memory is sorted
 by several tasks; slots are numbered through the slices with one row count per slice.
 
@@ -47,6 +48,7 @@ TOP = 1 << 63
 FIRST_PROBES, NEXT_PROBES = 8192, 32
 #: Groups of equal texts that may be moved, for each shard.
 FLOATS = 16
+SINGLE = 3
 #: Bytes that one slice of a shard should hold, and the most slices of a shard.
 SLICE_BYTES, MOST_SLICES = 256 << 20, 512
 
@@ -183,7 +185,8 @@ def cuts(keys: DataFrame, shards: int, fine: int, tolerance: float, group_tolera
         targets = [ends[i // fine] + room[i // fine] * (i % fine) / fine for i in range(1, shards * fine)]
         wholes = [share if i % fine == 0 else share / fine for i in range(1, shards * fine)]
         found = search(keys, targets, wholes, total, rows, tolerance * share, np.array(sorted(moved), np.int64))
-        hurt = {g for s in found[fine - 1 :: fine] if s.gap()[0] > group_tolerance * share and (g := s.across())}
+        bound = lambda g: group_tolerance * share * (1 if g.rows > 1 else SINGLE)
+        hurt = {g for s in found[fine - 1 :: fine] if (g := s.across()) and s.gap()[0] > bound(g)}
         before = len(moved)
         for g in sorted(hurt, key=lambda g: (-g.size, g.number)):
             to = max(range(shards), key=lambda s: (room[s], -s))

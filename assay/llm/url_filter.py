@@ -15,8 +15,10 @@ Host: after the first "://" up to "/", "?", "#" or the end, A-Z folded; path: fr
 "#" or the end.  Defined cases: a null url, or one without "://", has the empty host and path and
 no rule; an empty path fits only rules with an empty path; ties in length go to the longer host,
 then to block, then to the lesser string; equal rules with other verdicts: block wins; null rule
-hosts or paths are empty strings, and an empty rule host fits nothing.  Rows are never dropped;
-columns of the result replace columns of the same names.
+hosts or paths are empty strings, and an empty rule host fits nothing.  Very long urls are judged
+whole; rows are never dropped, and repeated rows each get their verdict; an empty table gives no rows,
+and without rules every verdict is the default; columns of the result replace columns of the same
+names, in any case.
 """
 
 from __future__ import annotations
