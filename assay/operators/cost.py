@@ -58,7 +58,9 @@ def nearest_earlier(left: DataFrame, right: DataFrame, key: str, seconds: int, l
     """As-of join: each left row with the latest right row of its key at or before it, within a window.
 
     Both sides are dealt by (key, time bucket of the window's length); a right row also goes to the
-    following bucket, so a hot key spreads over time and a bucket's work stays bounded by the window.
+    following bucket, so a hot key spreads over time and a bucket's work stays bounded by the window:
+    what one key does within two lengths of the window meets in one task, sorted and streamed, and
+    nothing more.
     Right rows before a left row are found by one ordered window, without pairing rows.
     """
     columns = [c for c in right.columns if c not in (key, right_ts)]
