@@ -1,4 +1,10 @@
-"""Column profiles: exact statistics of all columns from one aggregate per chunk of columns."""
+"""Column profiles: exact statistics of all columns, in one job.
+
+Each column is grouped by its values, with map-side counts, and the groups give its statistics: a
+scan reads that column alone, no row is multiplied, and a value that most rows have is one row per
+map task.  Tables with very many columns are profiled by chunks of columns instead, so that the plan
+stays small; exact distinct counts then multiply the rows of a chunk.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import COMPLEX, hashable
 
 WIDE = 500
-#: Columns whose exact distinct counts share one aggregate; each multiplies the rows it expands.
-CHUNK = 12
+#: Columns that are grouped one by one at most, and columns of a chunk beyond that.
+GROUPED, CHUNK = 64, 12
 
 
 def _chunk(df: DataFrame, cols: Sequence[str], approximate: bool) -> DataFrame:
@@ -31,7 +37,19 @@ def _chunk(df: DataFrame, cols: Sequence[str], approximate: bool) -> DataFrame:
     return one.selectExpr(f"stack({len(cols)}, {rows}) AS (column, data_type, non_null, distinct_values, nulls, min_value, max_value)")
 
 
-def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False, chunk: int = CHUNK) -> DataFrame:
+def _grouped(df: DataFrame, name: str) -> DataFrame:
+    """The same row for one column, from the groups of its values."""
+    kind = df.schema[name].dataType
+    groups = df.groupBy(hashable(df, name).alias("v")).agg(F.count("*").alias("n"))
+    rows = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).cast("long")
+    end = lambda f: f("v").cast("string") if not isinstance(kind, COMPLEX) else F.lit(None).cast("string")
+    none = F.col("v").isNull()
+    return groups.agg(rows(~none).alias("non_null"), F.count("v").alias("distinct_values"), rows(none).alias("nulls"), end(F.min).alias("min_value"), end(F.max).alias("max_value")).select(
+        F.lit(name).alias("column"), F.lit(kind.simpleString()).alias("data_type"), "*"
+    )
+
+
+def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False, chunk: int | None = None) -> DataFrame:
     """column, data_type, non_null, distinct_values, nulls, min_value and max_value (as text).
 
     Complex types have no minimum and maximum.  ``approximate`` is for tables so wide that exact
@@ -40,7 +58,9 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approximat
     columns = list(columns or df.columns)
     if len(columns) > WIDE:
         logging.getLogger(__name__).warning("%d columns in one profile; consider splitting them", len(columns))
-    size = len(columns) if approximate else chunk
+    if not approximate and chunk is None and len(columns) <= GROUPED:
+        return reduce(DataFrame.union, [_grouped(df, c) for c in columns])
+    size = len(columns) if approximate else chunk or CHUNK
     return reduce(DataFrame.union, [_chunk(df, columns[i : i + size], approximate) for i in range(0, len(columns), size)])
 
 

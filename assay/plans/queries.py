@@ -267,7 +267,7 @@ _ORDERS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "stri
 
 @query(_sql_stats("orders", _ORDERS))
 def column_stats(spark, sf_dir):
-    return profile.column_stats(table(spark, sf_dir, "orders"), list(_ORDERS), chunk=3)
+    return profile.column_stats(table(spark, sf_dir, "orders"), list(_ORDERS))
 
 
 @query(_sql_stats("embeddings", {"vec_id": "bigint", "embedding": "array<float>", "label": "int"}))

@@ -17,6 +17,7 @@ def test_profile(spark):
     assert got["s"]["max_value"] == "b"
     for c in ("a", "m", "b"):
         assert (got[c]["distinct_values"], got[c]["min_value"], got[c]["max_value"]) == (1, None, None)
+    assert {r["column"]: r for r in profile.column_stats(df).collect()} == got
     assert {r["column"]: r["distinct_values"] for r in profile.column_stats(df.limit(0)).collect()} == dict.fromkeys("isamb", 0)
 
 
