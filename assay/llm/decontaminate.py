@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialise
+from ..sources.scratch import discard, materialise
 from .common import buffers, hash_words, ngram_hashes, table
 
 LEAST, SHARE = 5, 0.5
@@ -188,6 +188,7 @@ def _small(benchmark: DataFrame, least: int) -> tuple[DataFrame, Items | None]:
     if items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] > BROADCAST_WORDS:
         return items, None
     rows = items.select("item_id", "words").collect()  # BROADCAST_WORDS words at most
+    discard(items)
     return items, Items([(r["item_id"], np.frombuffer(r["words"], np.uint64)) for r in rows], least)
 
 
