@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprints, html_text, license_scan, near_dedup, quality, sharding, token_files, url_filter
+from . import bpe, decontaminate, fingerprints, html_text, license_scan, near_dedup, quality, sharding, token_files, url_filter, whitening
 
-MODULES = (url_filter, license_scan, bpe, quality, sharding, near_dedup, html_text, token_files, decontaminate, fingerprints)
+MODULES = (url_filter, license_scan, bpe, quality, sharding, near_dedup, html_text, token_files, decontaminate, fingerprints, whitening)
 
 
 def queries() -> dict:
