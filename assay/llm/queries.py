@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontaminate, fingerprints, html_text, license_scan, near_dedup, quality, sharding, token_files, url_filter, whitening
+from . import alignment, bpe, decontaminate, fingerprints, html_text, license_scan, near_dedup, quality, sharding, substring_dedup, token_files, url_filter, whitening
 
-MODULES = (url_filter, license_scan, bpe, quality, sharding, near_dedup, html_text, token_files, decontaminate, fingerprints, whitening, alignment)
+MODULES = (url_filter, license_scan, bpe, quality, sharding, near_dedup, html_text, token_files, decontaminate, fingerprints, substring_dedup, whitening, alignment)
 
 
 def queries() -> dict:
