@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checks import Test, evaluate
+from .checks import Test, TimeLimit, evaluate, limited
 
 REASONS = ("always-passes", "failed-on-known-clean-data", "kept", "requires-future-data", "kept-without-evidence")
 
@@ -58,43 +61,55 @@ def unevaluated(spark: SparkSession, tests: Sequence[Test], why: str) -> DataFra
     return spark.createDataFrame([(i, None, None, None, "error", why) for i in range(len(tests))], "position int, failures long, excess_rows long, evaluated_rows long, status string, why string")
 
 
-def prune(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame], trusted: bool = False, sample: Callable[[DataFrame], DataFrame] | None = None, enabled: bool = True, budget: float | None = None) -> DataFrame:
+def prune(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame], trusted: bool = False, sample: Callable[[DataFrame], DataFrame] | None = None, enabled: bool = True, budget: float | None = None, timeout: float | None = None, clock: Callable[[], float] = time.monotonic) -> DataFrame:
     """One decision per test of a table, in flattened order.
 
     sample: how to draw the rows under test; if that fails, every test is kept without evidence.
-    budget: seconds after which no further test is started.
+    budget: seconds for everything, drawing the sample too; what runs when they are used up is cancelled, and
+    tests that have not run are kept without evidence.  timeout: the same for one test.
     """
     spark, tests, scope = df.sparkSession, flatten(tests), "full"
+    end = None if budget is None else clock() + budget
     if not enabled:
         found = unevaluated(spark, tests, "pruning is disabled")
     elif not tests:
         found = unevaluated(spark, tests, "")
     else:
         try:
-            rows = sample(df) if sample else df
+            rows = limited(spark, budget, lambda: sample(df)) if sample else df
+        except TimeLimit:
+            found = unevaluated(spark, tests, f"sampling failed: the budget of {budget:g} s was used up")
         except Exception as e:
             found = unevaluated(spark, tests, f"sampling failed: {e}")
         else:
             scope = "sample" if sample else "full"
-            found = evaluate(rows, tests, tables, full=df, budget=budget)
+            found = evaluate(rows, tests, tables, full=df, budget=budget, end=end, timeout=timeout, clock=clock)
     out = tests_frame(spark, tests).join(F.broadcast(found), "position")
     return verdict(out, trusted).withColumn("scope", F.lit(scope))
 
 
+#: Tables whose jobs are on their way at the same time.
+TOGETHER = 4
+
+
 def prune_many(tests: dict[str, Sequence[Test]], tables: dict[str, DataFrame], trusted: Iterable[str] = (), **options) -> DataFrame:
-    """Decisions for several tables; one that fails does not stop the others: its tests are kept without evidence."""
+    """Decisions for several tables, some at a time; one that fails does not stop the others: its tests are kept without evidence."""
     trusted = validate_trusted(trusted, tables)
     spark = next(iter(tables.values())).sparkSession
-    parts = []
-    for name, own in tests.items():
+
+    def judged(name: str) -> DataFrame:
+        own = tests[name]
         try:
             if name not in tables:
                 raise ValueError(f"table {name} is not known")
-            parts.append(prune(tables[name], own, tables, name in trusted, **options))
+            return prune(tables[name], own, tables, name in trusted, **options)
         except Exception as e:
             gone = tests_frame(spark, flatten(own)).join(F.broadcast(unevaluated(spark, own, str(e)[:200])), "position")  # a row per test
-            parts.append(verdict(gone).withColumn("scope", F.lit("none")))
-    return reduce(DataFrame.unionByName, parts)
+            return verdict(gone).withColumn("scope", F.lit("none"))
+
+    with ThreadPoolExecutor(TOGETHER) as pool:
+        parts = [pool.submit(inheritable_thread_target(spark)(judged), name) for name in tests]
+        return reduce(DataFrame.unionByName, [p.result() for p in parts])
 
 
 def table_status(decisions: DataFrame) -> DataFrame:

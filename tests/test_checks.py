@@ -1,5 +1,7 @@
 """Data tests, verdicts and samples on small tables."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,8 +96,9 @@ def test_faults_are_found_by_halves(orders):
 def test_filter_rules_share_the_scan(orders):
     tests = [Test("orders", "custom_sql", sql=f"SELECT * FROM {{{{this}}}} WHERE amount > {i}") for i in range(4)]
     counted = checks.plan(orders, tests, {})
-    assert len(counted.fused) == 4 and not counted.single and not counted.failed
-    assert checks.plan(orders, [Test("orders", "custom_sql", sql="SELECT * FROM {{this}} WHERE rand() < 2")], {}).single
+    assert [u.positions for u in counted.units] == [[0, 1, 2, 3]] and not counted.failed
+    mixed = [*tests, Test("orders", "custom_sql", sql="SELECT * FROM {{this}} WHERE rand() < 2")]
+    assert [u.positions for u in checks.plan(orders, mixed, {}).units] == [[0, 1, 2, 3], [4]]
 
 
 def test_no_test_starts_after_the_budget(orders):
@@ -216,3 +219,69 @@ def test_a_kept_sample_is_drawn_once(spark):
     first = sampling.kept_sample(df, "t", 50, version="a").collect()
     assert sampling.kept_sample(df.where("false"), "t", 50, version="a").collect() == first and len(first) <= 50
     assert sampling.kept_sample(df.where("false"), "t", 50, version="b", by=PartitionFilter("id", ">=", "0")).count() == 0
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_tests_of_a_column_share_one_scan_and_one_exchange(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 300 AS k", "id % 7 AS v", "CAST(id % 300 AS string) AS t").write.parquet(f"{tmp_path}/child")
+    spark.range(290).selectExpr("id AS pk", "CAST(id AS int) AS narrow").write.parquet(f"{tmp_path}/parent")
+    child, parent = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("child", "parent"))
+    tests = [
+        Test("child", "not_null", "k"), Test("child", "unique", "k"), Test("child", "accepted_values", "k", ("1", "2")), Test("child", "relationships", "k", to="parent", field="pk"),
+        Test("child", "not_null", "v"), Test("child", "relationships", "k", to="parent", field="narrow"), Test("child", "relationships", "t", to="parent", field="pk"),
+    ]
+    counted = checks.plan(child, tests, {"parent": parent})
+    assert [u.positions for u in counted.units] == [[4], [1, 3, 0, 2], [5], [6]]
+    keyed = counted.units[1].count(counted.units[1].positions)
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    assert scans(keyed) == 2 and plan.count("Exchange hashpartitioning(k#") == 1
+    got = {r["position"]: (r["failures"], r["evaluated_rows"]) for r in checks.evaluate(child, tests, {"parent": parent}).collect()}
+    assert got == {0: (0, 1000), 1: (300, 1000), 2: (1000 - 8, 1000), 3: (30, 1000), 4: (0, 1000), 5: (30, 1000), 6: (30, 1000)}
+
+
+def test_a_slow_rule_is_cancelled_and_the_others_are_judged(spark, orders, customers):
+    """It would take hours; the other rules of its job are judged, and nothing of it goes on running."""
+    endless = "SELECT o.* FROM {{this}} o JOIN range(1000000000000000) a ON a.id % 7 = 9"
+    tests = [Test("orders", "custom_sql", sql=endless), Test("orders", "not_null", "customer_id"), Test("orders", "unique", "order_id"), Test("orders", "custom_sql", sql="amount > 1")]
+    began = time.monotonic()
+    got = {r["position"]: (r["status"], r["failures"], r["why"]) for r in checks.evaluate(orders, tests, {}, timeout=6).collect()}
+    assert got[0] == ("error", None, "cancelled after 6 s") and [got[i][0] for i in (1, 2, 3)] == ["ok"] * 3
+    assert time.monotonic() - began < 60
+    done = verdict.prune(orders, tests, {}, budget=8)
+    by = {r["position"]: r for r in done.collect()}
+    assert [by[i]["reason"] for i in range(4)].count("kept-without-evidence") == 1
+    assert next(r for r in by.values() if r["reason"] == "kept-without-evidence")["why"].startswith("not evaluated: cancelled after")
+    assert spark.range(3).count() == 3  # the session goes on
+
+
+def test_the_budget_counts_the_drawing_of_the_sample(spark, orders):
+    tests = [Test("orders", "not_null", "amount"), Test("orders", "unique", "order_id")]
+
+    def slow(df):
+        spark.range(10**15).where("id % 7 = 9").count()
+        return df
+
+    assert {r["why"] for r in verdict.prune(orders, tests, {}, sample=slow, budget=3).collect()} == {"not evaluated: sampling failed: the budget of 3 s was used up"}
+    ticks = iter([0.0, 9.0, 9.0])
+    late = verdict.prune(orders, tests, {}, sample=lambda df: df, budget=3, clock=lambda: next(ticks))
+    assert {r["why"] for r in late.collect()} == {"not evaluated: the budget of 3 s was used up"}
+
+
+@pytest.mark.parametrize("values", [("1", "2"), ("1", "a")])
+def test_columns_of_different_families_are_not_compared(spark, values):
+    """Whatever the data: the same rule is kept without evidence for texts that are numbers and for others."""
+    rows = spark.createDataFrame([(i, float(i), v, v == "1") for i, v in enumerate(values)], "b int, d double, c string, f boolean").withColumn("day", F.current_date()).withColumn("at", F.current_timestamp())
+    bad = ["b <> c", "c < d", "SELECT * FROM {{this}} WHERE b = c", "SELECT t.* FROM {{this}} t JOIN {{this}} u ON t.b = u.c", "day > c", "f = b", "NOT (b >= c) OR d > 1", "SELECT * FROM {{this}} WHERE b IN (SELECT b FROM {{this}} WHERE c > d)", "b IS NULL AND c <=> b"]
+    good = ["b <> d", "CAST(b AS string) <> c", "b <> TRY_CAST(c AS int)", "day < at", "c > '0'", "day > '2000-01-01'", "b > 1", "length(c) > b", "b <> coalesce(TRY_CAST(c AS int), 0)", "SELECT t.* FROM {{this}} t JOIN {{this}} u ON t.b = u.d"]
+    got = {r["position"]: (r["status"], r["why"]) for r in checks.evaluate(rows, [Test("t", "custom_sql", sql=x) for x in bad + good], {}).collect()}
+    assert [x for i, x in enumerate(bad) if got[i][0] != "error" or "do not belong together" not in got[i][1]] == []
+    assert [(x, got[i]) for i, x in enumerate(good, len(bad)) if got[i][0] != "ok"] == []
+
+
+def test_tables_are_judged_at_the_same_time(spark, orders, customers):
+    tests = {"orders": [Test("orders", "not_null", "amount")], "customers": [Test("customers", "unique", "id")]}
+    got = verdict.prune_many(tests, {"orders": orders, "customers": customers}).collect()
+    assert [r["table_name"] for r in sorted(got, key=lambda r: r["table_name"])] == ["customers", "orders"]
