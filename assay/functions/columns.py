@@ -10,10 +10,15 @@ from pyspark.sql import types as T
 COMPLEX = (T.BinaryType, T.ArrayType, T.StructType, T.MapType, T.VariantType)
 
 
+def named(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hashable(df: DataFrame, name: str) -> Column:
     """The column in a form that hash functions take; maps become sorted entries."""
     kind = df.schema[name].dataType
-    col = F.col(f"`{name}`")
+    col = named(name)
     if isinstance(kind, T.MapType):
         return F.to_json(F.array_sort(F.map_entries(col)))
     return F.to_json(col) if isinstance(kind, T.VariantType) else col
@@ -25,7 +30,7 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 def portable_hash(*columns: str) -> Column:
     """A 60-bit hash that other engines can repeat: the first 15 hex digits of md5 over the texts."""
-    text = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in columns])
+    text = F.concat_ws("|", *[named(c).cast("string") for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -46,7 +51,7 @@ def first_sentence(text: Column, n: int = 120) -> Column:
 
 def value_text(df: DataFrame, name: str, n: int = 40) -> Column:
     """A value as a report shows it: NULL, TRUE or FALSE, DATE('...'), a quoted and cut string, a number."""
-    kind, col = df.schema[name].dataType, F.col(f"`{name}`")
+    kind, col = df.schema[name].dataType, named(name)
     if isinstance(kind, T.BooleanType):
         out = F.upper(col.cast("string"))
     elif isinstance(kind, T.DateType):

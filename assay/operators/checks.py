@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import hashable, row_hash, value_text
+from ..functions.columns import hashable, named, row_hash, value_text
 from .coherence import incoherent
 
 A = TypeVar("A")
@@ -76,7 +76,7 @@ def _column(df: DataFrame, name: str | None) -> Column:
     found = [c for c in df.columns if name and c.lower() == name.lower()]
     if len(found) != 1:
         raise NotEvaluable(f"column {name!r} is not in the table")
-    return F.col(f"`{found[0]}`")
+    return named(found[0])
 
 
 def typed_values(df: DataFrame, column: str, values: Iterable[str]) -> list[Column]:
@@ -441,7 +441,7 @@ def examples(df: DataFrame, test: Test, tables: dict[str, DataFrame], k: int = 3
     """Up to k failing rows as JSON, the same ones every time: the first by row hash, or by ``order``."""
     rows = failing_rows(df, test, tables)
     by = [F.col(c) for c in order] if order else [row_hash(rows)]
-    return rows.orderBy(*by).limit(k).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("example"))
+    return rows.orderBy(*by).limit(k).select(F.to_json(F.struct(*[named(c) for c in rows.columns])).alias("example"))
 
 
 def explain_failure(df: DataFrame, test: Test, tables: dict[str, DataFrame], order: Sequence[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ TESTS = "position int, table_name string, anchor string, test_type string, colum
 
 def test_profile(spark):
     df = spark.createDataFrame([(1, "a", [1], {"k": 1}, b"x"), (None, "b", [1], {"k": 1}, b"x"), (1, None, None, None, None)], "i int, s string, a array<int>, m map<string,int>, b binary")
-    got = {r["column"]: r for r in profile.column_stats(df, chunk=2).collect()}
+    got = {r["column"]: r for r in profile.column_stats(df).collect()}
     assert (got["i"]["non_null"], got["i"]["distinct_values"], got["i"]["nulls"], got["i"]["min_value"]) == (2, 1, 1, "1")
     assert got["s"]["max_value"] == "b"
     for c in ("a", "m", "b"):
