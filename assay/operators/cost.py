@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+
 TOKENS = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
 # fixed values: model name prefixes and their providers
 PROVIDERS = (("claude-", "anthropic"), ("gpt-", "openai"), ("gemini-", "gemini"))
@@ -57,19 +59,27 @@ def tokens_by_table_stage(all_calls: DataFrame) -> DataFrame:
 def nearest_earlier(left: DataFrame, right: DataFrame, key: str, seconds: int, left_ts: str = "timestamp", right_ts: str = "timestamp") -> DataFrame:
     """As-of join: each left row with the latest right row of its key at or before it, within a window.
 
-    Both sides are dealt by (key, time bucket of the window's length); a right row also goes to the
-    following bucket, so a hot key spreads over time and a bucket's work stays bounded by the window:
-    what one key does within two lengths of the window meets in one task, sorted and streamed, and
-    nothing more.
-    Right rows before a left row are found by one ordered window, without pairing rows.
+    A blocked prefix scan.  Both sides are sorted together into ranges of (key, time) of about equal
+    size, whatever share one key, one hour or one instant has (a hash of the row cuts instants).  Within a range, one
+    ordered window finds the last right row.  The last right row of each range is carried on into the
+    ranges of the same key that follow: one row for each range, so this is small by counting.  Of right
+    rows at one instant the one with the largest hash counts.  Rows without key or time match nothing.
     """
     columns = [c for c in right.columns if c not in (key, right_ts)]
-    b = lambda ts: F.floor(F.unix_micros(F.col(ts)) / (seconds * 1_000_000)).cast("long")
     facts = F.struct(F.col(right_ts).alias("ts"), *columns)
-    events = right.select(key, F.explode(F.array(b(right_ts), b(right_ts) + 1)).alias("_b"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), facts.alias("_right"), F.lit(None).cast(left.schema.simpleString()).alias("_left"))
-    asks = left.select(key, b(left_ts).alias("_b"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(facts.alias("f")).schema["f"].dataType.simpleString()).alias("_right"), F.struct(*left.columns).alias("_left"))
-    order = Window.partitionBy(key, "_b").orderBy("_t", "_side")
-    seen = events.unionByName(asks).withColumn("_last", F.last("_right", ignorenulls=True).over(order))
-    found = seen.where("_side = 1")
-    near = F.col("_last.ts") >= F.col("_t") - F.expr(f"INTERVAL {seconds} SECONDS")
-    return found.select("_left.*", F.when(near, F.col("_last.ts")).alias(f"matched_{right_ts}"), *[F.when(near, F.col(f"_last.{c}")).alias(f"matched_{c}") for c in columns])
+    none = lambda df, c: F.lit(None).cast(df.select(c.alias("c")).schema["c"].dataType)
+    asked = F.struct(*left.columns)
+    events = right.where(F.col(key).isNotNull() & F.col(right_ts).isNotNull()).select(key, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.xxhash64(*right.columns).alias("_tie"), facts.alias("_right"), none(left, asked).alias("_left"))
+    asks = left.select(key, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.monotonically_increasing_id().alias("_tie"), none(right, facts).alias("_right"), asked.alias("_left"))
+    order = ["_t", "_side", "_tie"]
+    # written, so that the ranges stay as they are in both uses
+    dealt = events.unionByName(asks).repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id())
+    dealt = materialise(dealt, "asof")
+    seen = dealt.withColumn("_last", F.last("_right", ignorenulls=True).over(Window.partitionBy(key, "_range").orderBy(*order)))
+    ends = dealt.groupBy(key, "_range").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_end"), F.count("*").alias("_n"))
+    carried = F.last("_end", ignorenulls=True).over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    carry = ends.withColumn("_carried", carried).where("_carried is not null").select(key, "_range", "_carried")
+    found = seen.where("_side = 1").join(F.broadcast(carry), [key, "_range"], "left")  # only keys that go on from one range to the next
+    last = F.coalesce("_last", "_carried")
+    found = found.withColumn("_last", F.when(last["ts"] >= F.col("_t") - F.expr(f"INTERVAL {seconds} SECONDS"), last))
+    return found.select("_left.*", F.col("_last.ts").alias(f"matched_{right_ts}"), *[F.col(f"_last.{c}").alias(f"matched_{c}") for c in columns])

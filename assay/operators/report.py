@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_sentence, truncate
-from .grades import artifact_grade, first_evidence, first_failing_criterion
+from .grades import artifact_grade
 
 WHY = 80
 TIERS = ("kept", "kept-uncertain", "dropped", "flagged")
@@ -18,25 +18,35 @@ def stray_tables(decisions: DataFrame, grades: DataFrame) -> DataFrame:
 
 
 def check_same_tables(decisions: DataFrame, grades: DataFrame) -> None:
-    """Grades must be of tables that have decisions."""
+    """Grades must be of tables that have decisions; ``tiers`` says the same while it runs."""
     if names := [r[0] for r in stray_tables(decisions, grades).limit(5).collect()]:
         raise ValueError(f"grades of tables without decisions: {names}")
 
 
+def _summed(grades: DataFrame) -> DataFrame:
+    """Score, verdict, first failing criterion with its reasoning, and first evidence of each artifact, from one grouping."""
+    bad = ~F.col("passed") | F.col("score").isNull()
+    evidence = F.when(F.trim("evidence") != "", F.col("evidence")) if "evidence" in grades.columns else F.lit(None).cast("string")
+    first = lambda what, which: F.min_by(what, F.when(which, F.col("pos")))
+    one = grades.withColumn("_e", evidence).groupBy("table_name", "artifact_id").agg(
+        F.round(F.avg("score"), 6).alias("score"), (F.bool_and("passed") & F.bool_and(F.col("score").isNotNull())).alias("passed"),
+        first(F.struct("criterion_id", "reasoning"), bad).alias("_f"), first("_e", F.col("_e").isNotNull()).alias("_evidence"),
+    )
+    return one.select("table_name", "artifact_id", "score", "passed", F.col("_f.criterion_id").alias("criterion_id"), F.col("_f.reasoning").alias("_because"), "_evidence")
+
+
 def tiers(decisions: DataFrame, grades: DataFrame) -> DataFrame:
     """Add score, passed, tier and tier_why to decisions (which have table_name and artifact_id).
 
     The text of a kept test is its rationale, else the first evidence of its grades, else why it was
-    kept.  Grades of tables without decisions are an error, found before anything is joined.
+    kept.  Grades of tables without decisions are an error.  Grades are grouped once, for all of this.
     """
-    check_same_tables(decisions, grades)
     by = ["table_name", "artifact_id"]
-    graded = decisions.join(artifact_grade(grades, "table_name"), by, "left")
-    graded = graded.join(first_failing_criterion(grades, "table_name").withColumnRenamed("reasoning", "_because"), by, "left")
-    if "evidence" in grades.columns:
-        graded = graded.join(first_evidence(grades, "table_name").withColumnRenamed("evidence", "_evidence"), by, "left")
-    else:
-        graded = graded.withColumn("_evidence", F.lit(None).cast("string"))
+    graded = decisions.join(_summed(grades), by, "left")
+    stray = stray_tables(decisions, grades).agg(F.min("table_name").alias("_stray"))
+    graded = graded.join(F.broadcast(stray))  # one row; the error comes with the rows, no job runs before
+    said = F.concat(F.lit("grades of tables without decisions: "), "_stray")
+    graded = graded.where(F.when(F.col("_stray").isNull(), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).drop("_stray")
     tier = (
         F.when(F.col("decision") == "dropped", "dropped")
         .when(F.col("reason") == "kept-without-evidence", "kept-uncertain")

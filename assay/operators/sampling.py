@@ -7,11 +7,12 @@ break up groups of duplicate keys; ``key_sample`` keeps them together and is wha
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import portable_hash, row_hash
+from ..functions.columns import named, portable_hash, row_hash
 from ..sources.scratch import materialise, shared_dir
 from ..sources.tables import PartitionFilter, exists, row_count, scan_partition
 
@@ -59,7 +60,42 @@ def sample_rows(df: DataFrame, n: int, bucket: int = 1, key: Sequence[str] | Non
     """The first n rows of the hash sample in hash order (ties by the columns): a top-n, not a sort."""
     h = _hash(df, key, portable)
     plain = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-    return hash_sample(df, bucket, key, portable).orderBy(h, *[F.col(f"`{c}`") for c in (key or plain)]).limit(n)
+    return hash_sample(df, bucket, key, portable).orderBy(h, *[named(c) for c in (key or plain)]).limit(n)
+
+
+#: Bits of the hash by which a bottom-k sample counts rows.
+_PREFIX = 16
+
+
+def bottom_k(df: DataFrame, n: int, key: Sequence[str] | None = None, portable: bool = False) -> DataFrame:
+    """The n rows with the smallest hashes, with the hash as ``_hash``: a sample of exactly n rows of a table of any size.
+
+    The rows of each hash prefix are counted, combined on the map side (65,536 counters, whatever the
+    table), which says what prefixes hold the first n; only their rows, about n, are then ordered.
+    Neither a row count nor a limit on the table's size is needed.  Samples of parts of a table can be
+    merged to the sample of the whole (``merge_samples``), as long as they have the same n and key.
+    Ties go by the columns; equal rows are the same row.
+    """
+    if n <= 0:
+        raise SampleError("a sample has at least one row")
+    hashed = df.withColumn("_hash", _hash(df, key, portable))
+    prefix = F.shiftright("_hash", (60 if portable else 64) - _PREFIX)
+    last, below = None, 0
+    for row in sorted(hashed.groupBy(prefix.alias("p")).count().collect()):  # a row for each prefix
+        last, below = row.p, below + row["count"]
+        if below >= n:
+            break
+    return _first(hashed.where(prefix <= last) if last is not None else hashed, n)
+
+
+def _first(hashed: DataFrame, n: int) -> DataFrame:
+    plain = [f.name for f in hashed.schema if f.name != "_hash" and f.dataType.typeName() not in ("map", "variant")]
+    return hashed.orderBy("_hash", *[named(c) for c in plain]).limit(n)
+
+
+def merge_samples(samples: Sequence[DataFrame], n: int) -> DataFrame:
+    """The bottom-k sample of the whole from those of its parts, of which a row may be in one only."""
+    return _first(reduce(DataFrame.unionByName, samples), n)
 
 
 def sample_id(table: str, n: int, by: PartitionFilter | None = None, version: str = "1") -> str:

@@ -110,8 +110,32 @@ def unevaluable_rules(spark, sf_dir):
     return found.groupBy("status", "failures", "evaluated_rows").agg(F.count("*").alias("tests"))
 
 
+_MIXED = ("o_orderkey <> o_orderstatus", "o_orderdate > o_orderpriority", "SELECT a.* FROM {{this}} a JOIN {{this}} b ON a.o_custkey = b.o_orderpriority", "o_orderkey < o_custkey", "CAST(o_orderkey AS string) = o_orderstatus")
+
+
+@query("SELECT i AS position, CASE WHEN i < 3 THEN 'error' ELSE 'ok' END AS status, CASE i WHEN 3 THEN (SELECT count(*) FROM orders WHERE o_orderkey < o_custkey) WHEN 4 THEN (SELECT count(*) FROM orders WHERE o_orderkey::VARCHAR = o_orderstatus) END AS failures, i < 3 AS incoherent FROM range(5) t(i)")
+def incoherent_rules(spark, sf_dir):
+    """Rules that compare columns of different families are kept without evidence, whatever the data."""
+    found = checks.evaluate(table(spark, sf_dir, "orders"), [Test("orders", "custom_sql", sql=r) for r in _MIXED], {})
+    return found.select(F.col("position").cast("long").alias("position"), "status", "failures", F.coalesce(F.col("why").contains("do not belong together"), F.lit(False)).alias("incoherent"))
+
+
 # verdicts --------------------------------------------------------------------------------------
 
+#: A rule that never ends, among others that do.
+_ENDLESS = Test("orders", "custom_sql", sql="SELECT o.* FROM {{this}} o JOIN range(1000000000000000) a ON a.id % 7 = 9")
+
+
+@query(
+    "SELECT 0 AS position, 'not_null' AS test_type, (SELECT count(*) FROM orders WHERE o_custkey IS NULL) AS failures, 'always-passes' AS reason UNION ALL SELECT 1, 'custom_sql', NULL, 'kept-without-evidence' "
+    "UNION ALL SELECT 2, 'custom_sql', (SELECT count(*) FROM orders WHERE o_totalprice > 100000), 'kept'"
+)
+def verdicts_budget(spark, sf_dir):
+    """A rule that would run for hours is cancelled at its limit and kept without evidence; the others are judged."""
+    tests = [Test("orders", "not_null", "o_custkey"), _ENDLESS, Test("orders", "custom_sql", sql="o_totalprice > 100000")]
+    return verdict.prune(table(spark, sf_dir, "orders"), tests, {}, timeout=12).select("position", "test_type", "failures", "reason")
+
+
 _SHOWN = ("position", "table_name", "anchor", "test_type", "failures", "evaluated_rows", "status", "reason", "decision")
 
 
@@ -187,6 +211,24 @@ def sample_topn(spark, sf_dir):
     return sampling.sample_rows(table(spark, sf_dir, "orders"), 100, 3, ["o_orderkey"], portable=True).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+_SQL_FIRST = f"SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY {_H.format(k='o_orderkey::VARCHAR')}, o_orderkey LIMIT 700"
+
+
+@query(_SQL_FIRST)
+def sample_bottom_k(spark, sf_dir):
+    """Exactly 700 rows, without counting the table."""
+    return sampling.bottom_k(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus"), 700, ["o_orderkey"], portable=True).drop("_hash")
+
+
+@query(_SQL_FIRST)
+def sample_merged(spark, sf_dir):
+    """The same sample from those of three parts, one of which came later."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    parts = [materialise(sampling.bottom_k(orders.where(F.col("o_orderkey") % 3 == k), 700, ["o_orderkey"], portable=True), "part") for k in range(3)]
+    earlier = sampling.merge_samples(parts[:2], 700)
+    return sampling.merge_samples([earlier, parts[2]], 700).drop("_hash")
+
+
 @query(f"SELECT count(*) AS failures FROM (SELECT * FROM lineitem WHERE {_H.format(k="l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR")} % 5 = 0) l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'O')")
 def sample_child_only(spark, sf_dir):
     child = sampling.hash_sample(table(spark, sf_dir, "lineitem"), 5, ["l_orderkey", "l_linenumber"], portable=True)
@@ -475,6 +517,20 @@ def propose_candidates(spark, sf_dir):
     return propose.propose_frame(profile.column_stats(table(spark, sf_dir, "customer")))
 
 
+_KEYED = {"nation": ("n_nationkey", "n_regionkey"), "customer": ("c_custkey", "c_nationkey"), "supplier": ("s_nationkey", "s_suppkey"), "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_suppkey")}
+
+
+@query(
+    "WITH v AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c}::BIGINT AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for t, cs in _KEYED.items() for c in cs) + "), "
+    """k AS (SELECT t, c, sum(n) AS r, count(*) AS d FROM v GROUP BY ALL), m AS (SELECT a.t AS ct, a.c AS cc, b.t AS pt, b.c AS pc, sum(a.n) AS n, count(*) AS d FROM v a JOIN v b ON a.v = b.v AND a.t <> b.t GROUP BY ALL)
+SELECT ct AS child_table, cc AS child_column, pt AS parent_table, pc AS parent_column, round(m.n / k1.r, 6)::DOUBLE AS contained, round(m.d / k2.d, 6)::DOUBLE AS coverage FROM m
+JOIN k k1 ON k1.t = ct AND k1.c = cc JOIN k k2 ON k2.t = pt AND k2.c = pc WHERE k2.r = k2.d AND m.n / k1.r >= 0.9"""
+)
+def reference_discovery(spark, sf_dir):
+    """References by data: also to keys that are not the first column, and whatever the names."""
+    return propose.references({t: table(spark, sf_dir, t, *cs) for t, cs in _KEYED.items()})
+
+
 _WRITTEN = [
     (0, "customer", "c_custkey", "unique", "{}"),
     (1, "customer", "c_custkey", "unique", "{}"),
@@ -511,9 +567,21 @@ def propose_and_prune(spark, sf_dir):
     return runs.propose_and_prune(customer, "customer", {"nation": table(spark, sf_dir, "nation")}).select("column", "test_type", "reason", "failures")
 
 
-@query("SELECT substr(sha256(string_agg(j, chr(10) ORDER BY j)), 1, 16) AS fingerprint FROM (SELECT to_json({'lang': lang, 'n': count(*), 'source': source}) AS j FROM documents GROUP BY source, lang)")
+_SQL_PRINT = """h AS (SELECT sha256(j) AS h FROM r), st AS (SELECT count(*) AS n, coalesce(sum(('0x' || substr(h, 1, 15))::BIGINT), 0) AS high, coalesce(sum(('0x' || substr(h, 16, 15))::BIGINT), 0) AS low FROM h)
+SELECT substr(sha256(n || ':' || high || ':' || low), 1, 16) AS fingerprint FROM st"""
+
+
+@query("WITH r AS (SELECT to_json({'doc_id': doc_id, 'lang': lang, 'source': source}) AS j FROM documents), " + _SQL_PRINT)
 def fingerprint(spark, sf_dir):
-    return identity.fingerprint(table(spark, sf_dir, "documents", "source", "lang").groupBy("source", "lang").agg(F.count("*").alias("n")))
+    return identity.fingerprint(table(spark, sf_dir, "documents", "doc_id", "source", "lang"))
+
+
+@query("WITH r AS (SELECT to_json({'doc_id': doc_id, 'lang': lang}) AS j FROM documents WHERE doc_id % 3 <> 1), " + _SQL_PRINT)
+def fingerprint_of_changes(spark, sf_dir):
+    """The print of a table after rows came and went, from the prints of these rows alone."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang")
+    state = lambda which: identity.fingerprint_state(docs.where(which))
+    return identity.fingerprint_of(identity.changed_state(state("doc_id % 3 < 2"), added=state("doc_id % 3 = 2"), removed=state("doc_id % 3 = 1")))
 
 
 # grades and tiers ------------------------------------------------------------------------------
@@ -676,6 +744,17 @@ def asof_pairing(spark, sf_dir):
     return cost.nearest_earlier(buys, views, "user_id", 2 * 86400, "ts", "ts").select("event_id", "matched_event_id")
 
 
+@query(
+    """WITH v AS (SELECT ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ts) SELECT p.event_id, v.value AS matched_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.ts >= v.ts"""
+)
+def asof_one_key(spark, sf_dir):
+    """All rows have one key: the last view, of any user, before each purchase."""
+    events = table(spark, sf_dir, "events", "event_id", "ts", "event_type", "value").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("all", F.lit(1))
+    views = events.where("event_type = 'view'").groupBy("all", "ts").agg(F.max("value").alias("value"))
+    buys = events.where("event_type = 'purchase'").select("event_id", "ts", "all")
+    return cost.nearest_earlier(buys, views, "all", 400 * 86400, "ts", "ts").select("event_id", "matched_value")
+
+
 def _response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A response log made from conversations.  Some records name no model, some have negative counts, some are too long."""
     log = fx.call_log(spark, sf_dir)
@@ -705,6 +784,17 @@ def append_audit(spark, sf_dir):
     return _written_log(spark, sf_dir)[1].select("response_text_hash")
 
 
+@query("SELECT conv_id % 2 AS half, count(*) AS n, count(DISTINCT conv_id || '-' || turn) AS records FROM conversations WHERE conv_id % 50 <> 7 AND conv_id % 10 NOT IN (3, 4) GROUP BY ALL")
+def append_audit_batches(spark, sf_dir):
+    """Two batches, of which one is appended twice, as after a failure: it is in the log once."""
+    path, records = new_path(spark, "log"), _response_records(spark, sf_dir)
+    half = F.element_at(F.split("response_text_hash", "-"), 1).cast("long") % 2
+    for k in (0, 1, 1):
+        audit.append_audit(records.where(half == k), path, batch_id=k)
+    log = audit.read_audit(spark, path, "response")
+    return log.groupBy(half.alias("half")).agg(F.count("*").alias("n"), F.count_distinct("response_text_hash").alias("records"))
+
+
 @query(_SQL_WRITTEN + " SELECT model_unique_id, model, count(*) AS n, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM sound GROUP BY ALL")
 def read_audit(spark, sf_dir):
     log = audit.read_audit(spark, _written_log(spark, sf_dir)[0], "response")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import LOGS, REQUIRED
+from .scratch import materialise
 
 #: Bytes that one record may take.
 RECORD_BYTES = 4000
@@ -18,7 +19,7 @@ _BAD = "_corrupt_record"
 def _raw(spark: SparkSession, paths: str | Sequence[str], kind: str) -> DataFrame:
     schema = T.StructType([*LOGS[kind].fields, T.StructField(_BAD, T.StringType())])
     rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", _BAD).json(paths)
-    return rows.select("*", F.col("_metadata.file_path").alias("_file"))
+    return rows.select(*schema.names, F.col("_metadata.file_path").alias("_file"))  # and no batch of append_audit
 
 
 def _problem(kind: str) -> Column:
@@ -44,10 +45,16 @@ def oversized(df: DataFrame, limit: int = RECORD_BYTES) -> Column:
     return F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) > limit
 
 
-def append_audit(df: DataFrame, path: str, limit: int = RECORD_BYTES) -> DataFrame:
-    """Append records to a log, by table; returns the records that are too long to be written."""
-    df.where(~oversized(df, limit)).write.mode("append").partitionBy("model_unique_id").json(path)
-    return df.where(oversized(df, limit))
+def append_audit(df: DataFrame, path: str, limit: int = RECORD_BYTES, batch_id: int | str | None = None) -> DataFrame:
+    """Append records to a log, by table; returns the records that are too long to be written.
+
+    The records are computed once, so a source that changes or draws random numbers loses and doubles none.
+    With a batch_id the batch has a folder of its own, which a repeated append of the batch replaces.
+    """
+    rows = materialise(df.withColumn("_long", oversized(df, limit)), "append")
+    target, mode = (path, "append") if batch_id is None else (f"{path.rstrip('/')}/batch={batch_id}", "overwrite")
+    rows.where(~F.col("_long")).drop("_long").write.mode(mode).partitionBy("model_unique_id").json(target)
+    return rows.where("_long").drop("_long")
 
 
 def write_report(df: DataFrame, path: str, by: str = "table_name") -> None:

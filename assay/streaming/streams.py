@@ -62,21 +62,25 @@ def check_batches(stream: DataFrame, tests: Sequence[Test], sink: Callable[[Data
 
     late: how far an event may lie behind the latest one that earlier batches saw.  Rows behind this
     watermark are tested like others and counted as late_rows, so they are not lost silently.  The
-    latest event is kept beside the checkpoint, one row for each batch, so a restart goes on from it
-    and a batch that runs again finds the watermark that it had.
+    latest event so far is kept beside the checkpoint in two places that batches write in turn: a batch reads
+    what the batch before it left, and one that runs again finds the watermark that it had.  So the ten
+    thousandth batch costs what the tenth did.
     """
-    marks = f"{checkpoint.rstrip('/')}-latest"
+    marks, kept = f"{checkpoint.rstrip('/')}-latest", "batch_id long, latest timestamp"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.persist()
-        kept = "batch_id long, latest timestamp"
-        seen = spark.read.schema(kept).parquet(marks).where(F.col("batch_id") < batch_id) if batch_id else spark.createDataFrame([], kept)
-        mark = seen.agg(F.max("latest") - F.expr(f"INTERVAL {late}")).first()[0]
-        facts = rows.agg(F.max(F.col(ts).cast("timestamp")), F.count_if(F.col(ts).cast("timestamp") < F.lit(mark).cast("timestamp"))).first()
-        sink(prune(rows, tests, tables or {}).withColumns({"batch_id": F.lit(batch_id).cast("long"), "late_rows": F.lit(facts[1] or 0).cast("long")}), batch_id)
-        spark.createDataFrame([(batch_id, facts[0])], kept).coalesce(1).write.mode("overwrite").parquet(f"{marks}/part={batch_id}")
-        rows.unpersist()
+        try:
+            seen = spark.read.schema(kept).parquet(f"{marks}/{(batch_id - 1) % 2}").where(F.col("batch_id") == batch_id - 1) if batch_id else spark.createDataFrame([], kept)
+            before = seen.agg(F.max("latest").alias("latest")).withColumn("mark", F.col("latest") - F.expr(f"INTERVAL {late}")).first()
+            at = F.col(ts).cast("timestamp")
+            facts = rows.agg(F.max(at), F.count_if(at < F.lit(before.mark).cast("timestamp"))).first()
+            sink(prune(rows, tests, tables or {}).withColumns({"batch_id": F.lit(batch_id).cast("long"), "late_rows": F.lit(facts[1] or 0).cast("long")}), batch_id)
+            latest = max((x for x in (before.latest, facts[0]) if x is not None), default=None)
+            spark.createDataFrame([(batch_id, latest)], kept).coalesce(1).write.mode("overwrite").parquet(f"{marks}/{batch_id % 2}")
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

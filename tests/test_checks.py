@@ -285,3 +285,17 @@ def test_tables_are_judged_at_the_same_time(spark, orders, customers):
     tests = {"orders": [Test("orders", "not_null", "amount")], "customers": [Test("customers", "unique", "id")]}
     got = verdict.prune_many(tests, {"orders": orders, "customers": customers}).collect()
     assert [r["table_name"] for r in sorted(got, key=lambda r: r["table_name"])] == ["customers", "orders"]
+
+
+@pytest.mark.parametrize("portable", [False, True])
+def test_bottom_k_samples_have_their_size_and_merge(spark, portable):
+    rows = spark.range(5000).selectExpr("id", "id % 7 AS v").union(spark.range(40).selectExpr("5 AS id", "1 AS v"))
+    ask = lambda df, n=300: sampling.bottom_k(df, n, portable=portable)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    whole = plain(ask(rows))
+    assert len(whole) == 300 == len(plain(ask(rows.repartition(11)))) and whole == plain(ask(rows.repartition(11)))
+    halves = [ask(rows.where(f"v {sign} 3")) for sign in ("<", ">=")]
+    assert plain(sampling.merge_samples(halves, 300)) == whole
+    assert len(plain(ask(rows, 9999))) == 5040 and plain(ask(rows.where("false"))) == []
+    with pytest.raises(sampling.SampleError):
+        ask(rows, 0)

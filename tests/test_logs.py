@@ -69,6 +69,45 @@ def test_nearest_earlier_against_brute_force(spark):
     assert got.count() == 200
 
 
+def test_one_key_with_all_rows_is_dealt_to_ranges(spark):
+    """Also if all rows share an instant; the same result whatever the number of ranges."""
+    import random
+
+    r = random.Random(2)
+    at = lambda: T0 + dt.timedelta(seconds=r.choice([50, 50, 50, r.randrange(400)]))
+    left = [(i, "hot" if i % 9 else None, None if i % 31 == 0 else at()) for i in range(600)]
+    right = [(i, "hot" if i % 7 else "cold", at()) for i in range(300)] + [(900, None, T0), (901, "hot", None)]
+    a, b = spark.createDataFrame(left, "l int, k string, timestamp timestamp"), spark.createDataFrame(right, "r int, k string, timestamp timestamp")
+    results = []
+    for parts in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        out = cost.nearest_earlier(a, b, "k", 60)
+        results.append(sorted((x["l"], str(x["matched_timestamp"]), x["matched_r"] or -1) for x in out.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] and len(results[0]) == 600
+    for l, when, _ in results[0]:
+        _, k, t = left[l]
+        near = [x[2] for x in right if k and t and x[1] == k and x[2] and dt.timedelta(0) <= t - x[2] <= dt.timedelta(seconds=60)]
+        assert when == str(max(near, default=None))
+
+
+def test_appending_computes_its_records_once(spark, tmp_path):
+    """Records that are drawn anew each time are written or returned, never both and never neither."""
+    path = str(tmp_path / "log")
+    drawn = spark.range(400).select(F.col("id").cast("string").alias("record_id"), F.lit("m").alias("model_unique_id"), F.when(F.rand() < 0.5, F.repeat(F.lit("x"), 5000)).alias("reason"))
+    long = audit.append_audit(drawn, path)
+    kept = spark.read.json(path).select(F.col("record_id").cast("string"))
+    assert sorted(r[0] for r in kept.union(long.select("record_id")).collect()) == sorted(map(str, range(400))) and 100 < long.count() < 300
+
+
+def test_a_repeated_batch_is_appended_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    batch = rows(spark, 6)
+    for k in ("a", "b", "a"):
+        audit.append_audit(batch, path, batch_id=k)
+    assert spark.read.json(path).groupBy("batch").count().orderBy("batch").collect() == [("a", 6), ("b", 6)]
+
+
 def rows(spark, n=40):
     return spark.createDataFrame([(T0 + dt.timedelta(hours=i), f"m{i % 2}", "kept" if i % 4 else "dropped", "x", f"r{i % 30}") for i in range(n)], "timestamp timestamp, model_unique_id string, decision string, reason string, record_id string")
 
@@ -110,3 +149,17 @@ def test_batches_are_tested(spark, stream):
     query = streams.check_batches(stream, [Test("log", "accepted_values", "decision", ("kept",)), Test("log", "not_null", "nothing")], lambda d, i: out.extend(d.collect()), new_path(spark, "state"), late="1 day")
     query.awaitTermination()
     assert {(r["test_type"], r["failures"], r["reason"], r["late_rows"]) for r in out} == {("accepted_values", 10, "kept", 0), ("not_null", None, "kept-without-evidence", 0)}
+
+
+def test_many_batches_leave_two_marks_and_go_on_after_a_restart(spark, tmp_path):
+    """A batch reads one row of the batch before it, whatever their number."""
+    source, state, seen = str(tmp_path / "in"), str(tmp_path / "state"), []
+    schema = "timestamp timestamp, decision string"
+    for k in range(5):
+        spark.createDataFrame([(T0 + dt.timedelta(hours=h), "kept") for h in (20 - 4 * k, 30 + k)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        tests = [Test("log", "not_null", "decision")]
+        streams.check_batches(stream, tests, lambda d, i: seen.extend(d.collect()), state, late="12 hours").awaitTermination()
+    assert [(r["batch_id"], r["evaluated_rows"], r["late_rows"]) for r in seen] == [(0, 2, 0), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1)]
+    assert sorted(p.name for p in (tmp_path / "state-latest").iterdir()) == ["0", "1"]
+    assert spark.read.parquet(f"{state}-latest/0").collect() == [(4, T0 + dt.timedelta(hours=34))]

@@ -118,7 +118,8 @@ def test_proposals_look_at_all_rows(spark):
         got = propose.propose_candidates(df, "t", profile.column_stats(df), {"u": spark.range(10).toDF("x_id")})
         assert [t.values for t in got if t.type == "accepted_values"] == [("a", "b", "c")]
         assert not [t for t in got if t.type == "relationships"]
-        assert propose._contained(df, "u_id", spark.range(10).toDF("x_id"), "x_id") == pytest.approx(2 / 3)
+        found = {r.child_column: r.contained for r in propose.references({"t": df, "x": spark.range(10).toDF("x_id")}, 0.5).collect() if r.child_table == "t"}
+        assert found["u_id"] == pytest.approx(2 / 3, abs=1e-6)
 
 
 GRADES = "table_name string, artifact_id string, criterion_id string, pos int, score double, passed boolean, reasoning string"
@@ -199,9 +200,32 @@ def test_numbers_of_repeats_go_through_ranges(spark, monkeypatch):
     assert [int((got[i].split(":") + ["0"])[1]) for i in range(30) if i % 3] == list(range(20))
 
 
-def test_fingerprints_are_of_small_sets(spark, monkeypatch):
-    a = identity.fingerprint(spark.range(5)).first()[0]
-    assert a == identity.fingerprint(spark.range(5).orderBy(F.desc("id"))).first()[0] != identity.fingerprint(spark.range(6)).first()[0]
-    monkeypatch.setattr(identity, "FINGERPRINT_ROWS", 4)
-    with pytest.raises(ValueError):
-        identity.fingerprint(spark.range(5))
+def test_fingerprints_are_of_multisets(spark):
+    prints = lambda df: identity.fingerprint(df).first()[0]
+    a = prints(spark.range(5))
+    assert a == prints(spark.range(5).orderBy(F.desc("id")).repartition(3)) != prints(spark.range(6))
+    assert prints(spark.range(5).union(spark.range(2))) not in (a, prints(spark.range(5).union(spark.range(1, 3))))
+    state = identity.fingerprint_state
+    changed = identity.changed_state(state(spark.range(4)), added=state(spark.range(3, 5)), removed=state(spark.range(3, 4)))
+    assert identity.fingerprint_of(changed).first()[0] == a
+    assert prints(spark.range(0)) == prints(spark.range(3).where("false"))
+    plan = identity.fingerprint(spark.range(200_000))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and prints(spark.range(200_000, numPartitions=3)) == prints(spark.range(200_000, numPartitions=7))
+
+
+def test_references_are_found_by_values(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "supplier": frame([(f"n{i}", i, "x") for i in range(20)], "name string, s_key long, `it's` string"),
+        "line": frame([(i % 15, f"n{i % 4}", i % 2 == 0, None) for i in range(60)], "l_supp int, label string, flag boolean, nothing long"),
+        "dup": frame([(i % 10,) for i in range(20)], "k long"),
+        "mostly": frame([(i if i < 19 else 99,) for i in range(20)], "v short"),
+    }
+    got = {tuple(r)[:4]: (r.contained, r.coverage) for r in propose.references(tables).collect()}
+    assert got == {
+        ("line", "l_supp", "supplier", "s_key"): (1.0, 0.75), ("line", "label", "supplier", "name"): (1.0, 0.2), ("dup", "k", "supplier", "s_key"): (1.0, 0.5), ("dup", "k", "mostly", "v"): (1.0, 0.5),
+        ("line", "l_supp", "mostly", "v"): (1.0, 0.75), ("mostly", "v", "supplier", "s_key"): (0.95, 0.95), ("supplier", "s_key", "mostly", "v"): (0.95, 0.95),
+    }
+    assert propose.references({"a": spark.range(0), "b": spark.range(0)}).collect() == []
+    tests = propose.propose_candidates(tables["line"], "line", profile.column_stats(tables["line"]), {"supplier": tables["supplier"]})
+    assert [(t.column, t.to, t.field) for t in tests if t.type == "relationships"] == [("l_supp", "supplier", "s_key")]
