@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of ASCII letters, digits and bytes above 127, with A-Z folded.  A document and a
-benchmark item that share a seed (``least`` words in a row) and whose shared seeds could cover
+benchmark item that share a seed (``least`` words in a row; a shorter item is one seed as a whole) and whose shared seeds could cover
 enough of the item become a candidate.  Greedy string tiling then marks the longest common word
 runs that overlap no marked run, longest first, down to ``least`` words; the windows of each
 length are found by Karp-Rabin hashes over prefix sums and confirmed word by word.  Tiles may come
@@ -11,11 +11,11 @@ an item if its tiles cover at least ``share`` of the item's words.
 The benchmark is cut into words and seeds by the executors.  If it has at most BROADCAST_WORDS words
 (8 bytes each, counted first), it is broadcast with an index of its seeds, and the documents are
 only mapped: no shuffle, and a hot document or passage stays in its own row.  A larger benchmark is
-never broadcast: the documents' distinct seeds are joined with the items' by Spark, whose skew join
-splits hot seeds, and only the candidate pairs are tiled.
+never broadcast: the documents' distinct seeds are joined with each item's rarest ones,
+and only the candidate pairs are tiled.
 
 Defined cases: null and empty texts have no tiles; very long texts are searched whole; an item of
-fewer than ``least`` words can not form a tile and contaminates nothing; of equally long runs the
+fewer than ``least`` words contaminates what has all of it in a row, one without words nothing; of equally long runs the
 one that begins first in the item, then in the text, is marked first; items and documents that
 repeat each report; rows are never dropped by ``find``; ``clean`` keeps a row with a null id unless
 it is itself contaminated; an empty benchmark or table gives no matches; other columns of either
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, materialise
@@ -102,7 +102,7 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[i
 
 
 class Items:
-    """Benchmark items with an index of their seeds."""
+    """Benchmark items with an index of their seeds, which have ``least`` words."""
 
     def __init__(self, rows: list[tuple[object, np.ndarray]], least: int):
         self.rows, self.least = rows, least
@@ -147,7 +147,7 @@ class Items:
                 continue
             tiles = tile(item, text, self.least)
             covered = sum(t[2] for t in tiles)
-            if covered >= share * len(item):
+            if covered >= share * len(item):  # of a short item, all
                 yield int(i), len(tiles), covered
 
 
@@ -156,8 +156,8 @@ def mixed_gaps(n: int) -> np.ndarray:
     return np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 
 
-def item_words(benchmark: DataFrame, least: int) -> DataFrame:
-    """(item, item_id, n, words) of the items that can form a tile; words are 64-bit hashes."""
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, n, words) of the items that have words, as 64-bit hashes."""
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def item_words(benchmark: DataFrame, least: int) -> DataFrame:
             for first, data, offsets in buffers(batch.column(2)):
                 words, starts = hash_words(data, offsets, separator=PUNCTUATION)
                 own = [words[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                keep = pa.array([len(w) >= least for w in own])
+                keep = pa.array([len(w) > 0 for w in own])
                 part = batch.slice(first, len(own))
                 made = [part.column(0), part.column(1), pa.array([len(w) for w in own], pa.int64()), pa.array([w.tobytes() for w in own], pa.binary())]
                 yield pa.RecordBatch.from_arrays(made, ["item", "item_id", "n", "words"]).filter(keep)
@@ -182,46 +182,68 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "item_id", "n_tiles", "covered", "coverage"])
 
 
-def _small(benchmark: DataFrame, least: int) -> tuple[DataFrame, Items | None]:
-    """The items' words as a table, and their index if they are few enough to be broadcast."""
-    items = materialise(item_words(benchmark, least), "items")
+def _by_seed(rows: list[tuple[object, np.ndarray]], least: int) -> list[Items]:
+    """An index for each length of seeds: ``least``, and what shorter items have."""
+    lengths = sorted({min(least, len(w)) for _, w in rows})
+    return [Items([r for r in rows if min(least, len(r[1])) == n], n) for n in lengths]
+
+
+def _small(benchmark: DataFrame, least: int) -> tuple[DataFrame, list[Items] | None]:
+    """The items' words as a table, and their indexes if they are few enough to be broadcast."""
+    items = materialise(item_words(benchmark), "items")
     if items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] > BROADCAST_WORDS:
         return items, None
     rows = items.select("item_id", "words").collect()  # BROADCAST_WORDS words at most
     discard(items)
-    return items, Items([(r["item_id"], np.frombuffer(r["words"], np.uint64)) for r in rows], least)
+    return items, _by_seed([(r["item_id"], np.frombuffer(r["words"], np.uint64)) for r in rows], least)
 
 
 def _by_join(docs: DataFrame, items: DataFrame, share: float, least: int) -> DataFrame:
-    """Matches of (row, text) with the items by a join of their seeds."""
+    """Matches of (row, text) with the items by a join of their seeds.
+
+    A match needs ``share`` of an item's words under its seeds, so at least q of its T seed places; then it has one of the
+    T - q + 1 places whose seeds are rarest among the documents.  Only these are joined into pairs, so
+    a seed that most documents and items have makes pairs only where an item has nothing rarer.
+    Each candidate document's text is fetched once, with all its candidate items.
+    """
+    lengths = sorted(r[0] for r in items.select(F.least("n", F.lit(least))).distinct().collect())  # least rows at most
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in buffers(batch.column(1)):
                 words, starts = hash_words(data, offsets, separator=PUNCTUATION)
                 for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-                    own = np.unique(ngram_hashes(words[a:b], least)).view(np.int64)
+                    own = np.unique(np.concatenate([ngram_hashes(words[a:b], n) for n in lengths])).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[first + k].as_py())), pa.array(own)], ["row", "seed"])
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, n, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own, times = np.unique(ngram_hashes(np.frombuffer(words, np.uint64), least), return_counts=True)
+                own, times = np.unique(ngram_hashes(np.frombuffer(words, np.uint64), min(least, n)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), item)), pa.array(np.full(len(own), n)), pa.array(times)], ["seed", "item", "n", "times"])
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                row, item_id, words = (batch.column(i)[k].as_py() for i in range(3))
-                one = Items([(item_id, np.frombuffer(words, np.uint64))], least)
-                out += [(row, item_id, tiles, covered, covered / len(one.rows[0][1])) for _, _, tiles, covered in matches(one, batch.column(3).slice(k, 1), share)]
+                row, held = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                for one in _by_seed([(h["item_id"], np.frombuffer(h["words"], np.uint64)) for h in held], least):
+                    found = matches([one], batch.column(1).slice(k, 1), share)
+                    out += [(row, item[0], tiles, covered, covered / len(item[1])) for _, item, tiles, covered in found]
             yield _found(out)
 
-    known = items.select("item", "n", "words").mapInArrow(of_items, "seed long, item long, n long, times long")
-    met = docs.mapInArrow(seeds, "row long, seed long").join(known, "seed").groupBy("row", "item").agg((F.sum("times") * least).alias("most"), F.first("n").alias("n"))
-    pairs = met.where(F.col("most") >= share * F.col("n")).select("row", "item").join(items, "item").join(docs, "row")
-    return pairs.select("row", "item_id", "words", "text").mapInArrow(tiled, _FOUND)
+    known = materialise(items.select("item", "n", "words").mapInArrow(of_items, "seed long, item long, n long, times long"), "item-seeds")
+    wanted = known.select("seed").distinct()
+    met = materialise(docs.mapInArrow(seeds, "row long, seed long").join(wanted, "seed", "left_semi"), "met-seeds")
+    often = met.groupBy("seed").agg(F.count("*").alias("m"))
+    rarest = Window.partitionBy("item").orderBy("m", "seed")  # the seeds of one item
+    ranked = known.join(often, "seed").withColumn("before", F.sum("times").over(rarest) - F.col("times")).withColumn("total", F.sum("times").over(Window.partitionBy("item")))
+    # seeds that no document has are not in ``ranked``: the places that are left must still hold q
+    need = F.ceil(F.col("n") * share / F.least("n", F.lit(least)) - 1e-9)
+    prefix = ranked.where(F.col("before") <= F.col("total") - need).select("seed", "item")
+    pairs = met.join(prefix, "seed").select("row", "item").distinct()  # Spark's skew join splits what is still hot
+    gathered = pairs.join(items.select("item", "item_id", "words"), "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "words")).alias("held"))  # the candidates of one text
+    return docs.join(gathered, "row").select("row", "text", "held").mapInArrow(tiled, _FOUND)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -237,29 +259,29 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, i, tiles, covered in matches(sent.value, batch.column(1), share):
-                item = sent.value.rows[i]
+            for row, item, tiles, covered in matches(sent.value, batch.column(1), share):
                 out.append((batch.column(0)[row].as_py(), item[0], tiles, covered, covered / len(item[1])))
             yield _found(out).rename_columns(["doc_id", "item_id", "n_tiles", "covered", "coverage"])
 
     return docs.mapInArrow(run, _FOUND.replace("row", "doc_id"))
 
 
-def matches(items: Items, texts: pa.Array, share: float) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, tiles, covered) of every contaminated text of a column."""
+def matches(indexes: list[Items], texts: pa.Array, share: float) -> Iterator[tuple[int, tuple, int, int]]:
+    """(row, item, tiles, covered) of every contaminated text of a column; an item is (item_id, words)."""
     for first, data, offsets in buffers(texts):
         words, starts = hash_words(data, offsets, separator=PUNCTUATION)
-        grams = ngram_hashes(words, items.least)
-        hits = items.hits(grams)
-        if not len(hits):
-            continue
-        row = np.searchsorted(starts, hits, "right") - 1
-        whole = hits + items.least <= starts[row + 1]  # the seed ends in the text where it begins
-        hits, row = hits[whole], row[whole]
-        for r in np.unique(row):
-            a, b = int(starts[r]), int(starts[r + 1])
-            for i, tiles, covered in items.judge(words[a:b], grams[a : b - items.least + 1], hits[row == r] - a, share):
-                yield first + int(r), i, tiles, covered
+        for items in indexes:
+            grams = ngram_hashes(words, items.least)
+            hits = items.hits(grams)
+            if not len(hits):
+                continue
+            row = np.searchsorted(starts, hits, "right") - 1
+            whole = hits + items.least <= starts[row + 1]  # the seed ends in the text where it begins
+            hits, row = hits[whole], row[whole]
+            for r in np.unique(row):
+                a, b = int(starts[r]), int(starts[r + 1])
+                for i, tiles, covered in items.judge(words[a:b], grams[a : b - items.least + 1], hits[row == r] - a, share):
+                    yield first + int(r), items.rows[i], tiles, covered
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:

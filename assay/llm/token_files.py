@@ -18,7 +18,8 @@ Ids come from the tokenizers library.  Texts are cut where every match of the by
 pattern ends, into words that a space may lead; a bounded memory maps a word to the ids the library
 gives for it.  For a tokenizer with other splitting texts go to the library whole.
 
-Defined cases: null and empty texts have only the end id; very long texts are cut into words window by
+Defined cases: the string of a special token in a text is that token, as the library has it, and such texts
+go to the library whole; null and empty texts have only the end id; very long texts are cut into words window by
 window; rows without doc_id come first; rows that repeat an id follow in the order of their texts'
 hash (ties are equal texts); every row is written; an empty table gives files without rows; only
 doc_id and text are read, so other columns may have any name.
@@ -273,10 +274,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         made = json.loads(self.library.to_str())
+        self.added = [t["content"] for t in made["added_tokens"] if t["content"]]
         cut = made["pre_tokenizer"] or {}
-        self.by_words = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not any(made[k] for k in ("normalizer", "post_processor", "truncation", "padding"))
+        self.by_words = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not any(made[k] for k in ("normalizer", "post_processor", "truncation", "padding")) and not any("\n" in t for t in self.added)
         feed = self._whole(["\n"])[0]
         self.feed = feed[0] if len(feed) == 1 else None
         self.words = Words()
@@ -337,6 +338,13 @@ class PieceEncoder:
         """The ids of each text of a large_string array without nulls."""
         if not self.by_words:
             return [np.array(x, np.uint32) for x in self._whole(texts.to_pylist())]
+        special = np.zeros(len(texts), bool)
+        for t in self.added:
+            special |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        if special.any():  # the library looks for these strings before it splits
+            whole = iter(self._whole(texts.filter(pa.array(special)).to_pylist()))
+            words = iter(self.encode(texts.filter(pa.array(~special))))
+            return [np.array(next(whole), np.uint32) if z else next(words) for z in special.tolist()]
         _, where, raw = texts.buffers()
         offsets = np.frombuffer(where, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)

@@ -447,9 +447,9 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(token_files.default_tokenizer())
-    tok.encode_special_tokens = True
     r = random.Random(3)
-    texts = TEXTS + ["".join(r.choice("ab '1.\n\t ") for _ in range(50)) for _ in range(60)] + TEXTS[9:10] * 30
+    texts = TEXTS + ["".join(r.choice("ab '1.\n\t ") for _ in range(50)) for _ in range(60)] + TEXTS[9:10] * 30 + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "word " * 50 + "<|endoftext|>\n word"]
+    assert tok.encode(texts[-4], add_special_tokens=False).ids == [64, 220, 50256, 275]
     ids = [*range(len(texts))]
     r.shuffle(ids)
     ids[7], ids[8] = None, None
@@ -602,14 +602,17 @@ def test_decontamination(spark, monkeypatch):
         6: rest + "".join(f" {item[i]} x" for i in range(40)),
         7: " ".join(item + ["and"] + other),
         8: " ".join(words_of(30_000, 5)) + " " + " ".join(item),
+        9: rest + " it is TOO, short! " + rest,
+        10: "too much, short",
+        11: "Word",
     }
     docs = spark.createDataFrame([(k, t, 9, "x") for k, t in texts.items()] + [(None, texts[0], 9, "x"), (0, texts[0], 9, "x")], "doc_id long, text string, item_id long, coverage string")
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "too short"), (4, None), (None, " ".join(other))], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "too short"), (4, None), (None, " ".join(other)), (5, "word"), (6, "one two three four"), (7, "?!")], "item_id long, text string")
     for most in (1_000_000, 35):  # broadcast, and joined
         monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", most)
         got = sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["item_id"] is None else r["item_id"]) for r in decontaminate.find(docs, bench).collect())
-        assert got == sorted([(0, 1), (0, 1), (-1, 1), (2, 1), (7, 1), (7, 2), (7, -1), (8, 1)])
-        assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 4, 5, 6]
+        assert got == sorted([(0, 1), (0, 1), (-1, 1), (2, 1), (7, 1), (7, 2), (7, -1), (8, 1), (9, 3), (11, 5)])
+        assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 4, 5, 6, 10]
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs.limit(0), bench).count() == 0
 
