@@ -46,8 +46,9 @@ WINDOW = 13
 GRAM, RUN = 6, 8
 #: Words of a shard about; an anchor with more than a quarter of a shard is dealt to several.
 SHARD_WORDS, LEAST_WORDS = 400_000, 4096
-#: Digests that may be broadcast to pick texts (32 bytes each); beyond it the join shuffles.
-BROADCAST_DIGESTS = 500_000
+#: Digests that may be broadcast to pick texts (32 bytes each), and anchors and numbers of texts (8 bytes each);
+#: beyond that the joins shuffle.
+BROADCAST_DIGESTS, BROADCAST_ANCHORS = 500_000, 2_000_000
 _LAST = (1 << 63) - 1
 _GAPS = re.compile(rb"[ \t\n\r\x0b\x0c]+")
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -143,15 +144,24 @@ def _plain(text: bytes) -> bytes:
     return b" ".join(text.split()) if len(text) < 1 << 20 else _GAPS.sub(b" ", text).strip(b" \t\n\r\x0b\x0c")
 
 
-def _anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """The anchor of each window."""
+def _anchors(words: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, anchor) of each window of some texts; text i has the words first[i] to first[i + 1]."""
     low = ngram_hashes(words, gram)
     width, have = window - gram + 1, 1  # runs of a window, and those that ``low`` is the smallest of
-    while have < width:
+    while have < width and len(low) > have:
         step = min(have, width - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    return low
+    windows = np.maximum(np.diff(first) - window + 1, 0)
+    text = np.repeat(np.arange(len(windows)), windows)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    return text, place, low[first[text] + place].view(np.int64)
+
+
+def _joined(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts of a buffer with their words joined by one space, and where each begins and ends."""
+    plain = [_plain(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return b"".join(plain), np.cumsum([0, *map(len, plain)])
 
 
 def _order(doc_id: str) -> Column:
@@ -168,13 +178,18 @@ def _scan(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in buffers(batch.column(2)):
-                words, at = hash_words(data, offsets, lower=False)
+            for row, data, offsets in buffers(batch.column(2)):
+                words, first = hash_words(data, offsets, lower=False)
                 n = len(offsets) - 1
-                sha = [hashlib.sha256(_plain(data[a:b].tobytes())).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                found = [np.unique(_anchors(words[a:b], window, gram)).view(np.int64) if b - a >= window else np.empty(0, np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(np.diff(at).astype(np.int64)), pa.array(sha), lists], ["doc_id", "digest", "n_words", "sha", "anchors"])
+                plain, edge = _joined(data, offsets)
+                sha = [hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                text, _, anchor = _anchors(words, first, window, gram)
+                order = np.lexsort((anchor, text))
+                text, anchor = text[order], anchor[order]
+                new = np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])][: len(text)]
+                text, anchor = text[new], anchor[new]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.array(anchor))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(first).astype(np.int64)), pa.array(sha), lists], ["doc_id", "digest", "n_words", "sha", "anchors"])
 
     return _read(docs).mapInArrow(run, "doc_id long, digest binary, n_words long, sha string, anchors array<long>")
 
@@ -184,14 +199,21 @@ def _passages(near: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, o, text, hs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                plain = _plain(text.as_buffer().to_pybytes())
-                data = np.frombuffer(plain, np.uint8)
-                words, _ = hash_words(data, np.array([0, len(data)]), lower=False)
-                edge = np.r_[0, np.flatnonzero(data == 32) + 1, len(data) + 1]
-                anchor = _anchors(words, window, gram).view(np.int64)
-                shared = np.isin(anchor, hs.values.to_numpy())
-                new = np.r_[True, anchor[1:] != anchor[:-1]]
+            for row, data, offsets in buffers(batch.column(2)):
+                n = len(offsets) - 1
+                c, o = (batch.column(i).to_numpy()[row : row + n] for i in (0, 1))
+                plain, edge = _joined(data, offsets)
+                whole = np.frombuffer(plain, np.uint8)
+                words, first = hash_words(whole, edge, lower=False)
+                starts = np.flatnonzero(whole == 32) + 1
+                starts = np.insert(starts, np.searchsorted(starts, edge[:-1][np.diff(first) > 0]), edge[:-1][np.diff(first) > 0])
+                ends = np.r_[starts[1:], len(whole) + 1] - 1  # the space behind, which the last word of a text has not
+                ends[first[1:][np.diff(first) > 0] - 1] += 1
+                ends[-1:] = len(whole)
+                text, place, anchor = _anchors(words, first, window, gram)
+                # an anchor that one of the texts shares, all share
+                shared = np.isin(anchor, pc.list_flatten(batch.column(3).slice(row, n)).to_numpy(zero_copy_only=False))
+                new = np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])][: len(text)]
                 begin = np.flatnonzero(new)
                 new |= (np.arange(len(anchor)) - np.repeat(begin, np.diff(np.r_[begin, len(anchor)]))) % RUN == 0
                 begin = np.flatnonzero(new)
@@ -200,27 +222,30 @@ def _passages(near: DataFrame, window: int, gram: int) -> DataFrame:
                 begin, size = begin[keep], size[keep]
                 for k in range(0, len(begin), 1 << 16):
                     s, m = begin[k : k + (1 << 16)], size[k : k + (1 << 16)]
-                    content = [plain[a:b] for a, b in zip(edge[s].tolist(), (edge[s + m + window - 1] - 1).tolist(), strict=True)]
+                    head = first[text[s]] + place[s]
+                    content = [plain[a:b] for a, b in zip(starts[head].tolist(), ends[head + m + window - 2].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(s), c)), pa.array(np.full(len(s), o)), pa.array(s.astype(np.int64)), pa.array(m.astype(np.int32)), pa.array(anchor[s]), pa.array(content, pa.binary()).cast(pa.string())],
+                        [pa.array(c[text[s]]), pa.array(o[text[s]]), pa.array(place[s]), pa.array(m.astype(np.int32)), pa.array(anchor[s]), pa.array(content, pa.binary()).cast(pa.string())],
                         ["c", "o", "start", "windows", "h", "content"],
                     )
 
     return near.select("c", "o", "text", "hs").mapInArrow(run, "c long, o long, start long, windows int, h long, content string")
 
 
-def _dealt(contents: DataFrame, words: int, n: int, window: int) -> DataFrame:
+def _dealt(contents: DataFrame, words: int, window: int, scratch: list[DataFrame]) -> DataFrame:
     """Passages with their shard, and the windows to look at there as bits."""
     spark = contents.sparkSession
     shards = max(-(-words // SHARD_WORDS), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     most = max(LEAST_WORDS, words // shards // 4)
-    sizes = contents.groupBy("h").agg(F.sum(F.col("windows") + (window - 1)).alias("words"), F.count("*").alias("m"))
-    sized = join_by_key(contents.withColumnRenamed("m", "rows"), sizes, ["h"], n)
-    parts = F.ceil(F.col("words") * RUN / most)
+    sizes = contents.groupBy("h").agg(F.sum(F.col("windows") + (window - 1)).alias("words")).where(F.col("words") > most)  # at most 4 a shard, by counting
+    large, some = measured(sizes, "repeat-large")
+    scratch.append(large)
+    large = F.broadcast(large) if some.n <= BROADCAST_ANCHORS else large
+    contents = contents.withColumnRenamed("m", "rows")
     columns = ["h", "k", "lo", "hi", "rows", "content"]
-    one = sized.where(F.col("words") <= most).select(*columns, F.lit((1 << RUN) - 1).alias("look"), F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
+    one = contents.join(large, "h", "left_anti").select(*columns, F.lit((1 << RUN) - 1).alias("look"), F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
     # lo, hi and the keys stay as they are; part numbers go through a hash with h, so the parts of an anchor lie anywhere
-    many = sized.where(F.col("words") > most).select(*columns, parts.alias("parts"))
+    many = contents.join(large, "h").select(*columns, F.ceil(F.col("words") * RUN / most).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,21 +329,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     classes, all_ = measured(scanned, "repeat-classes", F.sum(F.size("anchors")).alias("anchors"), F.sum("m").alias("rows"))
     held = classes.select("c", "o", F.explode("anchors").alias("h"))
     shared = held.groupBy("h").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
-    shared = materialise(shared, "repeat-anchors")
-    wanted = join_by_key(held.select("c", "h"), shared, ["h"], all_.anchors or 0).groupBy("c").agg(F.collect_list("h").alias("hs"))
+    shared, anchors = measured(shared, "repeat-anchors")
+    mine = held.select("c", "h")
+    mine = mine.join(F.broadcast(shared.select("h")), "h") if anchors.n <= BROADCAST_ANCHORS else join_by_key(mine, shared, ["h"], all_.anchors or 0)
+    wanted = mine.groupBy("c").agg(F.collect_list("h").alias("hs"))
     wanted, some = measured(wanted.join(classes.select("c", "o", "digest"), "c"), "repeat-wanted")
     digests = wanted.select("digest")
     texts = _read(docs).select("digest", "text").join(F.broadcast(digests) if some.n <= BROADCAST_DIGESTS else digests, "digest", "left_semi")
     near = materialise(texts.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest").select("c", "o", "text", "hs"), "repeat-texts")
-    passages, every = measured(_passages(near, window, GRAM).withColumn("k", F.xxhash64("content")), "repeat-passages")
+    for old in (shared, wanted):
+        discard(old)
+    passages = _passages(near, window, GRAM).withColumn("k", F.xxhash64("content"))  # cut twice, rather than written
     contents = passages.groupBy("h", "k").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("*").alias("m"), F.first("windows").alias("windows"), F.first("content").alias("content"))
-    contents, size = measured(contents, "repeat-contents", F.sum(F.col("windows") + (window - 1)).alias("words"))
-    found = materialise(_searched(_dealt(contents, size.words or 0, size.n, window), window), "repeat-found")
+    contents, size = measured(contents, "repeat-contents", F.sum(F.col("windows") + (window - 1)).alias("words"), F.sum("m").alias("rows"))
+    scratch = [contents]
+    found = materialise(_searched(_dealt(contents, size.words or 0, window, scratch), window), "repeat-found")
+    for old in scratch:
+        discard(old)
     bits = sum((F.when(F.get("minima", F.lit(i)) < F.col("o"), 1 << i).otherwise(0) for i in range(RUN)), F.lit(0))
-    gone = join_by_key(passages.select("c", "o", "start", "h", "k"), found, ["h", "k"], every.n).select("c", "start", bits.alias("bits")).where("bits > 0")
-    gone = gone.groupBy("c").agg(F.collect_list(F.struct("start", "bits")).alias("found"))
-    cut = materialise(_cut(near.select("c", "text").join(gone, "c"), window), "repeat-cut")
-    for old in (shared, wanted, near, passages, contents, found):
+    gone = join_by_key(passages.select("c", "o", "start", "h", "k"), found, ["h", "k"], size["rows"] or 0).select("c", "start", bits.alias("bits")).where("bits > 0")
+    gone, touched = measured(gone.groupBy("c").agg(F.collect_list(F.struct("start", "bits")).alias("found")), "repeat-gone")
+    texts = near.select("c", "text")
+    if touched.n <= BROADCAST_ANCHORS:
+        texts = texts.join(F.broadcast(gone.select("c")), "c", "left_semi")
+    cut = materialise(_cut(texts.join(gone, "c"), window), "repeat-cut")
+    for old in (near, found, gone):
         discard(old)
     facts = classes.select("c", "digest", "o", "m", "n_words", "sha").join(cut, "c", "left").drop("c")
     rows = join_by_key(_read(docs).select("doc_id", "digest"), facts, ["digest"], all_.rows or 0)

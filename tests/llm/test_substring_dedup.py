@@ -65,6 +65,7 @@ def test_anchors_dealt_to_several_shards(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "LEAST_WORDS", 30)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 100)
     monkeypatch.setattr(substring_dedup, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ANCHORS", 0)
     monkeypatch.setattr("assay.llm.common.HOT_ROWS", 3)
     rows = corpus(3)
     assert rows_of(substring_dedup.remove_repeats(frame(spark, rows))) == want(rows)
