@@ -5,18 +5,22 @@ and digits is one space; so line breaks, comment marks and what stands before or
 not matter.  A and B, the sets of word bigrams of a window of the text and of a template, match if
 their Dice coefficient 2 |A n B| / (|A| + |B|) is at least ``least``.
 
-Pruning, without loss for a window: |A| must lie between |B| d / (2 - d) and |B| (2 - d) / d.  A match
-shares at least d |B| / (2 - d) bigrams of the template, so it has one of any |B| - that + 1 of them;
-the longest ones serve as anchors.  A text is exploded into its bigrams with their positions, which
-meet the anchors inside the scan's stage; each hit, by its place in the template, says where the
-template would begin, and the window of the template's number of words from there is compared (it
-is cut at once, so no row holds more of a text).  Words put in or left out shift the rest of a
-notice, and each of its anchors then gives a window of its own.
+Windows.  With U = |B| (2 - d) / d, every window of a text of at most U bigrams that begins and ends with
+a bigram of the template is judged (one that does not is never better than the one inside it
+that does), so words that were put in, left out or changed anywhere do not hide a notice.
+
+Pruning, without loss: |A| must lie between |B| d / (2 - d) and U.  A match shares at least
+d |B| / (2 - d) bigrams of the template, so it has one of any |B| - that + 1 of them; the longest ones serve
+as anchors.  A text is exploded into its bigrams with their positions, which meet the anchors inside
+the scan's stage.  An anchor at hand, the windows are those whose first anchor it is: they begin behind the anchor
+before it.  From each beginning the window grows to U bigrams, if as many as needed are in reach, and the
+number of distinct bigrams and of shared ones is kept while it grows.  Words are cut out at once, so no
+row holds more of a text than one window.
 
 Result: one row per text and template with the best window.  Defined cases: null and empty texts and
 texts of one word (no bigram) match nothing; very long texts are scanned whole; windows are cut at the
 ends of a text; equal rows and rows with equal or null ids each count; of equally good windows the
-first counts; a template of one word is ignored; an empty table, or no templates, give no rows; only
+first counts, and of those the shortest; a template of one word is ignored; an empty table, or no templates, give no rows; only
 doc_id and the text are read, so other columns may have any name.
 """
 
@@ -25,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
 from .common import table
 
 LEAST = 0.8
@@ -127,30 +132,47 @@ def scan(docs: DataFrame, known: DataFrame, least: float = LEAST, text: str = "t
 
     known: columns template_id, license, template.
     """
-    known = known.select("template_id", "license", words(F.col("template")).alias("tw")).withColumn("b", bigrams(F.col("tw"))).withColumn("nb", F.size("b")).where("nb > 0")
-    shared = F.ceil(F.lit(least / (2 - least) - 1e-9) * F.col("nb")).cast("int")
+    known = known.select("template_id", "license", bigrams(words(F.col("template"))).alias("b")).withColumn("nb", F.size("b")).where("nb > 0")
+    need = F.ceil(F.lit(least / (2 - least) - 1e-9) * F.col("nb")).cast("int")
+    most = F.floor(F.lit((2 - least) / least + 1e-9) * F.col("nb")).cast("int")
     by_length = F.expr("array_sort(b, (x, y) -> case when length(x) <> length(y) then length(y) - length(x) when x < y then -1 when x > y then 1 else 0 end)")
-    anchors = known.withColumn("chosen", F.slice(by_length, F.lit(1), F.col("nb") - shared + 1)).select("template_id", "tw", "chosen", F.posexplode(pairs(F.col("tw"))).alias("off", "bigram"))
-    anchors = anchors.where(F.array_contains("chosen", F.col("bigram"))).groupBy("bigram").agg(F.collect_list(F.struct("template_id", "off", F.size("tw").alias("n"))).alias("of"))
-    size = known.agg(F.coalesce(F.sum(F.size("tw")), F.lit(0))).first()[0]
+    known = known.withColumn("need", need).withColumn("most", most).withColumn("chosen", F.slice(by_length, F.lit(1), F.col("nb") - F.col("need") + 1))
+    anchors = known.select(F.explode("chosen").alias("bigram"), "template_id", "most").groupBy("bigram").agg(F.collect_list(F.struct("template_id", "most")).alias("of"))
+    size = known.agg(F.coalesce(F.sum("nb"), F.lit(0))).first()[0]
     if not size:
         return docs.sparkSession.createDataFrame([], _RESULT)
-    lists = known.select("template_id", "license", "b", "nb")
+    lists = known.select("template_id", "license", "b", "nb", "need", "most", "chosen")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col(text)).alias("w"))
+    exploded = F.posexplode(pairs(F.col("w"))).alias("pos", "bigram")
     if size <= BROADCAST_BIGRAMS:
         anchors, lists = F.broadcast(anchors), F.broadcast(lists)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col(text)).alias("w"))
-    rows = rows.select("_row", "doc_id", "w", F.posexplode(pairs(F.col("w"))).alias("pos", "bigram"))
-    met = rows.join(anchors, "bigram").select("_row", "doc_id", "w", "pos", F.explode("of").alias("t"))
-    start = F.col("pos") - F.col("t.off")
-    window = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("t.n") + F.least(start, F.lit(0)))
-    cut = met.select("_row", "doc_id", F.col("t.template_id").alias("template_id"), F.greatest(start, F.lit(0)).cast("long").alias("start"), _once(window, "win"))
-    cut = cut.select("_row", "doc_id", "template_id", "start", "win", _once(bigrams(F.col("win")), "a")).join(lists, "template_id")
-    bound = (F.size("a") >= F.col("nb") * (least / (2 - least)) - 1e-9) & (F.size("a") <= F.col("nb") * ((2 - least) / least) + 1e-9)
-    dice = 2 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.col("nb"))
-    good = cut.where(bound).withColumn("dice", dice).where(F.col("dice") >= least)
-    best = F.max(F.struct("dice", (-F.col("start")).alias("p"), F.concat_ws(" ", "win").alias("found"), "license")).alias("m")
-    return good.groupBy("_row", "doc_id", "template_id").agg(best).select("doc_id", "template_id", "m.license", "m.dice", (-F.col("m.p")).alias("start"), "m.found")
+        met = rows.select("_row", "doc_id", "w", exploded).join(anchors, "bigram")
+    else:
+        rows = materialise(rows, "license-words")  # the shuffle takes bigrams alone, and words are fetched by row
+        met = rows.select("_row", exploded).join(anchors, "bigram").join(rows, "_row")
+    met = met.select("_row", "doc_id", "w", "pos", F.explode("of").alias("t"))
+    # the bigrams up to the anchor that a window may begin with, the anchor last, and the words from the anchor on
+    low = F.greatest(F.col("pos") - F.col("t.most") + 1, F.lit(0))
+    left, right = F.slice("w", low + 1, F.col("pos") - low + 2), F.slice("w", F.col("pos") + 3, F.col("t.most"))
+    near = met.select("_row", "doc_id", F.col("t.template_id").alias("template_id"), low.cast("long").alias("low"), _once(F.concat(left, right), "near"), (F.col("pos") - low).alias("p"))
+    near = near.join(lists, "template_id").withColumn("lead", F.slice(pairs(F.col("near")), F.lit(1), F.col("p")))
+    before = F.coalesce(F.array_max(F.transform("lead", lambda x, i: F.when(F.array_contains("chosen", x), i))), F.lit(-1))
+    begins = F.filter(F.sequence(before + 1, F.col("p")), lambda i: (i == F.col("p")) | F.array_contains("b", F.get("lead", i)))
+    begun = near.select("_row", "doc_id", "template_id", "license", "low", "near", "b", "nb", "need", "most", F.explode(begins).alias("s"))
+    cut = begun.select("_row", "doc_id", "template_id", "license", "b", "nb", "need", (F.col("low") + F.col("s")).alias("start"), _once(F.slice("near", F.col("s") + 1, F.col("most") + 1), "win"))
+    cut = cut.select("*", _once(pairs(F.col("win")), "g")).where(F.size(F.array_intersect("g", "b")) >= F.col("need"))
+    # how far it grows: distinct bigrams a, shared ones i, places n, and the best so far with its places
+    marks = F.transform("g", lambda x, i: F.struct((F.array_position("g", x) == i + 1).alias("new"), F.array_contains("b", x).alias("of")))
+    begin = F.struct(F.lit(0).alias("a"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(-1.0).alias("best"), F.lit(0).alias("size"))
+
+    def grown(acc: Column, x: Column) -> Column:
+        a, i, n = acc["a"] + x["new"].cast("int"), acc["i"] + (x["new"] & x["of"]).cast("int"), acc["n"] + 1
+        dice = F.when(x["of"] & (a >= F.col("nb") * (least / (2 - least)) - 1e-9) & (a <= F.col("nb") * ((2 - least) / least) + 1e-9), 2.0 * i / (a + F.col("nb"))).otherwise(-1.0)
+        return F.struct(a.alias("a"), i.alias("i"), n.alias("n"), F.greatest(acc["best"], dice).alias("best"), F.when(dice > acc["best"], n).otherwise(acc["size"]).alias("size"))
+
+    grows = cut.select("_row", "doc_id", "template_id", "license", "start", "win", _once(F.aggregate(marks, begin, grown), "m")).where(F.col("m.best") >= least)
+    best = F.max(F.struct(F.col("m.best").alias("dice"), (-F.col("start")).alias("p"), F.concat_ws(" ", F.slice("win", F.lit(1), F.col("m.size") + 1)).alias("found"), "license")).alias("m")
+    return grows.groupBy("_row", "doc_id", "template_id").agg(best).select("doc_id", "template_id", "m.license", "m.dice", (-F.col("m.p")).alias("start"), "m.found")
 
 
 def op2_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,17 +187,17 @@ _SQL_PAIRS = "list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[
 ORACLE = f"""
 WITH t AS (SELECT template_id, license, {_SQL_WORDS.format(x="template")} AS tw FROM (VALUES {_VALUES}) AS v(template_id, license, template)),
 tb AS (SELECT *, {_SQL_PAIRS.format(w="tw")} AS p, list_distinct({_SQL_PAIRS.format(w="tw")}) AS b FROM t),
-ranked AS (SELECT template_id, bigram, row_number() OVER (PARTITION BY template_id ORDER BY length(bigram) DESC, bigram) AS k FROM (SELECT template_id, unnest(b) AS bigram FROM tb)),
-chosen AS (SELECT template_id, bigram FROM ranked JOIN tb USING (template_id) WHERE k <= len(b) - ceil(len(b) * {LEAST / (2 - LEAST)} - 1e-9) + 1),
-anchors AS (SELECT template_id, off, bigram, n FROM (SELECT template_id, len(tw) AS n, unnest(range(len(p))) AS off, unnest(p) AS bigram FROM tb) JOIN chosen USING (template_id, bigram)),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS.format(x="text")} AS w FROM documents),
 g AS (SELECT r, unnest(range(len(w) - 1)) AS pos, unnest({_SQL_PAIRS.format(w="w")}) AS bigram FROM d WHERE len(w) > 1),
-hits AS (SELECT DISTINCT r, template_id, pos - off AS s, n FROM g JOIN anchors USING (bigram)),
-wins AS (SELECT r, doc_id, template_id, greatest(s, 0) AS start, list_slice(w, greatest(s, 0) + 1, s + n) AS win FROM hits JOIN d USING (r)),
-a AS (SELECT *, list_distinct({_SQL_PAIRS.format(w="win")}) AS a FROM wins),
-m AS (SELECT r, doc_id, template_id, license, start, array_to_string(win, ' ') AS found, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM a JOIN tb USING (template_id))
+hits AS (SELECT r, template_id, pos, bigram FROM g JOIN (SELECT template_id, unnest(b) AS bigram FROM tb) USING (bigram)),
+enough AS (SELECT r, template_id FROM hits JOIN tb USING (template_id) GROUP BY r, template_id, len(b) HAVING count(DISTINCT bigram) >= len(b) * {LEAST / (2 - LEAST)} - 1e-9),
+wins AS (SELECT x.r, x.template_id, x.pos AS start, y.pos - x.pos + 1 AS n FROM hits x JOIN enough USING (r, template_id) JOIN hits y ON y.r = x.r AND y.template_id = x.template_id AND y.pos >= x.pos JOIN tb ON tb.template_id = x.template_id
+WHERE y.pos - x.pos + 1 BETWEEN len(b) * {LEAST / (2 - LEAST)} - 1e-9 AND len(b) * {(2 - LEAST) / LEAST} + 1e-9),
+a AS (SELECT r, doc_id, template_id, start, n, list_slice(w, start + 1, start + n + 1) AS win FROM wins JOIN d USING (r)),
+s AS (SELECT *, list_distinct({_SQL_PAIRS.format(w="win")}) AS a FROM a),
+m AS (SELECT r, doc_id, template_id, license, start, n, array_to_string(win, ' ') AS found, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM s JOIN tb USING (template_id) WHERE len(a) >= len(b) * {LEAST / (2 - LEAST)} - 1e-9)
 SELECT doc_id, template_id, license, round(dice, 6) AS dice, start, found
-FROM (SELECT *, row_number() OVER (PARTITION BY r, template_id ORDER BY dice DESC, start) AS k FROM m WHERE dice >= {LEAST}) WHERE k = 1
+FROM (SELECT *, row_number() OVER (PARTITION BY r, template_id ORDER BY dice DESC, start, n) AS k FROM m WHERE dice >= {LEAST}) WHERE k = 1
 """
 
 QUERIES = {"op2_license_dice": op2_license_dice}

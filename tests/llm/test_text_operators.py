@@ -94,24 +94,25 @@ def pairs_of(words):
 
 
 def license_windows(text, template, least):
-    """The best window by comparing every place that an anchor of the template points to."""
-    import math
-
+    """The best of all windows of all allowed lengths; they begin and end with bigrams of the template."""
     import regex
 
     split = lambda t: [x for x in regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).split(" ") if x]
-    tw, w = split(template), split(text)
-    b = set(pairs_of(tw))
-    chosen = sorted(b, key=lambda x: (-len(x), x))[: len(b) - math.ceil(len(b) * least / (2 - least) - 1e-9) + 1]
+    w, b = split(text), set(pairs_of(split(template)))
+    g = pairs_of(w)
+    hits = [k for k, x in enumerate(g) if x in b]
+    low, high = len(b) * least / (2 - least) - 1e-9, len(b) * (2 - least) / least + 1e-9
     best = None
-    for off, x in enumerate(pairs_of(tw)):
-        for pos, y in enumerate(pairs_of(w)) if x in chosen else ():
-            if x == y:
-                start = max(pos - off, 0)
-                win = w[start : pos - off + len(tw)]
-                d = dice(" ".join(win), template)
-                if d >= least and (best is None or (d, -start) > (best[0], -best[1])):
-                    best = (d, start, " ".join(win))
+    if len({g[k] for k in hits}) < low:
+        return None
+    for s in hits:
+        seen = set()
+        for e in range(s, min(len(g), s + int(high))):
+            seen.add(g[e])
+            if g[e] in b and low <= len(seen) <= high:
+                d = 2 * len(seen & b) / (len(seen) + len(b))
+                if d >= least and (best is None or d > best[0]):
+                    best = (d, s, " ".join(w[s : e + 2]))
     return best
 
 
@@ -149,6 +150,26 @@ def test_license_scan_matches_brute_force(spark):
     assert license_scan.scan(docs, license_scan.templates(spark, [("X", "one")])).count() == 0
 
 
+@pytest.mark.parametrize("inserted, times", [(15, 3), (12, 3), (20, 2), (8, 5), (25, 1), (1, 30)])
+def test_notices_with_words_put_in_are_found(spark, inserted, times):
+    """Also where no window of the template's own length matches."""
+    w = license_scan._MIT.split()
+    step = len(w) // (times + 1)
+    for k in range(times, 0, -1):
+        w[k * step : k * step] = [f"x{k}y{j}" for j in range(inserted)]
+    text = " ".join(words_of(40) + w + words_of(40, 1))
+    best = license_windows(text, license_scan._MIT, license_scan.LEAST)
+    got = [(r["dice"], r["start"], r["found"]) for r in license_scan.scan(frame(spark, [text]), license_scan.templates(spark, [("MIT", license_scan._MIT)])).collect()]
+    assert got == ([best] if best else []) and (best or times == 30)
+
+
+def test_templates_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "BROADCAST_BIGRAMS", 5)
+    texts = [" ".join(words_of(30)) + " Released under the MIT License. " * 3, "Licensed under CC BY 4.0.", None, "none"]
+    got = {(r["doc_id"], license_scan.TEMPLATES[r["template_id"]][0], r["start"]) for r in license_scan.scan(frame(spark, texts), license_scan.templates(spark, license_scan.TEMPLATES[:8])).collect()}
+    assert {(0, "MIT", 30), (1, "CC-BY-4.0", 0)} <= got and {d for d, *_ in got} == {0, 1}
+
+
 def test_license_wordings_are_the_published_ones(spark):
     """Notices as projects carry them: names filled in, wrapped, with words of their own."""
     mit = "MIT License\n\nCopyright (c) 2024 A. Person\n\n" + license_scan._MIT
