@@ -17,7 +17,8 @@ group larger than a shard is cut, within ``tolerance`` of the target.
 Law: ``bytes`` - each shard has its share of all bytes, up to 2 * SINGLE * ``group_tolerance``, more
 only where a table has so few texts that most of them are larger than that.
 Shards are built from ``fine`` slices each, so that a shard larger than a task's memory is sorted
-by several tasks; slots are numbered through the slices with one row count per slice.
+by several tasks; slots are numbered through the slices with one row count per slice.  A group that is
+moved has slices of its own, about ``SLICE_ROWS`` rows each, by the row's bits of the key.
 
 Defined cases: a null text is the empty text (16 bytes); very long texts are one row like any other,
 and may make a shard larger than its share; an empty table gives no rows; fewer rows than shards
@@ -51,6 +52,8 @@ FLOATS = 16
 SINGLE = 3
 #: Bytes that one slice of a shard should hold, and the most slices of a shard.
 SLICE_BYTES, MOST_SLICES = 256 << 20, 512
+#: Rows of one slice of a group that is moved.
+SLICE_ROWS = 1_000_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -198,6 +201,28 @@ def cuts(keys: DataFrame, shards: int, fine: int, tolerance: float, group_tolera
             return Cuts([int(e) for e in np.maximum.accumulate([min(s.gap()[1], TOP - 1) for s in found])], moved)
 
 
+def _piece(key: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Which slice of its group a row is in, by the row's bits of the key."""
+    return ((key & (GROUP - 1)) * pieces) >> ROW_BITS
+
+
+def _moved_rows(keys: DataFrame, numbers: np.ndarray, pieces: np.ndarray) -> dict[tuple[int, int], int]:
+    """Rows of each slice of the groups that are moved."""
+    if not len(numbers):
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            number = np.minimum(np.searchsorted(numbers, key >> ROW_BITS), len(numbers) - 1)
+            own = numbers[number] == key >> ROW_BITS
+            found, n = np.unique(np.stack([numbers[number[own]], _piece(key[own], pieces[number[own]])]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(n)], ["number", "piece", "n"])
+
+    rows = keys.select("key").mapInArrow(run, "number long, piece long, n long").groupBy("number", "piece").agg(F.sum("n").alias("n"))
+    return {(r.number, r.piece): r.n for r in rows.collect()}  # a row for each slice
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.002, group_tolerance: float = 0.01) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
     rows = sized(docs)
@@ -208,16 +233,20 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.002, grou
     edges, numbers = np.array(found.edges, np.int64), np.array(sorted(found.moved), np.int64)
     marks = np.unique(edges)
     below = count_below(keys, marks, numbers).rows if len(marks) else np.empty(0, np.int64)
+    pieces = np.array([-(-found.moved[g][1] // SLICE_ROWS) for g in numbers.tolist()], np.int64)
+    counted = _moved_rows(keys, numbers, pieces)
     discard(keys)
     starts = [0, *below[np.searchsorted(marks, edges)].tolist()]
-    # the groups that were moved to a shard come first, each a slice of its own, and then the shard's slices
+    # the groups that were moved to a shard come first, each in slices of its own, and then the shard's slices
     ahead, moved = [0] * shards, []
     for i, number in enumerate(numbers.tolist()):
-        shard, n = found.moved[number]
-        moved.append((len(starts) + i, shard, ahead[shard]))
-        ahead[shard] += n
+        shard = found.moved[number][0]
+        for piece in range(pieces[i]):
+            moved.append((len(starts) + len(moved), shard, ahead[shard]))
+            ahead[shard] += counted.get((number, piece), 0)
     slices = [(i, i // fine, ahead[i // fine] + starts[i] - starts[i // fine * fine]) for i in range(len(starts))] + moved
     slices = docs.sparkSession.createDataFrame(slices, "slice int, shard int, before long")
+    first = len(edges) + 1 + np.cumsum(pieces) - pieces  # the first slice of each moved group
     sent = docs.sparkSession.sparkContext.broadcast((edges, numbers))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +257,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.002, grou
             if len(numbers):
                 group = key >> ROW_BITS
                 number = np.minimum(np.searchsorted(numbers, group), len(numbers) - 1)
-                at = np.where(numbers[number] == group, len(edges) + 1 + number, at)
+                at = np.where(numbers[number] == group, first[number] + _piece(key, pieces[number]), at)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "slice"])
 
     placed = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(place, "doc_id long, size long, text_crc32 long, key long, slice int")

@@ -64,7 +64,10 @@ def test_shards(spark, kind):
     assert kind != "hot" or max(map(len, shards.values())) > 6
 
 
-def test_groups_of_half_a_shard_stay_whole_and_shards_stay_even(spark):
+@pytest.mark.parametrize("slice_rows", [10**6, 9])
+def test_groups_of_half_a_shard_stay_whole_and_shards_stay_even(spark, monkeypatch, slice_rows):
+    """Whatever the number of slices that a group which is moved is sorted in."""
+    monkeypatch.setattr(sharding, "SLICE_ROWS", slice_rows)
     r = random.Random(8)
     rows = [(i, text_of(r.randrange(5, 40), i)) for i in range(6000)]
     for k in range(60):  # groups of up to nine tenths of a shard
@@ -141,7 +144,7 @@ def test_components_match_brute_force(spark, threshold):
 def test_blocks_find_what_stars_miss(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 8)
     monkeypatch.setattr(common, "HOT_ROWS", 3)
-    monkeypatch.setattr(near_dedup, "HUB_GROUPS", 2)
+    monkeypatch.setattr(near_dedup, "GROUP_DOCS", 2)
     chain = [text_of(200, 5)]
     for i in range(30):
         chain.append(edited(chain[-1], 2, i))
@@ -155,7 +158,7 @@ def test_hot_families_match_brute_force(spark, monkeypatch):
     """Copies, a large family of near copies and its stragglers, with keys, hubs and classes above the bound."""
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 16)
     monkeypatch.setattr(common, "HOT_ROWS", 8)
-    monkeypatch.setattr(near_dedup, "HUB_GROUPS", 4)
+    monkeypatch.setattr(near_dedup, "GROUP_DOCS", 3)
     base = text_of(200, 31)
     rows = [(i, base) for i in range(0, 300, 3)]
     rows += [(i, edited(base, 1 + i % 7, i)) for i in range(1, 300, 3)] + [(i, text_of(30 + i % 5, i)) for i in range(2, 300, 3)]
