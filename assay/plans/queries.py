@@ -531,6 +531,15 @@ def reference_discovery(spark, sf_dir):
     return propose.references({t: table(spark, sf_dir, t, *cs) for t, cs in _KEYED.items()})
 
 
+@query(
+    " UNION ALL ".join(f"SELECT 'column' AS kind, '{c}' AS name, count({c}) AS \"rows\", count(DISTINCT {c}) AS found FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+    + f" UNION ALL SELECT 'test', position::VARCHAR, evaluated_rows, failures FROM ({fx.sql_results(fx.CUSTOMER)})"
+)
+def profile_and_evaluate(spark, sf_dir):
+    known = fx.tables(spark, sf_dir)
+    return runs.profile_and_evaluate(known["customer"], verdict.flatten(fx.CUSTOMER), known)
+
+
 _WRITTEN = [
     (0, "customer", "c_custkey", "unique", "{}"),
     (1, "customer", "c_custkey", "unique", "{}"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import hygiene, identity, profile, propose, verdict
+from ..operators import checks, hygiene, identity, profile, propose, verdict
 from ..operators.checks import Test
 
 
@@ -38,6 +39,21 @@ def prune_existing(df: DataFrame, raw: DataFrame, tables: dict[str, DataFrame],
     return Run(decisions, skipped, hygiene.test_set_diff(sound, decisions.where("decision = 'kept'")))
 
 
+def profile_and_evaluate(df: DataFrame, tests: Sequence[Test], tables: dict[str, DataFrame]) -> DataFrame:
+    """Profile of a table and counts of its tests from one job: kind, name, rows, found.
+
+    kind ``column``: non-null rows and distinct values of the column; ``test``: evaluated rows and failures of the test at
+    that position.  A column that is both profiled and tested by its values is grouped once: both
+    sides read the same exchange.  Tests that can not be analysed have no row.
+    """
+    stats = profile.column_stats(df).select(F.lit("column").alias("kind"), F.col("column").alias("name"), F.col("non_null").alias("rows"), F.col("distinct_values").alias("found"))
+    counted = checks.plan(df, tests, tables)
+    if not counted.units:
+        return stats
+    found = checks.joint(counted.units).select(F.lit("test"), F.col("position").cast("string"), "evaluated_rows", "failures")
+    return stats.union(found)
+
+
 def propose_and_prune(df: DataFrame, table: str, tables: dict[str, DataFrame]) -> DataFrame:
     """Profile a table, propose tests by rule, and judge them."""
     tests = propose.propose_candidates(df, table, profile.column_stats(df), tables)

@@ -42,3 +42,14 @@ def test_a_wide_table_is_scanned_once_without_expand(spark, tmp_path):
     assert plan.count("FileScan") == 1 and "Expand" not in plan and plan.count("Exchange hashpartitioning(i") == 2  # distinct cells, then a row for each column and task
     got = shown(stats)
     assert all(got[f"c{i}"][1:] == (50, min(50, i + 2), 0, "0", str(min(49, i + 1))) for i in range(150))
+
+
+def test_a_profile_and_tests_of_a_column_share_its_groups(spark, tmp_path):
+    from assay.operators.checks import Test
+    from assay.plans.runs import profile_and_evaluate
+
+    spark.range(3000).selectExpr("id % 1000 AS k", "id AS v").repartition(3).write.parquet(f"{tmp_path}/t")
+    both = profile_and_evaluate(spark.read.parquet(f"{tmp_path}/t"), [Test("t", "unique", "k"), Test("t", "not_null", "k"), Test("t", "unique", "v")], {})
+    assert sorted(map(tuple, both.collect())) == [("column", "k", 3000, 1000), ("column", "v", 3000, 3000), ("test", "0", 3000, 1000), ("test", "1", 3000, 0), ("test", "2", 3000, 0)]
+    final = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 2
