@@ -44,9 +44,10 @@ def tiers(decisions: DataFrame, grades: DataFrame) -> DataFrame:
     by = ["table_name", "artifact_id"]
     graded = decisions.join(_summed(grades), by, "left")
     stray = stray_tables(decisions, grades).agg(F.min("table_name").alias("_stray"))
-    graded = graded.join(F.broadcast(stray))  # one row; the error comes with the rows, no job runs before
-    said = F.concat(F.lit("grades of tables without decisions: "), "_stray")
-    graded = graded.where(F.when(F.col("_stray").isNull(), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).drop("_stray")
+    # one more row, which brings the error or goes; no job runs before the rows are asked for
+    marked = graded.withColumn("_mark", F.lit(False)).unionByName(stray.withColumn("_mark", F.lit(True)), allowMissingColumns=True)
+    error = F.raise_error(F.concat(F.lit("grades of tables without decisions: "), "_stray")).cast("boolean")
+    graded = marked.where(F.when(~F.col("_mark"), F.lit(True)).when(F.col("_stray").isNull(), F.lit(False)).otherwise(error)).drop("_stray", "_mark")
     tier = (
         F.when(F.col("decision") == "dropped", "dropped")
         .when(F.col("reason") == "kept-without-evidence", "kept-uncertain")
