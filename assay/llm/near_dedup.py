@@ -52,8 +52,8 @@ THRESHOLD = 85
 BLOCK_DOCS, BLOCK_SHINGLES = 384, 1_000_000
 #: Ids that may be broadcast to pick candidate texts (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
-#: Groups that the partners of one hub are dealt to.
-HUB_GROUPS = 1024
+#: Partners of a hub that one group has, about.
+GROUP_DOCS = 64
 
 _rng = np.random.Generator(np.random.PCG64(421))
 _A = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,13 +118,15 @@ def _fitting(group: tuple | None, hubs: list[tuple], docs: list[tuple], fits: Ca
     return [(group[0], d[0]) for d, ok in zip(docs, map(any, zip(*by_hub, strict=True)), strict=True) if ok] if by_hub else []
 
 
-def _meet(pairs: DataFrame, facts: DataFrame, fits: Callable[[tuple, list[tuple]], list[bool]]) -> DataFrame:
-    """The pairs (hub, doc) that fit, by what ``facts`` (doc_id, n, body) knows of both.
+def _meet(pairs: DataFrame, n: int, facts: DataFrame, fits: Callable[[tuple, list[tuple]], list[bool]]) -> DataFrame:
+    """The pairs (hub, doc), n of them, that fit, by what ``facts`` (doc_id, n, body) knows of both.
 
-    A hub's partners are dealt to groups by hash.  Rows of a group are sorted, the hub's first, and
+    A hub's partners are dealt to groups by hash, to as many as their number asks for.  Rows of a group are sorted, the hub's first, and
     streamed, so a group may have any number of partners.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(HUB_GROUPS)).cast("int"))
+    partners = pairs.groupBy("hub").agg(F.count("*").alias("m"))
+    salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / GROUP_DOCS)).cast("int")
+    salted = join_by_key(pairs, partners, ["hub"], n).select("hub", "doc", salt.alias("salt"))
     hubs = salted.select("hub", "salt").distinct().withColumn("doc", F.lit(None).cast("long"))
     both = hubs.join(facts.withColumnRenamed("doc_id", "hub"), "hub").select("hub", "salt", "doc", "n", "body")
     both = both.unionByName(salted.join(facts.withColumnRenamed("doc_id", "doc"), "doc").select("hub", "salt", "doc", "n", "body"))
@@ -150,7 +152,7 @@ def _meet(pairs: DataFrame, facts: DataFrame, fits: Callable[[tuple, list[tuple]
     return dealt.mapInArrow(run, _PAIR)
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, threshold: int, hashes: int) -> DataFrame:
+def _likely(pairs: DataFrame, n: int, reps: DataFrame, threshold: int, hashes: int) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose signatures agree about enough."""
     share = threshold / 100
     least = share - 5 * (share * (1 - share) / hashes) ** 0.5
@@ -160,10 +162,10 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: int, hashes: int) -> D
         same = (np.frombuffer(b"".join(d[2] for d in docs), np.uint16).reshape(-1, hashes) == own).mean(axis=1)
         return [100 * min(hub[0], d[1]) >= threshold * max(hub[0], d[1]) and a >= least for d, a in zip(docs, same.tolist(), strict=True)]
 
-    return _meet(pairs, reps.select("doc_id", F.col("n_shingles").alias("n"), F.col("sig").alias("body")), fits)
+    return _meet(pairs, n, reps.select("doc_id", F.col("n_shingles").alias("n"), F.col("sig").alias("body")), fits)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, width: int, scratch: list[DataFrame]) -> DataFrame:
+def _confirm(pairs: DataFrame, n: int, docs: DataFrame, threshold: int, width: int, scratch: list[DataFrame]) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
     ids = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("doc")).distinct()
     sets = materialise(_sets(docs, ids, width, scratch), "near-sets")
@@ -176,7 +178,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, width: int, scra
             out.append(100 * both >= threshold * (hub[0] + n - both))
         return out
 
-    return _meet(pairs, sets, fits)
+    return _meet(pairs, n, sets, fits)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int, scratch: list[DataFrame]) -> DataFrame:
@@ -317,10 +319,13 @@ def _judged(docs: DataFrame, threshold: int, width: int = SHINGLE, bands: int =
     ends = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("m")).where("low <> high")
     ends = materialise(ends, "near-ends")
     buckets, met = measured(join_by_key(keyed, ends, ["key"], bands * size.n).select("key", "doc_id", "n_shingles", "low", "high", "m"), "near-buckets")
-    tried = buckets.select(F.explode(F.array("low", "high")).alias("hub"), F.col("doc_id").alias("doc")).where("hub <> doc").distinct()
-    likely = materialise(_likely(tried, reps, threshold, bands * rows), "near-likely")
-    scratch = [ends, buckets, likely]
-    links = materialise(_confirm(likely, docs, threshold, width, scratch), "near-links")
+    # a pair in both directions, as every bucket of two members gives it, is tried once
+    tried = buckets.select(F.explode(F.array("low", "high")).alias("hub"), F.col("doc_id").alias("doc")).where("hub <> doc")
+    tried = tried.groupBy(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).agg(F.min("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"))
+    tried, pairs = measured(tried, "near-tried")
+    likely, fit = measured(_likely(tried, pairs.n, reps, threshold, bands * rows), "near-likely")
+    scratch = [ends, buckets, tried, likely]
+    links = materialise(_confirm(likely, fit.n, docs, threshold, width, scratch), "near-links")
     found = materialise(components(links.toDF("x", "y")), "near-found")
     left, some = measured(_open_buckets(buckets, found, met.n), "near-open")
     scratch += [links, found, left]
@@ -355,10 +360,11 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, apart: bool = True)
     found = judged.select(F.col("doc_id").alias("_key"), "component_id")
     unnamed = F.col("doc_id").isNull()
     groups = found.join(keyed.select("_key", "_hash", "doc_id"), "_key").groupBy("component_id", unnamed if apart else F.lit(True))
-    kept = materialise(groups.agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "_hash", "_key")).alias("m")).select("m._key"), "near-kept")
+    kept = groups.agg(F.min(F.struct(unnamed.alias("unnamed"), "doc_id", "_hash", "_key")).alias("m")).select("m._key")
+    gone, some = measured(found.select("_key").join(kept, "_key", "left_anti"), "near-gone")
     for old in scratch:
         discard(old)
-    return keyed.join(kept, "_key", "left_semi").select(docs.columns)
+    return keyed.join(F.broadcast(gone) if some.n <= BROADCAST_IDS else gone, "_key", "left_anti").select(docs.columns)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

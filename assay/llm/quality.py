@@ -20,6 +20,7 @@ columns called ``score`` or ``predicted``, in any case, are replaced, others sta
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -183,10 +184,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
             rows = [r.tobytes() for _, data, offsets in buffers(batch.column(2)) for r in indicators(data, offsets, bits)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "label", "row"])
 
-    found = sorted(texts.mapInArrow(featurise, "doc_id long, label int, row binary").collect(), key=lambda r: (r[1], r[0]))
-    order = np.random.Generator(np.random.PCG64(11)).permutation(len(found))
-    found = [found[i] for i in order]
-    return fit_rows([np.frombuffer(r["row"], np.int32) for r in found], np.array([r["label"] for r in found], np.int64), bits)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[1], r[0]))
+        order = np.random.Generator(np.random.PCG64(11)).permutation(len(found))
+        found = [found[i] for i in order]
+        model = fit_rows([np.frombuffer(r[2], np.int32) for r in found], np.array([r[1] for r in found], np.int64), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # the fit of the bounded sample is one task, so that its rows never reach the driver
+    made = texts.mapInArrow(featurise, "doc_id long, label int, row binary").repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit_rows([], np.empty(0, np.int64), bits)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", bits: int = BITS) -> DataFrame:
